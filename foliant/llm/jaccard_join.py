@@ -43,7 +43,7 @@ N, PERCENT = 4, 85
 #: Text that one bucket of signatures stands for, pivots a signature has in a later round.
 BUCKET_CHARS, PIVOTS = 8_000_000, 16
 #: Elements that a signature should cover on average.
-LEAST_COVER = 5.0
+LEAST_COVER = 3.5
 #: Words whose digest a worker remembers.
 MEMO = 1_000_000
 
