@@ -10,12 +10,12 @@ elements of one such subset. Spare groups let a set leave out the signatures of
 empty subsets unless it has too many of them, so no signature is shared by
 chance between small projections. Equal sets are one class from the start.
 
-Sets that share a signature are compared exactly, a signature's members with a
-few pivots a round; members in the same component already need no comparison.
-Rounds end when each signature's other members are in one component, so no link
-between components is missed, and the pairs in a round are linear in the members.
-Before signatures are shuffled, each batch keeps one member a signature and sends
-the others past the grouping, so a common signature doesn't gather in one task.
+Sets that share signatures, directly or through others, form a family. A family's
+sets meet in one task (large families in tasks by pairs of blocks, so memory is
+bounded and no pair of blocks is left out), which counts all intersections by
+products of 0/1 matrices and hands on a spanning forest of the links, never the
+pairs. Before signatures are shuffled, each batch keeps one member a signature
+and turns the others into edges to it, so a common signature doesn't gather in one task.
 
 Null and word-less texts have an empty set and link with nothing. A row with a
 null id takes part and gets its group's smallest id, null if there is none. Ties
@@ -33,17 +33,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, small_batches, stage
 
 #: Words a shingle has, and the least similarity in percent.
 N, PERCENT = 4, 85
-#: Text that one bucket of signatures stands for, pivots a signature has in a later round.
-BUCKET_CHARS, PIVOTS = 8_000_000, 16
+#: Text that one bucket of signatures stands for, elements of sets that meet in one group, columns of a 0/1 matrix.
+BUCKET_CHARS, GROUP_ELEMENTS, COLUMNS = 8_000_000, 2_000_000, 4096
 #: Elements that a signature should cover on average.
 LEAST_COVER = 3.5
+#: An element is common if several sets of so many batches have it; of these, the most frequent are set aside in
+#: signatures, so that passages that many documents share don't bring them together. That changes no result.
+COMMON_BATCHES, MOST_COMMON = 4, 200_000
 #: Words whose digest a worker remembers.
 MEMO = 1_000_000
 
@@ -121,129 +124,194 @@ def scheme(band: int, percent: int) -> tuple[int, int, int, int]:
     return min(found)[2:]
 
 
-def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures, and the index of the set that each is of."""
+def signatures(sets: list[np.ndarray], percent: int = PERCENT, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures, and the index of the set that each is of.
+
+    Without the ``common`` elements two sets differ in no more elements than with
+    them, so signatures are of the rest; a set of which that leaves too many
+    subsets empty has signatures of all its elements besides, in a space of their own.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     band = np.searchsorted(bands(percent), sizes, side="right") - 1
     of, found = [], []
     for lower in np.unique(np.concatenate([band[sizes > 0], band[sizes > 0] - 1])):
-        if lower < 0:
-            continue
-        n1, n2, k2, spare = scheme(int(lower), percent)
         who = np.flatnonzero((sizes > 0) & ((band == lower) | (band == lower + 1)))
-        if not n1 or not len(who):
+        if lower < 0 or not len(who) or not scheme(int(lower), percent)[0]:
             continue
-        elements = np.concatenate([sets[i] for i in who])
-        owner = np.repeat(np.arange(len(who)), sizes[who])
-        spread = mix(elements ^ np.uint64(0xA5A5 + 2 * int(lower)))
-        part = owner * (n1 * n2) + (spread % np.uint64(n1 * n2)).astype(np.int64)
-        sums = np.zeros(len(who) * n1 * n2, np.uint64)
-        np.add.at(sums, part, mix(spread))
-        full = np.bincount(part, minlength=len(sums)).reshape(-1, n1, n2)
-        sums = sums.reshape(-1, n1, n2)
-        subsets = list(combinations(range(n2), n2 - k2))
-        sig = np.stack([sums[:, :, s].sum(axis=2, dtype=np.uint64) for s in map(list, subsets)], axis=2)
-        held = np.stack([full[:, :, s].sum(axis=2) > 0 for s in map(list, subsets)], axis=2)
-        # Among spare + 1 groups with few differences, not all can be empty unless the set has that many empty ones.
-        wanted = held | ((~held).any(axis=2).sum(axis=1) > spare)[:, None, None]
-        label = np.arange(n1 * len(subsets), dtype=np.uint64).reshape(1, n1, -1) + np.uint64(int(lower) << 40)
-        sig = mix(sig + mix(label))
-        found.append(sig[wanted])
-        of.append(np.broadcast_to(who[:, None, None], sig.shape)[wanted])
+        if common is not None and len(common):
+            sig, index, short = _signed([sets[i] for i in who], int(lower), percent, common)
+            found.append(sig)
+            of.append(who[index])
+            who = who[short]
+        if len(who):
+            sig, index, _ = _signed([sets[i] for i in who], int(lower), percent, None)
+            found.append(sig)
+            of.append(who[index])
     return (np.concatenate(found), np.concatenate(of)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def packed(key: np.ndarray, value: np.ndarray) -> bytes:
-    return np.stack([key.view(np.int64), value]).tobytes()
-
-
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    pair = np.frombuffer(blob, np.int64).reshape(2, -1)
-    return pair[0], pair[1]
+def _signed(sets: list[np.ndarray], lower: int, percent: int, common: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, the sets they are of, and which sets have more empty groups than are spare."""
+    n1, n2, k2, spare = scheme(lower, percent)
+    elements = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    if common is not None:
+        at = np.minimum(np.searchsorted(common, elements), len(common) - 1)
+        rare = common[at] != elements
+        elements, owner = elements[rare], owner[rare]
+    spread = mix(elements ^ np.uint64(0xA5A5 + 2 * lower))
+    part = owner * (n1 * n2) + (spread % np.uint64(n1 * n2)).astype(np.int64)
+    sums = np.zeros(len(sets) * n1 * n2, np.uint64)
+    np.add.at(sums, part, mix(spread))
+    full = np.bincount(part, minlength=len(sums)).reshape(-1, n1, n2)
+    sums = sums.reshape(-1, n1, n2)
+    subsets = list(combinations(range(n2), n2 - k2))
+    sig = np.stack([sums[:, :, s].sum(axis=2, dtype=np.uint64) for s in map(list, subsets)], axis=2)
+    held = np.stack([full[:, :, s].sum(axis=2) > 0 for s in map(list, subsets)], axis=2)
+    # Among spare + 1 groups with few differences, not all can be empty unless the set has that many empty ones.
+    short = (~held).any(axis=2).sum(axis=1) > spare
+    wanted = held if common is not None else held | short[:, None, None]
+    label = np.arange(n1 * len(subsets), dtype=np.uint64).reshape(1, n1, -1) + np.uint64((2 * lower + (common is None)) << 32)
+    sig = mix(sig + mix(label))
+    return sig[wanted], np.broadcast_to(np.arange(len(sets))[:, None, None], sig.shape)[wanted], short
+
+
+def packed(left: np.ndarray, right: np.ndarray) -> bytes:
+    return np.stack([left.view(np.int64), right.view(np.int64)]).tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.int64).reshape(2, -1)
+
+
+def star(sig: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first member of each signature (sorted), and distinct edges from it to the others."""
+    first = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
+    centre = sid[first][np.cumsum(first) - 1] if len(sig) else sid
+    other = ~first & (centre != sid)
+    return first, np.unique(np.stack([centre[other], sid[other]]), axis=1)
 
 
 def _base(batches, n):
+    """A row for each document; and, with ``seen`` set, for each element that several distinct sets of a batch have."""
     for b in batches:
         sets = shingle_sets(b.column(1).to_pylist(), n)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "sid"])
-
-
-def _blobs(batches, n, percent, buckets):
-    """Signature members by bucket: one a signature to be grouped, further ones (of the batch) as they are."""
+        sids = [digest(s) for s in sets]
+        elements, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *dict(zip(sids, sets, strict=True)).values()]), return_counts=True)
+        many = count >= 2
+        k, extra = len(sets), int(many.sum())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([b.column(0).cast(pa.int64()), pa.nulls(extra, pa.int64())]),
+                pa.array(np.concatenate([[len(s) for s in sets], np.zeros(extra, np.int64)]).astype(np.int64)),
+                pa.array(np.concatenate([np.array(sids, np.int64), elements[many].view(np.int64)])),
+                pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(count[many].astype(np.int64))]),
+            ],
+            names=["doc_id", "n_shingles", "sid", "seen"],
+        )
+
+
+def _blobs(batches, n, percent, buckets, common):
+    """Signature members by bucket, one a signature; the others of the batch as edges to it."""
     turn = 0
     for b in batches:
-        sets = shingle_sets(b.column(1).to_pylist(), n)
-        distinct = {digest(s): s for s in sets}
+        distinct = {digest(s): s for s in shingle_sets(b.column(1).to_pylist(), n)}
         sids = np.fromiter(distinct, np.int64, len(distinct))
-        sig, of = signatures(list(distinct.values()), percent)
+        sig, of = signatures(list(distinct.values()), percent, common.value)
         order = np.argsort(sig, kind="stable")
         sig, sid = sig[order], sids[of[order]]
-        first = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
-        shared = ~first
-        alone = np.append(~shared[1:], True)[: len(sig)] & first
-        keep, value = sig[first], sid[first]
-        bucket = (keep >> np.uint64(33)) % np.uint64(buckets)
+        first, edges = star(sig, sid)
+        sig, sid = sig[first], sid[first]
+        bucket = (sig >> np.uint64(33)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        out = [(i, False, packed(keep[order[a:z]], value[order[a:z]])) for i, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
-        if shared.any():
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+        out = [(i, False, packed(sig[order[a:z]], sid[order[a:z]])) for i, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
+        if edges.size:
             turn += 1
-            out.append(((turn * 7919 + int(sid[0] & 0xFFFF)) % buckets, True, packed(sig[~alone], sid[~alone])))
+            out.append(((turn * 7919 + int(sids[0] & 0xFFFF)) % buckets, True, packed(*edges)))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "known", "members"])
 
 
-def _members(batches):
-    """Of one task's buckets: the members of every signature that has two."""
-    held = []
-
-    def rows(sig, sid):
-        for a in range(0, len(sig), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + 100_000]), pa.array(sid[a : a + 100_000])], names=["sig", "sid"])
-
+def _edges(batches):
+    """The distinct edges of one task's buckets: those known, and the star of each signature."""
+    held, known = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
     for b in batches:
-        for known, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            if known:
-                yield from rows(*unpacked(blob))
-            else:
-                held.append(unpacked(blob))
-    if held:
-        sig, sid = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        held.clear()
-        order = np.argsort(sig, kind="stable")
-        sig, sid = sig[order], sid[order]
-        same = sig[1:] == sig[:-1]
-        many = np.append(same, False) | np.append(False, same)
-        sig, sid = sig[many], sid[many]
-        order = np.lexsort((sid, sig))
-        sig, sid = sig[order], sid[order]
-        copy = np.append(False, (sig[1:] == sig[:-1]) & (sid[1:] == sid[:-1]))[: len(sig)]
-        sig, sid = sig[~copy], sid[~copy]
-        same = sig[1:] == sig[:-1]
-        many = (np.append(same, False) | np.append(False, same))[: len(sig)]
-        yield from rows(sig[many], sid[many])
+        for k, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            (known if k else held).append(unpacked(blob))
+    sig, sid = np.concatenate(held, axis=1)
+    held.clear()
+    order = np.argsort(sig, kind="stable")
+    _, edges = star(sig[order], sid[order])
+    edges = np.unique(np.concatenate([*known, edges], axis=1), axis=1)
+    for a in range(0, edges.shape[1], 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(edges[0, a : a + 100_000]), pa.array(edges[1, a : a + 100_000])], names=["a", "b"])
 
 
 def _sets(batches, n):
     for b in batches:
         sets = shingle_sets(b.column(1).to_pylist(), n)
         ids = pa.array([digest(s) for s in sets], pa.int64())
-        out = pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary()), b.column(0)], names=["sid", "elements", "wanted"])
-        yield out.filter(pc.equal(out["sid"], out["wanted"])).select(["sid", "elements"])
+        out = pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary()), b.column(2), b.column(0)], names=["sid", "elements", "root", "wanted"])
+        yield out.filter(pc.equal(out["sid"], out["wanted"])).select(["sid", "elements", "root"])
 
 
-def _compare(batches, percent):
+def linked_pairs(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the sets."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    if len(sets) == 2:
+        common = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))]] * 2)
+    else:
+        values, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        shared = (np.bincount(column, minlength=len(values)) > 1)[column]
+        row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            lo, hi = np.searchsorted(column, (a, a + COLUMNS))
+            part = np.zeros((len(sets), COLUMNS), np.float32)
+            part[row[lo:hi], column[lo:hi] - a] = 1
+            common += part @ part.T  # counts under 2^24 are exact
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i in range(len(sets) - 1):
+        both = common[i, i + 1 :].astype(np.int64)
+        for j in (np.flatnonzero(100 * both >= percent * (sizes[i] + sizes[i + 1 :] - both)) + i + 1).tolist():
+            a, b = find(i), find(j)
+            if a != b:
+                root[b] = a
+                out.append((i, j))
+    return out
+
+
+def _links(batches, percent):
+    """Links within each group of rows (sorted by group): its sets are held together, no others."""
+    group, sids, sets = None, [], []
+
+    def close():
+        found = linked_pairs(sets, percent) if len(sets) > 1 else []
+        return [(sids[i], sids[j]) for i, j in found]
+
     for b in batches:
-        keep = []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                keep.append(False)
-                continue
-            both = np.concatenate([x, y])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= percent * (len(both) - common))
-        yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
+        out = []
+        for key, sid, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            if key != group:
+                out += close()
+                group, sids, sets = key, [], []
+            sids.append(sid)
+            sets.append(np.frombuffer(blob.as_buffer(), np.uint64))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+    if out := close():
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
 
 # Components -----------------------------------------------------------------
@@ -272,60 +340,41 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    base = docs.mapInArrow(lambda it: _base(it, n), "doc_id long, n_shingles long, sid long")
+    base = docs.mapInArrow(lambda it: _base(it, n), "doc_id long, n_shingles long, sid long, seen long")
     base = stage(spark, base, "sets")
+    frequent = base.filter("seen is not null").groupBy("sid").agg(F.sum("seen").alias("seen"), F.count("*").alias("batches")).filter(F.col("batches") >= COMMON_BATCHES)
+    # At most batch rows x elements a set: an element in two sets of most batches is in a fixed share of all sets.
+    frequent = frequent.orderBy(F.desc("seen"), "sid").limit(MOST_COMMON).select("sid").collect()
+    common = spark.sparkContext.broadcast(np.sort(np.array([r["sid"] for r in frequent], np.int64).view(np.uint64)))
+    base = base.filter("seen is null").drop("seen")
 
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(chars / BUCKET_CHARS))
-    blobs = docs.mapInArrow(lambda it: _blobs(it, n, percent, buckets), "bucket int, known boolean, members binary")
-    members = blobs.repartition(buckets, "bucket").mapInArrow(_members, "sig long, sid long").distinct()
-    members = stage(spark, members, "members")
-
-    labels = _linked(spark, docs, base, members, n, percent)
+    blobs = docs.mapInArrow(lambda it: _blobs(it, n, percent, buckets, common), "bucket int, known boolean, members binary")
+    edges = blobs.repartition(buckets, "bucket").mapInArrow(_edges, "a long, b long")
+    labels = components(_linked(spark, docs, base, components(edges), n, percent))
     rooted = base.join(labels, base["sid"] == labels["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "sid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
     return rooted.join(least, "root").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def _linked(spark, docs, base, members, n, percent) -> DataFrame:
-    """``(node, root)`` of the set digests that have links."""
-    involved = members.select("sid").distinct()
-    chosen = stage(spark, base.join(involved, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "chosen")
-    chosen = chosen.select(F.col("sid").alias("wanted"), F.col("doc_id").alias("_id"))
-    texts = docs.join(maybe_broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_id"))).select("wanted", "text")
-    sets = stage(spark, texts.mapInArrow(lambda it: _sets(it, n), "sid long, elements binary").dropDuplicates(["sid"]), "elements")
-
-    links = None
-    rest = members.withColumn("root", F.col("sid"))
-    first = True
-    while True:
-        if first:
-            pivots = rest.groupBy("sig").agg(F.min("sid").alias("pivot"), F.lit(None).cast("long").alias("pivot_root"))
-            met = rest.join(pivots, "sig").filter("sid <> pivot")
-        else:
-            ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("sid")))
-            rest = stage(spark, ranked, "ranked")
-            pivots = rest.filter(F.col("rank") <= PIVOTS).select("sig", F.col("sid").alias("pivot"), F.col("root").alias("pivot_root"), F.col("rank").alias("pivot_rank"))
-            met = rest.join(pivots, "sig").filter("root <> pivot_root and rank > pivot_rank")
-        pairs = met.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
-        x = sets.select(F.col("sid").alias("a"), F.col("elements").alias("x"))
-        y = sets.select(F.col("sid").alias("b"), F.col("elements").alias("y"))
-        full = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        found = stage(spark, full.mapInArrow(lambda it: _compare(it, percent), "a long, b long"), "found")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        # On with the members that were no pivot, of signatures whose others are in several components.
-        if first:
-            left = rest.drop("root").join(pivots.select("sig", F.col("pivot").alias("_p")), "sig").filter("sid <> _p").select("sig", "sid")
-        else:
-            left = rest.filter(F.col("rank") > PIVOTS).select("sig", "sid")
-        left = left.join(labels, F.col("sid") == F.col("node"), "left").select("sig", "sid", F.coalesce("root", "sid").alias("root"))
-        open_ = left.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
-        rest = stage(spark, left.join(open_, "sig"), "rest")
-        if rest.isEmpty():
-            return labels
-        first = False
+def _linked(spark, docs, base, families, n, percent) -> DataFrame:
+    """Links ``(a, b)`` between the set digests of each family ``(node, root)``, as spanning forests."""
+    families = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
+    chosen = base.join(families, F.col("sid") == F.col("node")).groupBy("sid", "root").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    chosen = stage(spark, chosen, "chosen")
+    # Families of many elements are dealt into blocks, and each pair of blocks is a group.
+    blocks = chosen.groupBy("root").agg(F.ceil(F.sum("n") / GROUP_ELEMENTS).cast("int").alias("blocks")).filter("blocks > 1").select(F.col("root").alias("_root"), "blocks")
+    wanted = chosen.select(F.col("sid").alias("wanted"), F.col("doc_id").alias("_id"), "root")
+    texts = docs.join(maybe_broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("_id"))).select("wanted", "text", "root")
+    sets = texts.mapInArrow(lambda it: _sets(it, n), "sid long, elements binary, root long").dropDuplicates(["sid"])
+    dealt = sets.join(blocks, F.col("root") == F.col("_root"), "left").withColumn("_n", F.coalesce("blocks", F.lit(1))).withColumn("_b", F.pmod(F.xxhash64("sid"), F.col("_n")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    group = F.xxhash64("root", F.least("_b", "_o"), F.greatest("_b", "_o"))
+    grouped = dealt.withColumn("_o", other).select(group.alias("group"), "sid", "elements")
+    tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return grouped.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(lambda it: _links(it, percent), "a long, b long")
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
