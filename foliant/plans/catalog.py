@@ -1,4 +1,6 @@
 """Query catalog: name to builder, name to oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import integrity, outstandings, windows  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
