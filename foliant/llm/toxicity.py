@@ -174,7 +174,8 @@ def learn(rows: DataFrame) -> Model:
     bare = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, EDGES, ""))
     listed = rows.select("label", F.array_distinct(F.filter(bare, lambda w: F.length(w) >= 3)).alias("words"))
     listed = stage(spark, listed, "toxic-sample")
-    stems_of = [F.transform(F.filter("words", lambda w, k=k: F.length(w) > k), lambda w, k=k: F.substring(w, 1, k)) for k in STEMS]
+    stem = lambda k: F.transform(F.filter("words", lambda w: F.length(w) > k), lambda w: F.substring(w, 1, k))
+    stems_of = [stem(k) for k in STEMS]
     counts = [F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")]
     by_word = listed.select("label", F.explode("words").alias("term")).groupBy("term").agg(*counts)
     # A stem counts where three or more of a text's words share it.
