@@ -2,13 +2,13 @@
 
 The lexicon holds a few plain insults and the terms learned from labelled
 rows: words, and stems at a word's start, that occur in several toxic documents
-and hardly in clean ones. Each distinct word of a text walks the lexicon's trie
-together with the Levenshtein automaton of the word (its rows are the automaton's
-states), so misspelled terms are found within the edits their length allows; a
-variant that is itself a common clean word does not count. For each hit a window
-of words around it tells quotation (quotes, words of saying or of discussing
-language) from abuse (second person, more hits). A logistic model over the
-document's hit counts gives the score.
+and hardly in clean ones. Each distinct word walks the lexicon's trie together
+with the Levenshtein automaton of the word (its rows are the automaton's states;
+numpy steps many words at once), so misspelled terms are found within the edits
+their length allows; a variant that is itself a common clean word does not count.
+For each hit a window of words around it tells quotation (quotes, words of saying
+or of discussing language) from abuse (second person, more hits). A logistic
+model over the document's hit counts gives the score.
 
 Null and empty texts score as texts without a hit. A document's score depends
 on its text alone. Rows without a label, or held out, never shape the model; if
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, small_batches, stage
+from .common import let, maybe_broadcast, small_batches, stage
 
 # Plain insults that seed the lexicon.
 SEED_TERMS = (
@@ -48,8 +48,8 @@ WINDOW, FIT_ROWS = 8, 5_000
 MOST_CLEAN, LEAST_PURITY, CHANCE = 0.002, 0.95, 0.5
 #: Characters of learned stems, and terms learned at most (the best by documents covered).
 STEMS, MOST_TERMS = (4, 5, 6, 7), 400
-#: Words whose verdict a worker remembers.
-MEMO = 1_000_000
+#: Words whose verdict a worker remembers, and characters of the texts whose words are looked up at once.
+MEMO, RUN_CHARS = 500_000, 4_000_000
 
 
 def edits_allowed(length: int) -> int:
@@ -58,88 +58,124 @@ def edits_allowed(length: int) -> int:
 
 @dataclass
 class Lexicon:
-    """Terms and stems as tries, and the clean words that no fuzzy match may claim."""
+    """Terms and stems, the terms' trie, and the clean words that no fuzzy match may claim."""
 
     terms: tuple[str, ...]
     stems: tuple[str, ...]
     clean: frozenset[str]
     trie: dict = field(default_factory=dict)
-    memo: dict = field(default_factory=dict)
+    known: set = field(default_factory=set)
+    hits: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        for kind, group in (("term", self.terms), ("stem", self.stems)):
-            for term in group:
-                node = self.trie
-                for c in term:
-                    node = node.setdefault(c, {})
-                node[kind] = term
-
-    def hit(self, word: str) -> int:
-        """0: none, 1: a term or stem as it stands, 2: a misspelled term."""
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            found = self.memo[word] = self.search(word)
+        for term in self.terms:
+            node = self.trie
+            for c in term:
+                node = node.setdefault(c, {})
+            node["term"] = term
+        self.plain, self.begin = frozenset(self.terms), frozenset(self.stems)
+        self.longest = max(map(len, self.terms), default=0) + 2
+
+    def learn_words(self, tokens: set[str]) -> None:
+        """Find out which of the tokens are hits: ``hits`` has 1 for a term or stem as it stands, 2 for a misspelled term."""
+        if len(self.known) > MEMO:
+            self.known, self.hits = set(), {}
+        new = list(tokens - self.known)
+        self.known.update(new)
+        bare = [w.strip(EDGE) for w in new]
+        fuzzy: dict[str, list[str]] = {}
+        for token, word in zip(new, bare, strict=True):
+            if self.exact(word):
+                self.hits[token] = 1
+            elif len(word) >= 5 and word not in self.clean:
+                plain = word if word.isalpha() else word.translate(LEET)
+                if plain is not word and 2 * sum(map(str.isalpha, word)) < len(word):
+                    continue
+                if plain != word and self.exact(plain):
+                    self.hits[token] = 2
+                elif len(plain) <= self.longest and plain[0] in self.trie:
+                    fuzzy.setdefault(plain, []).append(token)
+        for word in self.misspelled(list(fuzzy)):
+            for token in fuzzy[word]:
+                self.hits[token] = 2
+
+    def exact(self, word: str) -> bool:
+        return word in self.plain or any(word[:k] in self.begin for k in STEMS)
+
+    def misspelled(self, words: list[str]) -> list[str]:
+        """The words within the allowed edits of a term that begins with the same letter: the words'
+        automata walk the trie side by side, a row of each for each node; a word leaves where its state is dead."""
+        found: list[str] = []
+        by_first: dict[str, list[str]] = {}
+        for w in words:
+            by_first.setdefault(w[0], []).append(w)
+        for first, own in by_first.items():
+            width = max(map(len, own))
+            lengths = np.array([len(w) for w in own])
+            letters = np.array(own, f"U{width}").view(np.uint32).reshape(len(own), width)
+            most = np.where(lengths < 9, edits_allowed(5), edits_allowed(9)).astype(np.int8)
+            row = np.abs(np.arange(width + 1, dtype=np.int8) - 1)[None].repeat(len(own), axis=0)
+            hit = np.zeros(len(own), bool)
+            self.walk(self.trie[first], np.arange(len(own)), row, None, first, letters, lengths, most, hit)
+            found += [own[i] for i in np.flatnonzero(hit)]
         return found
 
-    def search(self, word: str) -> int:
-        node = self.trie
-        for c in word:
-            node = node.get(c)
-            if node is None:
-                break
-            if "stem" in node:
-                return 1
-        if node is not None and "term" in node:
-            return 1
-        most = edits_allowed(len(word))
-        if not most or word in self.clean or word[0] not in self.trie:
-            return 0
-        plain = word.translate(LEET)
-        if plain != word and (found := self.search(plain)):
-            return 2
-        # The automaton's state after the term's first letter, which must be right; None is a dead state.
-        start = tuple(abs(i - 1) for i in range(len(word) + 1))
-        return 2 if self.walk(self.trie[word[0]], word, start, None, word[0], most) else 0
-
-    def walk(self, node: dict, word: str, row: tuple, above: tuple | None, last: str, most: int) -> bool:
-        """Whether a term below ``node`` is within ``most`` edits (swaps of neighbours count as one)."""
+    def walk(self, node: dict, at, row, above, last: str, letters, lengths, most, hit) -> None:
+        """``row[k, i]``: edits (swaps of neighbours count as one) from the trie's path to the first i letters of word ``at[k]``."""
         term = node.get("term")
-        if term is not None and row[-1] <= min(most, edits_allowed(len(term))):
-            return True
+        if term is not None:
+            hit[at[row[np.arange(len(at)), lengths[at]] <= np.minimum(most[at], edits_allowed(len(term)))]] = True
+        steps = np.arange(row.shape[1], dtype=np.int8)
         for c, child in node.items():
             if len(c) > 1:
                 continue
-            new = [row[0] + 1]
-            for i, w in enumerate(word):
-                v = min(new[i] + 1, row[i + 1] + 1, row[i] + (w != c))
-                if above is not None and i and w == last and word[i - 1] == c:
-                    v = min(v, above[i - 1] + 1)
-                new.append(v)
-            if min(new) <= most and self.walk(child, word, tuple(new), row, c, most):
-                return True
-        return False
+            same = letters[at] == ord(c)
+            new = row + np.int8(1)
+            np.minimum(new[:, 1:], row[:, :-1] + ~same, out=new[:, 1:])
+            if above is not None:
+                swapped = same[:, :-1] & (letters[at, 1:] == ord(last))
+                np.minimum(new[:, 2:], np.where(swapped, above[:, :-2] + np.int8(1), np.int8(99)), out=new[:, 2:])
+            new = np.minimum.accumulate(new - steps, axis=1) + steps
+            live = np.flatnonzero((new.min(axis=1) <= most[at]) & ~hit[at])
+            if len(live):
+                self.walk(child, at[live], new[live], row[live], c, letters, lengths, most, hit)
 
 
 FEATURES = ("hits", "exact", "fuzzy", "quoted", "saying", "address", "crowded", "any")
-
-
-def features(text: str, lexicon: Lexicon) -> np.ndarray:
-    """Counts of hits by kind and context, per document and on a log scale."""
-    out = np.zeros(len(FEATURES))
-    tokens = text.lower().split()
-    hits = {w for w in set(tokens) if lexicon.hit(w.strip(EDGE))}
-    if not hits:
-        return out
-    at = [i for i, w in enumerate(tokens) if w in hits]
-    for i in at:
-        kind = lexicon.hit(tokens[i].strip(EDGE))
-        near = [w.strip(EDGE) for w in tokens[max(0, i - WINDOW) : i + WINDOW + 1]]
-        quoted = tokens[i][0] in QUOTES and tokens[i].rstrip(EDGE.translate({ord(q): None for q in QUOTES}))[-1:] in QUOTES
-        out += (1, kind == 1, kind == 2, quoted, any(w in SAYING for w in near), any(w in ADDRESS for w in near), sum(map(bool, map(lexicon.hit, near))) > 1, 0)
-    out[-1] = 1
-    return np.log1p(out)
+NOT_QUOTES = EDGE.translate({ord(q): None for q in QUOTES})
+
+
+def features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
+    """Counts of hits by kind and context, a row a document, on a log scale."""
+    out = np.zeros((len(texts), len(FEATURES)))
+    split = [(t or "").lower().split() for t in texts]
+    lexicon.learn_words(set().union(*split))
+    hits = lexicon.hits
+    for k, tokens in enumerate(split):
+        if hits.keys().isdisjoint(tokens):
+            continue
+        for i, w in enumerate(tokens):
+            if w not in hits:
+                continue
+            around = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
+            near = [x.strip(EDGE) for x in around]
+            quoted = w[0] in QUOTES and w.rstrip(NOT_QUOTES)[-1:] in QUOTES
+            out[k] += (1, hits[w] == 1, hits[w] == 2, quoted, any(x in SAYING for x in near), any(x in ADDRESS for x in near), sum(x in hits for x in around) > 1, 0)
+            out[k, -1] = 1
+    out[:, :-1] = np.log1p(out[:, :-1])
+    return out
+
+
+def grouped(texts: list[str | None]):
+    """Places in the list, run by run of at most RUN_CHARS characters or one text."""
+    a, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size > RUN_CHARS and i > a:
+            yield a, i
+            a, size = i, len(t or "")
+    if a < len(texts):
+        yield a, len(texts)
 
 
 @dataclass
@@ -148,8 +184,9 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-(features(text or "", self.lexicon) @ self.weights + self.bias))))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        x = np.concatenate([np.zeros((0, len(FEATURES))), *(features(texts[a:z], self.lexicon) for a, z in grouped(texts))])
+        return 1 / (1 + np.exp(-(x @ self.weights + self.bias)))
 
 
 #: Used where no labels are given: abuse pulls up, quotation down.
@@ -157,19 +194,12 @@ DEFAULT = np.array([0.5, 2.0, 1.0, -2.0, -2.0, 0.5, 0.5, 2.0]), -3.0
 
 
 def learn(rows: DataFrame) -> Model:
-    """A model from labelled rows ``(text, label)``.
-
-    At most about ``FIT_ROWS`` rows of each class are used, chosen by a hash of
-    the text; with fewer labelled rows all are.
-    """
+    """A model from labelled rows ``(text, label)`` such as ``training_rows`` chooses."""
     spark = rows.sparkSession
-    rows = rows.filter(F.col("label").isin(0, 1)).select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if not sizes.get(1) or not sizes.get(0):
+    rows = stage(spark, rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label")).filter(F.col("label").isin(0, 1)), "toxic-rows")
+    used = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not used.get(1) or not used.get(0):
         return Model(Lexicon(SEED_TERMS, (), frozenset()), *DEFAULT)
-    share = F.when(F.col("label") == 1, F.lit(min(1.0, FIT_ROWS / sizes[1]))).otherwise(F.lit(min(1.0, FIT_ROWS / sizes[0])))
-    rows = rows.filter(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1_000_000)) < share * 1_000_000)
-    used = {k: min(n, FIT_ROWS) for k, n in sizes.items()}
 
     bare = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, EDGES, ""))
     listed = rows.select("label", F.array_distinct(F.filter(bare, lambda w: F.length(w) >= 3)).alias("words"))
@@ -215,8 +245,8 @@ def learn(rows: DataFrame) -> Model:
 
     def run(batches):
         for b in batches:
-            x = [features(t, shared.value) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([v.tolist() for v in x], pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
+            x = features(b.column(0).to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
 
     seen = rows.mapInArrow(run, "x array<double>, label int").groupBy("x", "label").count().collect()
     x, y, n = np.array([r["x"] for r in seen]), np.array([r["label"] for r in seen], float), np.array([r["count"] for r in seen], float)
@@ -247,7 +277,7 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     def run(batches):
         m = shared.value
         for b in batches:
-            scores = [m.score(t) for t in b.column(at).to_pylist()]
+            scores = m.scores(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -259,6 +289,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts and labels of the rows that may be learned from; copies of an id with differing labels count as each."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("label")).filter("label is not null").distinct()
-    return docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("_id")).select("text", "label")
+    """Texts and labels of the rows that may be learned from; copies of an id with differing labels count as each.
+
+    At most about ``FIT_ROWS`` labels of each class are used, chosen by a hash of
+    the id before any text is read; with fewer labels all are.
+    """
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"))).distinct()
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    share = F.when(F.col("label") == 1, F.lit(min(1.0, FIT_ROWS / sizes.get(1, 1)))).otherwise(F.lit(min(1.0, FIT_ROWS / sizes.get(0, 1))))
+    known = known.filter(F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(1_000_000)) < share * 1_000_000)
+    return docs.select("doc_id", "text").join(maybe_broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "label")
