@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm import bpe, jaccard_join, mixing, pii, toxicity
 from foliant.llm.catalog import vocabulary
-from foliant.llm.common import stage, table
+from foliant.llm.common import fresh, stage, table
 
 #: Words of a shingle and least similarity in percent for near duplicates; score from which a document is toxic.
 SHINGLE, SIMILAR, TOXIC = 5, 80, 0.7
@@ -21,7 +21,8 @@ SHINGLE, SIMILAR, TOXIC = 5, 80, 0.7
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC; the model learns from the labelled rows that aren't held out."""
     model = toxicity.learn(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model, "_score").filter(F.col("_score") < TOXIC).select(*docs.columns)
+    score = fresh(docs, "_score")
+    return toxicity.score(docs, model, score).filter(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

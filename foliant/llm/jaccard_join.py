@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, small_batches, stage
+from .common import fresh, maybe_broadcast, small_batches, stage
 
 #: Words a shingle has, and the least similarity in percent.
 N, PERCENT = 4, 85
@@ -380,6 +380,7 @@ def _linked(spark, docs, base, families, n, percent) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """The documents without near duplicates: of each component the one with the smallest id
     (of repeated rows of that id, one; rows with a null id stay)."""
-    found = classes(docs, n, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    kept_id = fresh(docs, "_kept")
+    found = classes(docs, n, percent).filter("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
+    kept = docs.join(found, F.col("doc_id") == F.col(kept_id), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null"))

@@ -269,7 +269,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.0
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
-    """The rows of ``docs`` with a score from 0 to 1 for each whole text."""
+    """The rows of ``docs`` with a score from 0 to 1 for each whole text; a column that has that name is replaced."""
+    docs = docs.drop(out)
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
