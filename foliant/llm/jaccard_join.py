@@ -11,10 +11,10 @@ empty subsets unless it has too many of them, so no signature is shared by
 chance between small projections. Equal sets are one class from the start.
 
 Sets that share signatures, directly or through others, form a family. A family's
-sets meet in one task (large families in tasks by pairs of blocks, so memory is
-bounded and no pair of blocks is left out), which counts all intersections by
-products of 0/1 matrices and hands on a spanning forest of the links, never the
-pairs. Before signatures are shuffled, each batch keeps one member a signature
+sets meet in one task (families of many elements or sets in tasks by pairs of
+blocks, so that no pair of blocks is left out), which counts intersections by
+products of 0/1 matrices in stripes of rows, so memory doesn't follow the square
+of the sets, and hands on a spanning forest of the links, never the pairs. Before signatures are shuffled, each batch keeps one member a signature
 and turns the others into edges to it, so a common signature doesn't gather in one task.
 
 Null and word-less texts have an empty set and link with nothing. A row with a
@@ -40,8 +40,8 @@ from .common import fresh, maybe_broadcast, small_batches, stage
 
 #: Words a shingle has, and the least similarity in percent.
 N, PERCENT = 4, 85
-#: Text that one bucket of signatures stands for, elements of sets that meet in one group, columns of a 0/1 matrix.
-BUCKET_CHARS, GROUP_ELEMENTS, COLUMNS = 8_000_000, 2_000_000, 4096
+#: Text that one bucket of signatures stands for, elements and sets of a block of a family, columns and cells of a matrix.
+BUCKET_CHARS, GROUP_ELEMENTS, GROUP_SETS, COLUMNS, CELLS = 8_000_000, 2_000_000, 16_384, 4096, 1 << 23
 #: Elements that a signature should cover on average.
 LEAST_COVER = 3.5
 #: An element is common if several sets of so many batches have it; of these, the most frequent are set aside in
@@ -256,42 +256,51 @@ def _sets(batches, n):
 
 
 def linked_pairs(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets."""
+    """A spanning forest of the links among the sets; no matrix has more than CELLS cells (or a row, if that is longer)."""
     sizes = np.array([len(s) for s in sets], np.int64)
     if len(sets) == 2:
-        common = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))]] * 2)
-    else:
-        values, column = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), sizes)
-        shared = (np.bincount(column, minlength=len(values)) > 1)[column]
-        row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
-        common = np.zeros((len(sets), len(sets)), np.float32)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-            lo, hi = np.searchsorted(column, (a, a + COLUMNS))
-            part = np.zeros((len(sets), COLUMNS), np.float32)
-            part[row[lo:hi], column[lo:hi] - a] = 1
-            common += part @ part.T  # counts under 2^24 are exact
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out = []
-    for i in range(len(sets) - 1):
-        both = common[i, i + 1 :].astype(np.int64)
-        for j in (np.flatnonzero(100 * both >= percent * (sizes[i] + sizes[i + 1 :] - both)) + i + 1).tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                root[b] = a
-                out.append((i, j))
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return [(0, 1)] if 100 * both >= percent * (sizes.sum() - both) else []
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = (np.bincount(column, minlength=len(values)) > 1)[column]
+    row, column = row[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    label, out = np.arange(len(sets)), []
+    rows = max(1, CELLS // len(sets))
+    for top in range(0, len(sets) - 1, rows):
+        if (label == label[0]).all():
+            break  # no link would join anything more
+        common = common_counts(row, column, top, min(top + rows, len(sets)), len(sets))
+        for i in range(top, min(top + rows, len(sets) - 1)):
+            both = common[i - top, i + 1 - top :].astype(np.int64)
+            j = np.flatnonzero(100 * both >= percent * (sizes[i] + sizes[i + 1 :] - both)) + i + 1
+            j = j[label[j] != label[i]]
+            if len(j):
+                met, first = np.unique(label[j], return_index=True)
+                out += [(i, k) for k in j[first].tolist()]
+                label[np.isin(label, met)] = label[i]
     return out
 
 
+def common_counts(row: np.ndarray, column: np.ndarray, top: int, end: int, n: int) -> np.ndarray:
+    """Common elements of the sets top to end (rows) with the sets from top to n, from entries sorted by column."""
+    inside = (row >= top) & (row < end)
+    used = np.zeros(int(column[-1]) + 1 if len(column) else 0, bool)
+    used[column[inside]] = True
+    chosen = used[column] & (row >= top) if len(column) else inside
+    row, column = row[chosen] - top, (np.cumsum(used) - 1)[column[chosen]]
+    common = np.zeros((end - top, n - top), np.float32)
+    width = max(1, min(COLUMNS, CELLS // (n - top)))
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, (a, a + width))
+        part = np.zeros((n - top, min(width, int(column[-1]) + 1 - a)), np.float32)
+        part[row[lo:hi], column[lo:hi] - a] = 1
+        common += part[: end - top] @ part.T  # counts under 2^24 are exact
+    return common
+
+
 def _links(batches, percent):
     """Links within each group of rows (sorted by group): its sets are held together, no others."""
     group, sids, sets = None, [], []
@@ -364,8 +373,9 @@ def _linked(spark, docs, base, families, n, percent) -> DataFrame:
     families = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
     chosen = base.join(families, F.col("sid") == F.col("node")).groupBy("sid", "root").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     chosen = stage(spark, chosen, "chosen")
-    # Families of many elements are dealt into blocks, and each pair of blocks is a group.
-    blocks = chosen.groupBy("root").agg(F.ceil(F.sum("n") / GROUP_ELEMENTS).cast("int").alias("blocks")).filter("blocks > 1").select(F.col("root").alias("_root"), "blocks")
+    # Families of many elements or sets are dealt into blocks, and each pair of blocks is a group.
+    size = F.greatest(F.ceil(F.sum("n") / GROUP_ELEMENTS), F.ceil(F.count("*") / GROUP_SETS))
+    blocks = chosen.groupBy("root").agg(size.cast("int").alias("blocks")).filter("blocks > 1").select(F.col("root").alias("_root"), "blocks")
     wanted = chosen.select(F.col("sid").alias("wanted"), F.col("doc_id").alias("_id"), "root")
     texts = docs.join(maybe_broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("_id"))).select("wanted", "text", "root")
     sets = texts.mapInArrow(lambda it: _sets(it, n), "sid long, elements binary, root long").dropDuplicates(["sid"])

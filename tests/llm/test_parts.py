@@ -119,6 +119,46 @@ def test_jaccard_classes_of_near_copies(spark, documents, monkeypatch, elements)
     assert sorted(map(tuple, found)) == sorted(brute.components(list(enumerate(texts)), 5, 80))
 
 
+def test_memory_of_a_family_does_not_follow_its_sets_squared():
+    import tracemalloc
+
+    same = np.arange(12, dtype=np.uint64)
+    sets = [np.append(same, np.uint64(100 + i)) for i in range(8000)]  # each two have 12 of 14 elements in common
+    tracemalloc.start()
+    try:
+        found = jaccard_join.linked_pairs(sets, 80)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 7999 and len({i for pair in found for i in pair}) == 8000
+    assert peak < 200_000_000
+
+
+@pytest.mark.parametrize("cells", [1, 300, 1 << 23])
+def test_stripes_of_rows_find_the_classes_of_all_pairs(monkeypatch, cells):
+    monkeypatch.setattr(jaccard_join, "CELLS", cells)
+    texts = near_copies(random.Random(cells), 25, 6)
+    sets = list({s.tobytes(): s for s in jaccard_join.shingle_sets(texts, 3) if len(s)}.values())
+
+    def classes(pairs):
+        label = list(range(len(sets)))
+        for i, j in pairs:
+            label = [label[i] if x == label[j] else x for x in label]
+        return {frozenset(k for k, x in enumerate(label) if x == y) for y in label}
+
+    both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    plain = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * both(i, j) >= 80 * (len(sets[i]) + len(sets[j]) - both(i, j))]
+    found = jaccard_join.linked_pairs(sets, 80)
+    assert classes(found) == classes(plain) and len(found) == len(sets) - len(classes(plain))
+
+
+def test_families_of_many_sets_are_dealt_into_blocks(spark, documents, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GROUP_SETS", 10)
+    texts = [" ".join(["notice"] * 3 + [f"w{k}" for k in range(16)] + [f"last{i}"]) for i in range(60)]
+    docs = documents(texts)
+    assert {r["component_id"] for r in jaccard_join.classes(docs, 4, 80).collect()} == {0}
+
+
 def test_one_document_of_each_group_stays(spark, documents):
     texts = near_copies(random.Random(9), 10, 6) + [None, "", "lone words here"]
     kept = [r["doc_id"] for r in jaccard_join.keep_one(documents(texts), 5, 80).collect()]
