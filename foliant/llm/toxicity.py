@@ -4,8 +4,10 @@ The lexicon holds a few plain insults and the terms learned from labelled
 rows: words, and stems at a word's start, that occur in several toxic documents
 and hardly in clean ones. Each distinct word walks the lexicon's trie together
 with the Levenshtein automaton of the word (its rows are the automaton's states;
-numpy steps many words at once), so misspelled terms are found within the edits
-their length allows; a variant that is itself a common clean word does not count.
+numpy steps many words at once) from the trie's root, so misspelled terms are
+found within the edits that the term's length allows, wherever the edits are; a
+variant that is itself a common clean word does not count. Terms that a stem
+covers are in the trie too, for edits inside the stem.
 For each hit a window of words around it tells quotation (quotes, words of saying
 or of discussing language) from abuse (second person, more hits). A logistic
 model over the document's hit counts gives the score.
@@ -48,8 +50,8 @@ WINDOW, FIT_ROWS = 8, 5_000
 MOST_CLEAN, LEAST_PURITY, CHANCE = 0.002, 0.95, 0.5
 #: Characters of learned stems, and terms learned at most (the best by documents covered).
 STEMS, MOST_TERMS = (4, 5, 6, 7), 400
-#: Words whose verdict a worker remembers, and characters of the texts whose words are looked up at once.
-MEMO, RUN_CHARS = 500_000, 4_000_000
+#: Words whose verdict a worker remembers, characters of the texts whose words are looked up at once, words that walk side by side.
+MEMO, RUN_CHARS, ABREAST = 500_000, 4_000_000, 16_384
 
 
 def edits_allowed(length: int) -> int:
@@ -71,10 +73,13 @@ class Lexicon:
         for term in self.terms:
             node = self.trie
             for c in term:
+                node["most"] = max(node.get("most", 0), edits_allowed(len(term)))
                 node = node.setdefault(c, {})
             node["term"] = term
+            node["most"] = max(node.get("most", 0), edits_allowed(len(term)))
         self.plain, self.begin = frozenset(self.terms), frozenset(self.stems)
         self.longest = max(map(len, self.terms), default=0) + 2
+        self.shortest = min((len(t) - edits_allowed(len(t)) for t in self.terms if edits_allowed(len(t))), default=self.longest + 1)
 
     def learn_words(self, tokens: set[str]) -> None:
         """Find out which of the tokens are hits: ``hits`` has 1 for a term or stem as it stands, 2 for a misspelled term."""
@@ -87,39 +92,63 @@ class Lexicon:
         for token, word in zip(new, bare, strict=True):
             if self.exact(word):
                 self.hits[token] = 1
-            elif len(word) >= 5 and word not in self.clean:
+            elif len(word) >= self.shortest and word not in self.clean:
                 plain = word if word.isalpha() else word.translate(LEET)
                 if plain is not word and 2 * sum(map(str.isalpha, word)) < len(word):
                     continue
                 if plain != word and self.exact(plain):
                     self.hits[token] = 2
-                elif len(plain) <= self.longest and plain[0] in self.trie:
+                elif len(plain) <= self.longest:
                     fuzzy.setdefault(plain, []).append(token)
-        for word in self.misspelled(list(fuzzy)):
+        for word in self.misspelled(list(fuzzy), anywhere=True):
             for token in fuzzy[word]:
                 self.hits[token] = 2
 
     def exact(self, word: str) -> bool:
         return word in self.plain or any(word[:k] in self.begin for k in STEMS)
 
-    def misspelled(self, words: list[str]) -> list[str]:
-        """The words within the allowed edits of a term that begins with the same letter: the words'
-        automata walk the trie side by side, a row of each for each node; a word leaves where its state is dead."""
+    def misspelled(self, words: list[str], anywhere: bool = False) -> list[str]:
+        """The words within the allowed edits of a term: the words' automata walk the trie side by side,
+        a row of each for each node; a word leaves where its state is dead. The term's length tells the edits,
+        and they may be ``anywhere``; else only terms that begin with the word's letter count, within the word's edits too."""
         found: list[str] = []
         by_first: dict[str, list[str]] = {}
-        for w in words:
-            by_first.setdefault(w[0], []).append(w)
-        for first, own in by_first.items():
+        for w in sorted(words, key=len) if anywhere else words:
+            by_first.setdefault("" if anywhere else w[0], []).append(w)
+        runs = [(first, own[a : a + ABREAST]) for first, own in by_first.items() for a in range(0, len(own), ABREAST)]
+        for first, own in runs:
             width = max(map(len, own))
             lengths = np.array([len(w) for w in own])
             letters = np.array(own, f"U{width}").view(np.uint32).reshape(len(own), width)
-            most = np.where(lengths < 9, edits_allowed(5), edits_allowed(9)).astype(np.int8)
-            row = np.abs(np.arange(width + 1, dtype=np.int8) - 1)[None].repeat(len(own), axis=0)
             hit = np.zeros(len(own), bool)
-            self.walk(self.trie[first], np.arange(len(own)), row, None, first, letters, lengths, most, hit)
+            if anywhere:
+                most = self.reach(letters, lengths)
+                at = np.flatnonzero(most >= 0)
+                row, node = np.arange(width + 1, dtype=np.int8)[None].repeat(len(at), axis=0), self.trie
+            else:
+                most = np.where(lengths < 9, edits_allowed(5), edits_allowed(9)).astype(np.int8)
+                at = np.arange(len(own))
+                row, node = np.abs(np.arange(width + 1, dtype=np.int8) - 1)[None].repeat(len(own), axis=0), self.trie[first]
+            self.walk(node, at, row, None, first, letters, lengths, most, hit)
             found += [own[i] for i in np.flatnonzero(hit)]
         return found
 
+    def reach(self, letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The most edits that a term allows a word to which it may be that close, -1 if none may: an edit changes
+        the length by one at most, and adds and removes one kind of letter at most. So no match is left out."""
+        bits = np.where(letters > 0, np.uint64(1) << (letters % 64).astype(np.uint64), np.uint64(0))
+        own = np.bitwise_or.reduce(bits, axis=1)
+        most = np.full(len(lengths), -1, np.int8)
+        for term in self.terms:
+            e = edits_allowed(len(term))
+            a, z = np.searchsorted(lengths, (len(term) - e, len(term) + e + 1))
+            if a == z:
+                continue
+            kinds = np.uint64(sum({1 << ord(c) % 64 for c in term}))
+            near = (np.bitwise_count(kinds & ~own[a:z]) <= e) & (np.bitwise_count(own[a:z] & ~kinds) <= e)
+            most[a:z][near] = np.maximum(most[a:z][near], e)
+        return most
+
     def walk(self, node: dict, at, row, above, last: str, letters, lengths, most, hit) -> None:
         """``row[k, i]``: edits (swaps of neighbours count as one) from the trie's path to the first i letters of word ``at[k]``."""
         term = node.get("term")
@@ -136,7 +165,7 @@ class Lexicon:
                 swapped = same[:, :-1] & (letters[at, 1:] == ord(last))
                 np.minimum(new[:, 2:], np.where(swapped, above[:, :-2] + np.int8(1), np.int8(99)), out=new[:, 2:])
             new = np.minimum.accumulate(new - steps, axis=1) + steps
-            live = np.flatnonzero((new.min(axis=1) <= most[at]) & ~hit[at])
+            live = np.flatnonzero((new.min(axis=1) <= np.minimum(most[at], child["most"])) & ~hit[at])
             if len(live):
                 self.walk(child, at[live], new[live], row[live], c, letters, lengths, most, hit)
 
@@ -237,9 +266,11 @@ def learn(rows: DataFrame) -> Model:
         # A stem is learned where many words share it, not where one word does.
         if single <= 0.8 * r["toxic"] and not r["term"].startswith(tuple(stems)):
             stems.append(r["term"])
-    learned = [r["term"] for r in words_found if not r["term"].startswith(tuple(stems))]
-    clean = by_word.filter("clean >= 2 and clean > toxic").filter(F.length("term") >= 5).orderBy(F.desc("clean"), "term").limit(200_000).collect()
-    lexicon = Lexicon(tuple(dict.fromkeys([*SEED_TERMS, *learned[:MOST_TERMS]])), tuple(stems[:MOST_TERMS]), frozenset(r["term"] for r in clean))
+    alone = [r["term"] for r in words_found if not r["term"].startswith(tuple(stems))]
+    covered = [r["term"] for r in words_found if r["term"].startswith(tuple(stems))]
+    learned = [*alone[:MOST_TERMS], *covered]
+    clean = by_word.filter("clean >= 2 and clean > toxic").filter(F.length("term") >= 4).orderBy(F.desc("clean"), "term").limit(200_000).collect()
+    lexicon = Lexicon(tuple(dict.fromkeys([*SEED_TERMS, *learned])), tuple(stems[:MOST_TERMS]), frozenset(r["term"] for r in clean))
 
     shared = spark.sparkContext.broadcast(lexicon)
 

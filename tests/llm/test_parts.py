@@ -69,6 +69,32 @@ def test_trie_walk_finds_what_plain_distances_find():
     assert set(lexicon.misspelled(sorted(w for w in words if w[0] in lexicon.trie))) == plain
 
 
+def test_edits_are_found_anywhere_by_the_length_of_the_term(monkeypatch):
+    monkeypatch.setattr(toxicity, "ABREAST", 500)
+    lexicon = toxicity.Lexicon(toxicity.SEED_TERMS, (), frozenset({"crash"}))
+    lexicon.learn_words({"xidiot", "ztupid", "tsupid", "1diot", "diot", "moro", "crash", "harbour", "pif", "arbage"})
+    assert set(lexicon.hits) == {"xidiot", "ztupid", "tsupid", "1diot", "diot", "moro", "arbage"}
+    rnd, words = random.Random(6), set()
+    for _ in range(3000):
+        w = list(rnd.choice(toxicity.SEED_TERMS))
+        for _ in range(rnd.randint(0, 3)):
+            i = rnd.choice((0, rnd.randrange(len(w) + 1)))
+            w[i : i + rnd.randint(0, 2)] = rnd.choice(("", "a", "s", "o", "ed"))
+        if len(w) >= 4:
+            words.add("".join(w))
+    plain = {w for w in words if any(osa(w, t) <= toxicity.edits_allowed(len(t)) for t in toxicity.SEED_TERMS)}
+    assert set(lexicon.misspelled(sorted(words), anywhere=True)) == plain
+
+
+def test_terms_that_a_stem_covers_are_found_with_an_edit_in_the_stem(spark):
+    ends = ("ando", "eria", "osum", "ilar", "uten")
+    toxic = ["plain text here " + " ".join(f"grobul{ends[(i + k) % 5]}" for k in range(3)) + f" number{i}" for i in range(40)]
+    rows = [(t, 1) for t in toxic] + [(f"plain text here of quiet harbours number{i}", 0) for i in range(60)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "text string, label int")).lexicon
+    lexicon.learn_words({"grxbulando", "harbours"})
+    assert any("grobulando".startswith(s) for s in lexicon.stems) and set(lexicon.hits) == {"grxbulando"}
+
+
 def test_toxicity_tells_abuse_from_quotation():
     model = toxicity.Model(toxicity.Lexicon(toxicity.SEED_TERMS, (), frozenset()), *toxicity.DEFAULT)
     abuse, spelled, quoted, clean, empty, none = model.scores(["you are a pathetic idiot", "you are a pahtetic id1ot", 'the word "idiot" is an insult', "a quiet harbour", "", None])
