@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, maybe_broadcast, small_batches, stage
+from .common import fresh, maybe_broadcast, mix, small_batches, stage
 
 #: Words a shingle has, and the least similarity in percent.
 N, PERCENT = 4, 85
@@ -51,15 +51,6 @@ COMMON_BATCHES, MOST_COMMON = 4, 200_000
 MEMO = 1_000_000
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0x9E3779B97F4A7C15)
-    h = h ^ (h >> np.uint64(29))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
 class WordDigests(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > MEMO:

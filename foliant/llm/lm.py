@@ -1,43 +1,78 @@
-"""Masked pseudo-likelihood of a bidirectional window network.
+"""Masked pseudo-likelihood of a bidirectional window network with a corpus-wide memory.
 
 Every token is predicted from the tokens on both sides of it: a table row for
 each neighbour's token and place, a tanh layer, and a two-level softmax (class,
-then token within class). The vocabulary is the corpus's commonest words; other
-words share hash buckets. Training reads the whole corpus: each partition makes
-one pass in numpy from the same seeded start, and the parameters are averaged by
-tokens in Spark. A document's score is the sum of its conditional log
-probabilities, and their mean.
-
-Null, empty and word-less texts have no token: log_prob and the mean are 0.
-Repeated rows count as often as they occur. An empty table gives no rows.
+then token within class). The vocabulary grows with the corpus (``side_for``):
+three quarters of its ids are the commonest words, the others hash buckets of
+all remaining words, and within its bucket each word has the probability of its
+spelling under a byte-pair chain counted over the corpus's words. So each token
+has a conditional probability of its own.
+
+The network is trained in numpy on all tokens: documents are dealt to shards of
+about ``SHARD_TOKENS`` by a hash of id and text and trained in the hash's order,
+each shard from the same seeded start, and the parameters are averaged in fixed
+point. So the same rows give the same network however they are partitioned.
+
+Besides, the output layer has direct connections from both neighbours to the
+token, one for every (left, token, right) of the corpus: with c occurrences of
+the triple and n of its (left, right) elsewhere in the corpus, the network's p
+becomes ``(c + PRIOR p) / (n + PRIOR)``. That table is as large as the corpus; it
+never leaves its shuffle partitions. Tokens travel to their context's bucket as
+packed keys, and sums come back by document; contexts that are frequent within a
+task are counted there first, so a common one doesn't gather in a bucket.
+
+A document's score is the sum of its conditional log probabilities, and their
+mean. Null, empty and word-less texts have no token: both are 0. Repeated rows
+count as often as they occur, each has a row. A null id stays null. Long texts
+are scored whole. An empty table gives no rows. Columns but ``doc_id`` and
+``text`` are not looked at. Contexts are told apart by 40 bits within a bucket
+of about ``BUCKET_TOKENS`` tokens, tokens of a context by 24; the network's log
+probabilities are kept to 11 bits, document sums are exact sums of these.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import mix, small_batches, stage
 
-#: Tokens are classes x members; known words first, the rest are buckets. Neighbours on each side, hidden units.
-CLASSES, MEMBERS, KNOWN, SIDE, HIDDEN = 16, 16, 192, 2, 16
-VOCABULARY = CLASSES * MEMBERS
-#: Tokens in a step, learning rate, distinct words a task counts before it hands them on.
-STEP, RATE, COUNTED = 8192, 0.05, 200_000
-SEED = 11
+#: Neighbours on each side, hidden units.
+SIDE, HIDDEN = 2, 16
+#: Tokens in a step, learning rate, tokens of a shard, shards whose networks are averaged at most (beyond, shards are larger).
+STEP, RATE, SHARD_TOKENS, MOST_SHARDS = 8192, 0.05, 1_000_000, 4096
+#: Distinct words that a task counts or remembers before it lets go of them.
+COUNTED, MEMO = 200_000, 250_000
+#: Weight of the network against the counts; tokens a task hands on at once, occurrences in them that make a context frequent.
+PRIOR, FLUSH_TOKENS, FLUSH_DOCS, FREQUENT = 1.0, 1_000_000, 60_000, 8
+#: Tokens a bucket of contexts stands for.
+BUCKET_TOKENS = 1_000_000
+SEED, FIXED = 11, float(1 << 32)
+#: Stand for what is before a document's first and after its last token.
+BEGIN, END = np.uint64(0x5BF03635), np.uint64(0x1F83D9AB)
 
 
 def tokens(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def top_words(docs: DataFrame, n: int = KNOWN) -> list[bytes]:
-    """The commonest words of the whole corpus, ties in byte order."""
+def side_for(total: int) -> int:
+    """Classes, and members of each: the vocabulary's ids are the square, about 2.25 times the cube root of the corpus's tokens."""
+    return max(8, round(1.5 * total ** (1 / 6)))
+
+
+# Corpus counts -----------------------------------------------------------------
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``(word, n)`` of the whole corpus, counted by task first."""
 
     def run(batches):
         seen: Counter = Counter()
@@ -54,62 +89,129 @@ def top_words(docs: DataFrame, n: int = KNOWN) -> list[bytes]:
                 yield rows()
         yield rows()
 
-    counts = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(n).collect()]
+    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def spelling(counts: DataFrame) -> np.ndarray:
+    """Log probability of each byte after each byte in the corpus's words, one added to every count."""
+
+    def run(batches):
+        table = np.zeros((256, 256), np.int64)
+        for b in batches:
+            ws, ns = b.column(0).to_pylist(), b.column(1).to_numpy()
+            chars, lengths = joined(ws)
+            weight = np.repeat(ns, lengths)
+            np.add.at(table, (chars[:-1], chars[1:]), weight)
+        a, z = np.nonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z), pa.array(table[a, z])], names=["a", "z", "n"])
+
+    found = counts.mapInArrow(run, "a long, z long, n long").groupBy("a", "z").agg(F.sum("n").alias("n")).collect()
+    table = np.ones((256, 256))
+    for r in found:
+        table[r["a"], r["z"]] += r["n"]
+    return np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
+def joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes in a row, a line feed before, between and after (no word holds one); and each word's length with the one before it."""
+    chars = np.frombuffer(b"\n" + b"\n".join(words) + b"\n" if words else b"", np.uint8)
+    return chars, np.array([len(w) + 1 for w in words], np.int64)
+
 
+@dataclass
+class Lexicon:
+    """The commonest words, best first, the side of the vocabulary, and the spelling chain."""
 
-class Ids(dict):
-    """Word to token id; a word that isn't known gets its bucket."""
+    known: list[bytes]
+    side: int
+    spelled: np.ndarray
 
-    def __init__(self, known: list[bytes]):
+    def __post_init__(self):
         # Neighbours in frequency are dealt to different classes.
-        super().__init__({w: (i % CLASSES) * MEMBERS + i // CLASSES for i, w in enumerate(known)})
-        used = set(self.values())
-        self.rest = [i for i in range(VOCABULARY) if i not in used]
-        self.known = dict(self)
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-            self.update(self.known)
-            if word in self.known:
-                return self.known[word]
-        self[word] = found = self.rest[xxhash.xxh32_intdigest(word) % len(self.rest)]
-        return found
-
-
-def shapes() -> dict[str, tuple[int, ...]]:
+        self.ids = {w: (i % self.side) * self.side + i // self.side for i, w in enumerate(self.known)}
+        used = set(self.ids.values())
+        self.rest = np.array([i for i in range(self.side**2) if i not in used], np.int64)
+
+
+class Encoder:
+    """Words to token ids, spelling terms and hashes, remembered in flat arrays up to MEMO words."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon = lexicon
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.ids, self.term, self.hash = np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.uint64)
+
+    def learn(self, new: list[bytes]) -> None:
+        lx = self.lexicon
+        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in new), np.uint64, len(new))
+        ids = np.fromiter((lx.ids.get(w, -1) for w in new), np.int64, len(new))
+        term = np.zeros(len(new), np.float32)
+        rare = np.flatnonzero(ids < 0)
+        if len(rare):
+            ids[rare] = lx.rest[(h[rare] % np.uint64(len(lx.rest))).astype(np.int64)]
+            chars, lengths = joined([new[i] for i in rare])
+            steps = lx.spelled[chars[:-1], chars[1:]]
+            # A word's own steps: from the line feed before it to that after it.
+            term[rare] = np.add.reduceat(steps, np.cumsum(lengths) - lengths) + np.float32(np.log(len(lx.rest)))
+        self.place.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
+        self.ids, self.term, self.hash = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.term, term]), np.concatenate([self.hash, h])
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each token's word in ``ids``, ``term`` and ``hash``, and how many tokens each text has."""
+        if len(self.place) > MEMO:
+            self.forget()
+        split = [tokens(t) for t in texts]
+        lengths = np.array([len(s) for s in split], np.int64)
+        new = list(set().union(*split).difference(self.place))
+        if new:
+            self.learn(new)
+        return np.fromiter((self.place[w] for s in split for w in s), np.int64, int(lengths.sum())), lengths
+
+
+def learn_lexicon(counts: DataFrame, total: int) -> Lexicon:
+    side = side_for(total)
+    top = counts.orderBy(F.desc("n"), "word").limit(3 * side * side // 4).collect()
+    return Lexicon([bytes(r["word"]) for r in top], side, spelling(counts))
+
+
+# The network -------------------------------------------------------------------
+
+
+def shapes(side: int) -> dict[str, tuple[int, ...]]:
     return {
-        "near": (2 * SIDE, VOCABULARY + 1, HIDDEN), "bias": (HIDDEN,),
-        "classes": (HIDDEN, CLASSES), "class_bias": (CLASSES,),
-        "members": (CLASSES, HIDDEN, MEMBERS), "member_bias": (CLASSES, MEMBERS),
+        "near": (2 * SIDE, side * side + 1, HIDDEN), "bias": (HIDDEN,),
+        "classes": (HIDDEN, side), "class_bias": (side,),
+        "members": (side, HIDDEN, side), "member_bias": (side, side),
     }
 
 
-def start() -> dict[str, np.ndarray]:
+def start(side: int) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    return {k: (rng.normal(0, 0.1, s) if "bias" not in k else np.zeros(s)).astype(np.float32) for k, s in shapes().items()}
+    return {k: (rng.normal(0, 0.1, s) if "bias" not in k else np.zeros(s)).astype(np.float32) for k, s in shapes(side).items()}
 
 
 def flat(net: dict) -> np.ndarray:
-    return np.concatenate([net[k].ravel() for k in shapes()])
+    return np.concatenate([v.ravel() for v in net.values()])
 
 
-def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
+def unflat(values: np.ndarray, side: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in shapes().items():
+    for k, s in shapes(side).items():
         n = int(np.prod(s))
         out[k] = values[at : at + n].reshape(s).astype(np.float32)
         at += n
     return out
 
 
-def windows(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def windows(ids: np.ndarray, lengths: np.ndarray, beyond: int) -> np.ndarray:
     """The neighbours of each token (places x tokens); beyond a document's ends stands one id of its own."""
     end = np.cumsum(lengths)
     doc_end, doc_start = np.repeat(end, lengths), np.repeat(end - lengths, lengths)
     at = np.arange(len(ids))
-    out = np.full((2 * SIDE, len(ids)), VOCABULARY, np.int64)
+    out = np.full((2 * SIDE, len(ids)), beyond, np.int64)
     for p, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         ok = (at + d >= doc_start) & (at + d < doc_end)
         out[p, ok] = ids[at[ok] + d]
@@ -129,100 +231,317 @@ def forward(net: dict, near: np.ndarray):
     return h, softmax(h @ net["classes"] + net["class_bias"])
 
 
+def by_class(c: np.ndarray, side: int):
+    """Each class that occurs with its rows."""
+    order = np.argsort(c, kind="stable")
+    ends = np.searchsorted(c[order], np.arange(side + 1))
+    for k in range(side):
+        if ends[k + 1] > ends[k]:
+            yield k, order[ends[k] : ends[k + 1]]
+
+
 def log_probs(net: dict, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
+    side = len(net["class_bias"])
     h, pc = forward(net, near)
-    c, m = np.divmod(ids, MEMBERS)
+    c, m = np.divmod(ids, side)
     out = np.log(pc[np.arange(len(ids)), c] + 1e-12)
-    for k in range(CLASSES):
-        rows = np.flatnonzero(c == k)
-        if len(rows):
-            pm = softmax(h[rows] @ net["members"][k] + net["member_bias"][k])
-            out[rows] += np.log(pm[np.arange(len(rows)), m[rows]] + 1e-12)
+    for k, rows in by_class(c, side):
+        pm = softmax(h[rows] @ net["members"][k] + net["member_bias"][k])
+        out[rows] += np.log(pm[np.arange(len(rows)), m[rows]] + 1e-12)
     return out
 
 
 def step(net: dict, seen: dict, ids: np.ndarray, near: np.ndarray) -> None:
     """One Adagrad step on the mean log loss."""
-    n = len(ids)
+    n, side = len(ids), len(net["class_bias"])
     h, dc = forward(net, near)
-    c, m = np.divmod(ids, MEMBERS)
+    c, m = np.divmod(ids, side)
     dc[np.arange(n), c] -= 1
     dc /= n
-    grad = {k: np.zeros(s, np.float32) for k, s in shapes().items()}
+    grad = {k: np.zeros_like(v) for k, v in net.items()}
     grad["classes"], grad["class_bias"] = h.T @ dc, dc.sum(axis=0)
     dh = dc @ net["classes"].T
-    for k in range(CLASSES):
-        rows = np.flatnonzero(c == k)
-        if len(rows):
-            dm = softmax(h[rows] @ net["members"][k] + net["member_bias"][k])
-            dm[np.arange(len(rows)), m[rows]] -= 1
-            dm /= n
-            grad["members"][k], grad["member_bias"][k] = h[rows].T @ dm, dm.sum(axis=0)
-            dh[rows] += dm @ net["members"][k].T
+    for k, rows in by_class(c, side):
+        dm = softmax(h[rows] @ net["members"][k] + net["member_bias"][k])
+        dm[np.arange(len(rows)), m[rows]] -= 1
+        dm /= n
+        grad["members"][k], grad["member_bias"][k] = h[rows].T @ dm, dm.sum(axis=0)
+        dh[rows] += dm @ net["members"][k].T
     dh *= 1 - h * h
     grad["bias"] = dh.sum(axis=0)
     columns = np.ascontiguousarray(dh.T)
     for p in range(len(near)):
         for j in range(HIDDEN):
-            grad["near"][p, :, j] = np.bincount(near[p], columns[j], VOCABULARY + 1)
+            grad["near"][p, :, j] = np.bincount(near[p], columns[j], net["near"].shape[1])
     for k, g in grad.items():
         seen[k] += g * g
         net[k] -= RATE * g / (np.sqrt(seen[k]) + 1e-8)
 
 
-def encoded(texts: list[str | None], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
-    split = [tokens(t) for t in texts]
-    lengths = np.array([len(s) for s in split], np.int64)
-    return np.fromiter((ids[w] for s in split for w in s), np.int64, int(lengths.sum())), lengths
-
-
-def train(docs: DataFrame, known: list[bytes]) -> dict[str, np.ndarray]:
-    """Parameters averaged over all partitions, each weighed by its tokens."""
+def _encoded(batches, lexicon):
+    """A row for each document: its hash, which deals and orders it, and its token ids."""
+    encoder = Encoder(lexicon.value)
+    for b in batches:
+        texts = b.column(1).to_pylist()
+        places, lengths = encoder(texts)
+        ids, at, out = encoder.ids[places], 0, []
+        for doc_id, text, n in zip(b.column(0).to_pylist(), texts, lengths.tolist(), strict=True):
+            if n:
+                out.append((xxhash.xxh3_64_intdigest((text or "").encode(), seed=0 if doc_id is None else doc_id & 0x7FFFFFFFFFFFFFFF) - (1 << 63), ids[at : at + n].tobytes()))
+            at += n
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["h", "ids"])
+
+
+def _trained(batches, side):
+    """The network of each shard (rows come sorted by shard and hash), in fixed point."""
+    shard, net, seen = None, None, None
+
+    def done():
+        values = np.round(flat(net).astype(np.float64) * FIXED).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary()), pa.array([1], pa.int64())], names=["w", "n"])
+
+    for b in batches:
+        shards = b.column(0).to_numpy()
+        for s in np.unique(shards):
+            if s != shard:
+                if net is not None:
+                    yield done()
+                shard, net = s, start(side)
+                seen = {k: np.zeros_like(v) for k, v in net.items()}
+            docs = [np.frombuffer(x, np.int32).astype(np.int64) for x in b.filter(pa.array(shards == s)).column(1).to_pylist()]
+            ids = np.concatenate(docs)
+            near = windows(ids, np.array([len(d) for d in docs]), side * side)
+            for a in range(0, len(ids), STEP):
+                step(net, seen, ids[a : a + STEP], near[:, a : a + STEP])
+    if net is not None:
+        yield done()
+
+
+def _summed(batches):
+    total, n = None, 0
+    for b in batches:
+        for w, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            part = np.frombuffer(w, np.int64)
+            total = part.copy() if total is None else total + part
+            n += k
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["w", "n"])
+
+
+def train(docs: DataFrame, lexicon: Lexicon, total: int) -> dict[str, np.ndarray]:
+    """The mean of the shards' networks. Sums are of integers, so their order doesn't matter."""
+    spark, side = docs.sparkSession, lexicon.side
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(lexicon)
+    shards = max(1, min(MOST_SHARDS, -(-total // SHARD_TOKENS)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _encoded(it, shared), "h long, ids binary")
+    rows = rows.select(F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"), "h", "ids")
+    nets = rows.repartition(shards, "shard").sortWithinPartitions("shard", "h", "ids").select("shard", "ids").mapInArrow(lambda it: _trained(it, side), "w binary, n long")
+    # Networks have a size of their own, so a few tasks, then one, can add them up a row at a time.
+    if shards > 64:
+        nets = nets.repartition(64).mapInArrow(_summed, "w binary, n long")
+    found = nets.repartition(1).mapInArrow(_summed, "w binary, n long").first()
+    return start(side) if found is None else unflat(np.frombuffer(found["w"], np.int64) / FIXED / found["n"], side)
+
+
+# Scores ------------------------------------------------------------------------
+
+
+def context_keys(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token: the low bits of its context, which choose the bucket, and 40 bits of the context with 24 of the token."""
+    end = np.cumsum(lengths)
+    some = lengths > 0
+    left, right = np.empty_like(hashes), np.empty_like(hashes)
+    left[1:], right[:-1] = hashes[:-1], hashes[1:]
+    left[(end - lengths)[some]], right[(end - 1)[some]] = BEGIN, END
+    context = mix(left + mix(right + np.uint64(0x9E37)))
+    return (context & np.uint64(0xFFFFFF)).astype(np.int64), (context >> np.uint64(24) << np.uint64(24)) | (mix(context ^ hashes) >> np.uint64(40))
+
+
+def packed(lp: np.ndarray) -> np.ndarray:
+    """Log probabilities in two bytes; of a word of many millions of bytes they are bounded."""
+    return (np.maximum(lp, -6.5e7) / 1024).astype(np.float16)
+
+
+def unpacked(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.float64) * 1024
+
+
+def corrections(triples: np.ndarray, contexts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """What the memory adds to each log probability, in fixed point: counts include the token itself, which is left out."""
+    c, n, lp = triples - 1.0, contexts - 1.0, unpacked(values)
+    elsewhere = np.log(np.maximum(c, 1.0) + PRIOR * np.exp(lp)) - lp
+    return np.round((np.where(c > 0, elsewhere, np.log(PRIOR)) - np.log(n + PRIOR)) * FIXED).astype(np.int64)
+
+
+def runs(values: np.ndarray) -> np.ndarray:
+    """The number of the run of equal values that each place is in."""
+    return np.cumsum(np.append(True, values[1:] != values[:-1])[: len(values)]) - 1
+
+
+PART = "uid long, bucket int, kind int, keys binary, docs binary, values binary"
+NAMES = [x.split()[0] for x in PART.split(", ")]
+KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+#: Kinds of parts: a flush's documents, its frequent contexts' tokens; tokens and counts by bucket; what comes back of these.
+DOCS, HELD, TOKENS, COUNTS, SUMS, TOTALS = range(6)
+
+
+def parts(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, KINDS, strict=True)], names=NAMES)
+
+
+def _spread(batches, shared, buckets, flush_tokens):
+    """Scores by the network, packed by context bucket. A flush's uid is the same whenever its task runs again."""
+    lexicon, values = shared.value
+    encoder, net, turn = Encoder(lexicon), unflat(values, lexicon.side), 0
+    held: list = []
+
+    def flush():
+        nonlocal turn
+        uid, turn = (TaskContext.get().partitionId() << 32) + turn, turn + 1
+        doc_ids, hashes, lps, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        doc = np.repeat(np.arange(len(lengths), dtype=np.uint16), lengths)
+        ends = np.concatenate([[0], np.cumsum(np.round(unpacked(lps) * FIXED).astype(np.int64))])
+        sums, anywhere = ends[np.cumsum(lengths)] - ends[np.cumsum(lengths) - lengths], uid * 7919 % buckets
+        out = [(uid, anywhere, DOCS, doc_ids.tobytes(), lengths.tobytes(), sums.tobytes())]
+        low, key = context_keys(hashes, lengths)
+        bucket = low % buckets
+        order = np.lexsort((key, bucket))
+        bucket, key, doc, lp = bucket[order], key[order], doc[order], lps[order]
+        run = runs((key >> np.uint64(24)) ^ (bucket.astype(np.uint64) << np.uint64(41)))
+        often = (np.bincount(run) >= FREQUENT)[run] if len(run) else run.astype(bool)
+        bounds = np.searchsorted(bucket[~often], np.arange(buckets + 1))
+        k, d, v = key[~often], doc[~often], lp[~often]
+        out += [(uid, i, TOKENS, k[a:z].tobytes(), d[a:z].tobytes(), v[a:z].tobytes()) for i, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if z > a]
+        if often.any():
+            # One key a frequent (context, token) goes to its bucket with its count; the tokens wait for what comes back.
+            k, b = key[often], bucket[often]
+            first = np.append(True, (k[1:] != k[:-1]) | (b[1:] != b[:-1]))
+            at = np.cumsum(first) - 1
+            k, b, count = k[first], b[first], np.bincount(at)
+            # The totals of a bucket come back in the order of its keys; with the bucket's number they find their place.
+            out.append((uid, anywhere, HELD, np.stack([b.astype(np.int64), k.view(np.int64)]).tobytes(), np.stack([at.astype(np.int64), doc[often].astype(np.int64)]).tobytes(), lp[often].tobytes()))
+            bounds = np.searchsorted(b, np.arange(buckets + 1))
+            out += [(uid, i, COUNTS, k[a:z].tobytes(), b"", count[a:z].tobytes()) for i, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if z > a]
+        return parts(out)
+
+    size = docs = 0
+    for b in batches:
+        places, lengths = encoder(b.column(1).to_pylist())
+        ids = encoder.ids[places].astype(np.int64)
+        near = windows(ids, lengths, lexicon.side**2)
+        lp = np.concatenate([np.zeros(0, np.float32), *(log_probs(net, ids[a : a + STEP], near[:, a : a + STEP]) for a in range(0, len(ids), STEP))])
+        doc_id = b.column(0)
+        held.append((np.array([np.iinfo(np.int64).min if x is None else x for x in doc_id.to_pylist()], np.int64), encoder.hash[places], packed(lp + encoder.term[places]), lengths))
+        size, docs = size + len(ids), docs + len(lengths)
+        if size >= flush_tokens or docs >= FLUSH_DOCS:
+            yield flush()
+            size = docs = 0
+    if held:
+        yield flush()
+
+
+def _settled(batches):
+    """Each bucket's counts (parts come sorted by bucket), as sums of corrections by document and as totals of frequent keys.
+    Other parts are handed on."""
+    bucket, held = None, []
+
+    def close():
+        keys = [np.frombuffer(k, np.uint64) for _, _, k, _, _ in held]
+        counts = np.concatenate([np.frombuffer(v, np.int64) if kind == COUNTS else np.ones(len(k), np.int64) for (_, kind, _, _, v), k in zip(held, keys, strict=True)])
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        run, outer = runs(key[order]), runs(key[order] >> np.uint64(24))
+        triples, contexts = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+        triples[order] = np.bincount(run, counts[order])[run].astype(np.int64)
+        contexts[order] = np.bincount(outer, counts[order])[outer].astype(np.int64)
+        ends, out = np.concatenate([[0], np.cumsum([len(k) for k in keys])]), []
+        del key, order, run, outer
+        for i, (uid, kind, _, docs, values) in enumerate(held):
+            own = slice(ends[i], ends[i + 1])
+            if kind == COUNTS:
+                out.append((uid, bucket, TOTALS, b"", b"", np.stack([triples[own], contexts[own]]).tobytes()))
+                continue
+            more = np.flatnonzero(contexts[own] > 1)
+            if len(more):
+                doc = np.frombuffer(docs, np.uint16)[more]
+                delta = corrections(triples[own][more], contexts[own][more], np.frombuffer(values, np.float16)[more])
+                at, first = np.unique(np.sort(doc), return_index=True)
+                by_doc = np.argsort(doc, kind="stable")
+                out.append((uid, bucket, SUMS, b"", at.tobytes(), np.add.reduceat(delta[by_doc], first).tobytes()))
+        return parts(out)
+
+    for b in batches:
+        for uid, i, kind, keys, docs, values in zip(*(b.column(n).to_pylist() for n in NAMES), strict=True):
+            if i != bucket and held:
+                yield close()
+                held = []
+            bucket = i
+            if kind in (DOCS, HELD):
+                yield parts([(uid, i, kind, keys, docs, values)])
+            else:
+                held.append((uid, kind, keys, docs, values))
+    if held:
+        yield close()
+
+
+OUT = "doc_id long, n_tokens long, log_prob double, mean_log_prob double"
+
+
+def _gathered(batches):
+    """A row for each document once all parts of its flush (sorted by uid and kind) are seen."""
+    uid, state = None, {}
+
+    def close():
+        if "held" in state:
+            (b, keys), (at, doc), lp = state["held"]
+            totals = np.zeros((2, len(keys)), np.int64)
+            for i, found in state["totals"]:
+                a, z = np.searchsorted(b, (i, i + 1))
+                totals[:, a:z] = found
+            np.add.at(state["sums"], doc, corrections(totals[0, at], totals[1, at], lp))
+        total = np.round(state["sums"] / FIXED, 4)
+        n = state["lengths"]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(state["ids"], mask=state["ids"] == np.iinfo(np.int64).min), pa.array(n), pa.array(total), pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0))],
+            names=[x.split()[0] for x in OUT.split(", ")],
+        )
+
+    for b in batches:
+        for own, i, kind, keys, docs, values in zip(*(b.column(n).to_pylist() for n in NAMES), strict=True):
+            if own != uid:
+                if uid is not None:
+                    yield close()
+                uid, state = own, {"totals": []}
+            if kind == DOCS:
+                state |= {"ids": np.frombuffer(keys, np.int64), "lengths": np.frombuffer(docs, np.int64), "sums": np.frombuffer(values, np.int64).copy()}
+            elif kind == HELD:
+                state["held"] = np.frombuffer(keys, np.int64).reshape(2, -1), np.frombuffer(docs, np.int64).reshape(2, -1), np.frombuffer(values, np.float16)
+            elif kind == SUMS:
+                state["sums"][np.frombuffer(docs, np.uint16)] += np.frombuffer(values, np.int64)
+            else:
+                state["totals"].append((i, np.frombuffer(values, np.int64).reshape(2, -1)))
+    if uid is not None:
+        yield close()
+
+
+def score(docs: DataFrame, lexicon: Lexicon, net: dict, total: int, flush_tokens: int = FLUSH_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+    """``(doc_id, n_tokens, log_prob, mean_log_prob)`` of every whole text; ``total`` tokens set the number of buckets."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(known)
-
-    def run(batches):
-        ids, net, total = Ids(shared.value), start(), 0
-        seen = {k: np.zeros(s, np.float32) for k, s in shapes().items()}
-        for b in batches:
-            found, lengths = encoded(b.column(0).to_pylist(), ids)
-            near = windows(found, lengths)
-            for a in range(0, len(found), STEP):
-                step(net, seen, found[a : a + STEP], near[:, a : a + STEP])
-            total += len(found)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([flat(net).astype(float)], pa.list_(pa.float64())), pa.array([float(total)])], names=["w", "n"])
-
-    parts = docs.select("text").mapInArrow(run, "w array<double>, n double").select("n", F.posexplode("w"))
-    mean = parts.groupBy("pos").agg((F.sum(F.col("col") * F.col("n")) / F.sum("n")).alias("v")).collect()
-    if not mean:
-        return start()
-    values = np.zeros(len(mean))
-    for r in mean:
-        values[r["pos"]] = r["v"]
-    return unflat(values)
-
-
-def score(docs: DataFrame, known: list[bytes], net: dict) -> DataFrame:
-    """``(doc_id, n_tokens, log_prob, mean_log_prob)`` of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast((known, flat(net)))
-
-    def run(batches):
-        ids, parameters = Ids(shared.value[0]), unflat(shared.value[1])
-        for b in batches:
-            found, lengths = encoded(b.column(1).to_pylist(), ids)
-            near = windows(found, lengths)
-            lp = np.concatenate([np.zeros(0), *(log_probs(parameters, found[a : a + STEP], near[:, a : a + STEP]) for a in range(0, len(found), STEP))])
-            sums = np.concatenate([[0.0], np.cumsum(lp)])
-            end = np.cumsum(lengths)
-            total = np.round(sums[end] - sums[end - lengths], 6)
-            mean = np.where(lengths > 0, total / np.maximum(lengths, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths), pa.array(total), pa.array(mean)], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast((lexicon, flat(net)))
+    buckets = max(1, -(-total // bucket_tokens))
+    spread = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _spread(it, shared, buckets, flush_tokens), PART)
+    settled = spread.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_settled, PART)
+    return settled.repartition("uid").sortWithinPartitions("uid", "kind").mapInArrow(_gathered, OUT)
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
-    known = top_words(docs)
-    return score(docs, known, train(docs, known))
+    """Count the corpus's words, train on all of it, score all of it."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    counts = stage(spark, word_counts(docs), "lm-words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    lexicon = learn_lexicon(counts, total)
+    return score(docs, lexicon, train(docs, lexicon, total), total)

@@ -1,13 +1,16 @@
 """The operators' own parts against plain versions."""
 
 import io
+import math
 import random
 import re
 import struct
 import zipfile
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from foliant.llm import jaccard_join, licenses, lm, media, mixing, pii, toxicity, warc
 
@@ -238,32 +241,81 @@ def test_media_rows_point_into_tar_shards(spark, documents, tmp_path):
 
 
 def test_lm_gradient_and_scores():
-    rnd = np.random.default_rng(1)
-    ids = rnd.integers(0, lm.VOCABULARY, 30)
-    near = lm.windows(ids, np.array([10, 0, 20]))
-    assert near[0, 10] == near[1, 10] == near[2, 9] == lm.VOCABULARY and near[1, 11] == ids[10] and near[2, 11] == ids[12]
-    net = lm.start()
+    rnd, side = np.random.default_rng(1), 8
+    ids = rnd.integers(0, side * side, 30)
+    near = lm.windows(ids, np.array([10, 0, 20]), side * side)
+    assert near[0, 10] == near[1, 10] == near[2, 9] == side * side and near[1, 11] == ids[10] and near[2, 11] == ids[12]
+    net = lm.start(side)
     h = np.tanh(net["bias"] + sum(net["near"][p][near[p, 4]] for p in range(2 * lm.SIDE)))
-    c, m = divmod(int(ids[4]), lm.MEMBERS)
+    c, m = divmod(int(ids[4]), side)
     top, low = h @ net["classes"] + net["class_bias"], h @ net["members"][c] + net["member_bias"][c]
     wanted = top[c] - np.log(np.exp(top).sum()) + low[m] - np.log(np.exp(low).sum())
     assert abs(lm.log_probs(net, ids, near)[4] - wanted) < 1e-4
-    seen = {k: np.zeros(s, np.float32) for k, s in lm.shapes().items()}
+    every = lm.log_probs(net, np.arange(side * side), np.repeat(near[:, 4:5], side * side, axis=1))
+    assert abs(np.exp(every).sum() - 1) < 1e-4
+    seen = {k: np.zeros_like(v) for k, v in net.items()}
     before = lm.log_probs(net, ids, near).mean()
     for _ in range(20):
         lm.step(net, seen, ids, near)
     assert lm.log_probs(net, ids, near).mean() > before + 0.5
 
 
-def test_lm_prefers_text_of_its_corpus(spark, documents):
+def plain_lm(texts, lexicon, net):
+    """Each text's sum by dictionaries of whole contexts, a token at a time."""
+    split = [(t or "").encode().lower().split() for t in texts]
+    triples, contexts = Counter(), Counter()
+    framed = [[None, *w, None] for w in split]
+    for w in framed:
+        for i in range(1, len(w) - 1):
+            triples[w[i - 1], w[i], w[i + 1]] += 1
+            contexts[w[i - 1], w[i + 1]] += 1
+    out = []
+    for w, f in zip(split, framed, strict=True):
+        ids = [lexicon.ids[x] if x in lexicon.ids else int(lexicon.rest[xxhash.xxh3_64_intdigest(x) % len(lexicon.rest)]) for x in w]
+        lp = lm.log_probs(net, np.array(ids, np.int64), lm.windows(np.array(ids, np.int64), np.array([len(ids)]), lexicon.side**2)) if w else []
+        total = 0.0
+        for i, x in enumerate(w):
+            spelled = 0.0
+            if x not in lexicon.ids:
+                chain = b"\n" + x + b"\n"
+                spelled = math.log(len(lexicon.rest)) + sum(float(lexicon.spelled[a, z]) for a, z in zip(chain, chain[1:], strict=False))
+            c, n = triples[f[i], x, f[i + 2]] - 1, contexts[f[i], f[i + 2]] - 1
+            p = lp[i] + spelled
+            total += math.log((c + lm.PRIOR * math.exp(p)) / (n + lm.PRIOR)) if c else p - math.log((n + lm.PRIOR) / lm.PRIOR)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize(("flush", "bucket"), [(1_000_000, 1_000_000), (700, 900)])
+def test_lm_scores_equal_a_plain_pass(spark, documents, flush, bucket):
     rnd = random.Random(5)
-    texts = [passage(rnd, 200) for _ in range(60)]
-    shuffled = [" ".join("".join(rnd.sample(w, len(w))) for w in t.split()) for t in texts[:5]]
-    known = lm.top_words(documents(texts))
-    net = lm.train(documents(texts), known)
-    own = lm.score(documents(texts[:5]), known, net).collect()
-    other = lm.score(documents(shuffled), known, net).collect()
-    assert np.mean([r["mean_log_prob"] for r in own]) > np.mean([r["mean_log_prob"] for r in other])
+    texts = [passage(rnd, rnd.randint(1, 120)) for _ in range(60)]
+    texts += [texts[3]] * 12 + [texts[4]] + [None, "", " \n", "zzqx" * 5000, "Unïq " + texts[5], "one"]
+    docs = documents(texts).repartition(3)
+    counts = lm.word_counts(docs)
+    total = counts.agg({"n": "sum"}).first()[0]
+    lexicon = lm.learn_lexicon(counts, total)
+    net = lm.train(docs, lexicon, total)
+    found = {r["doc_id"]: r for r in lm.score(docs, lexicon, net, total, flush, bucket).collect()}
+    assert len(found) == len(texts)
+    for i, wanted in enumerate(plain_lm(texts, lexicon, net)):
+        n = len((texts[i] or "").split())
+        assert found[i]["n_tokens"] == n and abs(found[i]["log_prob"] - wanted) <= 0.001 * abs(wanted) + 1e-3
+        assert found[i]["mean_log_prob"] == (found[i]["log_prob"] / n if n else 0)
+    # A text that occurs elsewhere too is likelier than others.
+    others = [found[i]["mean_log_prob"] for i in range(60) if i not in (3, 4, 5) and found[i]["n_tokens"] > 20]
+    assert min(found[3]["mean_log_prob"], found[4]["mean_log_prob"]) > max(others)
+
+
+def test_lm_network_does_not_depend_on_partitions(spark, documents, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 2000)  # several shards
+    rnd = random.Random(6)
+    docs = documents([passage(rnd, 100) for _ in range(80)])
+    nets = []
+    for n in (1, 5):
+        counts = lm.word_counts(docs.repartition(n))
+        nets.append(lm.flat(lm.train(docs.repartition(n), lm.learn_lexicon(counts, 8000), 8000)))
+    assert np.array_equal(*nets)
 
 
 def test_boosted_trees_on_new_examples():
