@@ -51,6 +51,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def column_at(df: DataFrame, name: str) -> int:
+    """Where a column is; as in Spark, case doesn't matter unless only one of several matches exactly."""
+    return df.columns.index(name) if name in df.columns else [c.lower() for c in df.columns].index(name.lower())
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows that one Arrow batch hands to Python."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:

@@ -2,19 +2,23 @@
 
 The lexicon holds a few plain insults and the terms learned from labelled
 rows: words, and stems at a word's start, that occur in several toxic documents
-and hardly in clean ones. Each distinct word walks the lexicon's trie together
-with the Levenshtein automaton of the word (its rows are the automaton's states;
-numpy steps many words at once) from the trie's root, so misspelled terms are
-found within the edits that the term's length allows, wherever the edits are; a
-variant that is itself a common clean word does not count. Terms that a stem
-covers are in the trie too, for edits inside the stem.
-For each hit a window of words around it tells quotation (quotes, words of saying
-or of discussing language) from abuse (second person, more hits). A logistic
-model over the document's hit counts gives the score.
-
-Null and empty texts score as texts without a hit. A document's score depends
-on its text alone. Rows without a label, or held out, never shape the model; if
-nothing is labelled, the model is the plain lexicon's with default weights.
+and hardly in clean ones. Each distinct word whose deletions meet those of a
+term walks the lexicon's trie together with the Levenshtein automaton of the word
+(its rows are the automaton's states; numpy steps many words at once) from the
+trie's root, so misspelled terms are found within the edits that the term's
+length allows, wherever the edits are; a variant that is itself a common clean
+word does not count. Two words within d edits of each other have a string in
+common that leaves d or fewer letters out of each, so the words that don't walk
+have no match. Terms that a stem covers are in the trie too, for edits inside the
+stem. For each hit a window of words around it tells quotation (between quotes,
+words of saying or of discussing language) from abuse (second person, more hits).
+A logistic model over the document's hit counts gives the score.
+
+Null and empty texts score as texts without a hit; long texts are scored whole.
+A document's score depends on its text alone, so ties and repeated rows score
+alike; an empty table gives no rows. Rows without a label, or held out, never
+shape the model; if nothing is labelled, the model is the plain lexicon's with
+default weights. Other columns are kept; helper columns step aside for them.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, maybe_broadcast, small_batches, stage
+from .common import column_at, let, maybe_broadcast, mix, small_batches, stage
 
 # Plain insults that seed the lexicon.
 SEED_TERMS = (
@@ -44,20 +48,72 @@ EDGE = ".,;:!?()[]{}<>*_-…¿¡/\\|~" + QUOTES
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 LEET = str.maketrans("013457@$!|", "oleastasil")
 
-#: Words on each side of a hit; labelled rows of a class used at most to learn.
-WINDOW, FIT_ROWS = 8, 5_000
+#: Words on each side of a hit, words that a quotation has at most; labelled rows of a class used at most to learn.
+WINDOW, QUOTATION, FIT_ROWS = 8, 60, 5_000
 #: For a learned term: largest share of clean documents, least share of toxic ones, and false terms expected.
 MOST_CLEAN, LEAST_PURITY, CHANCE = 0.002, 0.95, 0.5
-#: Characters of learned stems, and terms learned at most (the best by documents covered).
-STEMS, MOST_TERMS = (4, 5, 6, 7), 400
+#: Characters of learned stems.
+STEMS = (4, 5, 6, 7)
 #: Words whose verdict a worker remembers, characters of the texts whose words are looked up at once, words that walk side by side.
-MEMO, RUN_CHARS, ABREAST = 500_000, 4_000_000, 16_384
+MEMO, RUN_CHARS, ABREAST = 100_000, 2_000_000, 8_192
+#: Bits of a filter's address, and the multiplier of its string hashes.
+FILTER_BITS, MULTIPLIER = 24, 0x9E3779B97F4A7C15
 
 
 def edits_allowed(length: int) -> int:
     return 0 if length < 5 else 1 if length < 9 else 2
 
 
+def letters_of(words: list[str], width: int) -> np.ndarray:
+    return np.array(words, f"U{width}").view(np.uint32).reshape(len(words), width)
+
+
+def deletions(letters: np.ndarray, most: int):
+    """Hashes of the words (a row each, of one length) without up to ``most`` (0 to 2) letters, some variants at a time."""
+    n, width = letters.shape
+    power = np.multiply.accumulate(np.append(np.uint64(1), np.full(width, MULTIPLIER, np.uint64)))
+    value = mix(letters.astype(np.uint64) + np.uint64(0x1F3D))
+
+    def sums(gone: int):
+        """Sum of the letters before each place, each where it stands once ``gone`` letters before it are."""
+        out = np.zeros((n, width + 1), np.uint64)
+        np.cumsum(value[:, gone:] * power[: max(0, width - gone)], axis=1, out=out[:, gone + 1 :])
+        return out
+
+    at = [sums(k) for k in range(most + 1)]
+    yield at[0][:, -1:]
+    if most:
+        yield at[0][:, :-1] + at[1][:, -1:] - at[1][:, 1:]
+    if most == 2:
+        for i in range(width - 1):
+            yield (at[0][:, i] - at[1][:, i + 1] + at[2][:, -1])[:, None] + at[1][:, i + 1 : -1] - at[2][:, i + 2 :]
+
+
+class Near:
+    """What is left of the terms of some length without up to ``edits`` letters, to look words up in."""
+
+    def __init__(self, terms: list[str], edits: int):
+        self.edits, self.lengths = edits, {n for t in terms for n in range(len(t) - edits, len(t) + edits + 1)}
+        found = [np.unique(h) for n in {len(t) for t in terms} for h in deletions(letters_of([t for t in terms if len(t) == n], n), edits)]
+        self.hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
+        self.bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+        at = self.hashes >> np.uint64(64 - FILTER_BITS)
+        np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, at & np.uint64(7)).astype(np.uint8))
+
+    def meets(self, letters: np.ndarray) -> np.ndarray:
+        """Which words (rows of one length) have something in common with a term."""
+        hit = np.zeros(len(letters), bool)
+        for h in deletions(letters, self.edits):
+            at = h >> np.uint64(64 - FILTER_BITS)
+            maybe = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+            row, column = np.nonzero(maybe)
+            if len(row):
+                wanted = h[row, column]
+                place = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+                hit[row[self.hashes[place] == wanted]] = True
+        return hit
+
+
 @dataclass
 class Lexicon:
     """Terms and stems, the terms' trie, and the clean words that no fuzzy match may claim."""
@@ -78,6 +134,7 @@ class Lexicon:
             node["term"] = term
             node["most"] = max(node.get("most", 0), edits_allowed(len(term)))
         self.plain, self.begin = frozenset(self.terms), frozenset(self.stems)
+        self.near = [Near([t for t in self.terms if edits_allowed(len(t)) == e], e) for e in (1, 2)]
         self.longest = max(map(len, self.terms), default=0) + 2
         self.shortest = min((len(t) - edits_allowed(len(t)) for t in self.terms if edits_allowed(len(t))), default=self.longest + 1)
 
@@ -100,60 +157,48 @@ class Lexicon:
                     self.hits[token] = 2
                 elif len(plain) <= self.longest:
                     fuzzy.setdefault(plain, []).append(token)
-        for word in self.misspelled(list(fuzzy), anywhere=True):
+        for word in self.misspelled(self.reachable(list(fuzzy))):
             for token in fuzzy[word]:
                 self.hits[token] = 2
 
     def exact(self, word: str) -> bool:
-        return word in self.plain or any(word[:k] in self.begin for k in STEMS)
+        return word in self.plain or not self.begin.isdisjoint([word[:k] for k in STEMS])
+
+    def reachable(self, words: list[str]) -> list[str]:
+        """The words that may be within the allowed edits of a term; no match is left out."""
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            by_length.setdefault(len(w), []).append(w)
+        found: list[str] = []
+        for n, own in by_length.items():
+            tried = [x for x in self.near if n in x.lengths]
+            for a in range(0, len(own) if tried else 0, ABREAST):
+                run = own[a : a + ABREAST]
+                letters = letters_of(run, n)
+                hit = np.any([x.meets(letters) for x in tried], axis=0)
+                found += [run[i] for i in np.flatnonzero(hit)]
+        return found
 
-    def misspelled(self, words: list[str], anywhere: bool = False) -> list[str]:
+    def misspelled(self, words: list[str]) -> list[str]:
         """The words within the allowed edits of a term: the words' automata walk the trie side by side,
-        a row of each for each node; a word leaves where its state is dead. The term's length tells the edits,
-        and they may be ``anywhere``; else only terms that begin with the word's letter count, within the word's edits too."""
+        a row of each for each node; a word leaves where its state is dead. The term's length tells the edits."""
         found: list[str] = []
-        by_first: dict[str, list[str]] = {}
-        for w in sorted(words, key=len) if anywhere else words:
-            by_first.setdefault("" if anywhere else w[0], []).append(w)
-        runs = [(first, own[a : a + ABREAST]) for first, own in by_first.items() for a in range(0, len(own), ABREAST)]
-        for first, own in runs:
+        words = sorted(words, key=len)
+        for a in range(0, len(words), ABREAST):
+            own = words[a : a + ABREAST]
             width = max(map(len, own))
             lengths = np.array([len(w) for w in own])
-            letters = np.array(own, f"U{width}").view(np.uint32).reshape(len(own), width)
             hit = np.zeros(len(own), bool)
-            if anywhere:
-                most = self.reach(letters, lengths)
-                at = np.flatnonzero(most >= 0)
-                row, node = np.arange(width + 1, dtype=np.int8)[None].repeat(len(at), axis=0), self.trie
-            else:
-                most = np.where(lengths < 9, edits_allowed(5), edits_allowed(9)).astype(np.int8)
-                at = np.arange(len(own))
-                row, node = np.abs(np.arange(width + 1, dtype=np.int8) - 1)[None].repeat(len(own), axis=0), self.trie[first]
-            self.walk(node, at, row, None, first, letters, lengths, most, hit)
+            row = np.arange(width + 1, dtype=np.int8)[None].repeat(len(own), axis=0)
+            self.walk(self.trie, np.arange(len(own)), row, None, "", letters_of(own, width), lengths, hit)
             found += [own[i] for i in np.flatnonzero(hit)]
         return found
 
-    def reach(self, letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The most edits that a term allows a word to which it may be that close, -1 if none may: an edit changes
-        the length by one at most, and adds and removes one kind of letter at most. So no match is left out."""
-        bits = np.where(letters > 0, np.uint64(1) << (letters % 64).astype(np.uint64), np.uint64(0))
-        own = np.bitwise_or.reduce(bits, axis=1)
-        most = np.full(len(lengths), -1, np.int8)
-        for term in self.terms:
-            e = edits_allowed(len(term))
-            a, z = np.searchsorted(lengths, (len(term) - e, len(term) + e + 1))
-            if a == z:
-                continue
-            kinds = np.uint64(sum({1 << ord(c) % 64 for c in term}))
-            near = (np.bitwise_count(kinds & ~own[a:z]) <= e) & (np.bitwise_count(own[a:z] & ~kinds) <= e)
-            most[a:z][near] = np.maximum(most[a:z][near], e)
-        return most
-
-    def walk(self, node: dict, at, row, above, last: str, letters, lengths, most, hit) -> None:
+    def walk(self, node: dict, at, row, above, last: str, letters, lengths, hit) -> None:
         """``row[k, i]``: edits (swaps of neighbours count as one) from the trie's path to the first i letters of word ``at[k]``."""
         term = node.get("term")
         if term is not None:
-            hit[at[row[np.arange(len(at)), lengths[at]] <= np.minimum(most[at], edits_allowed(len(term)))]] = True
+            hit[at[row[np.arange(len(at)), lengths[at]] <= edits_allowed(len(term))]] = True
         steps = np.arange(row.shape[1], dtype=np.int8)
         for c, child in node.items():
             if len(c) > 1:
@@ -165,15 +210,29 @@ class Lexicon:
                 swapped = same[:, :-1] & (letters[at, 1:] == ord(last))
                 np.minimum(new[:, 2:], np.where(swapped, above[:, :-2] + np.int8(1), np.int8(99)), out=new[:, 2:])
             new = np.minimum.accumulate(new - steps, axis=1) + steps
-            live = np.flatnonzero((new.min(axis=1) <= np.minimum(most[at], child["most"])) & ~hit[at])
+            live = np.flatnonzero((new.min(axis=1) <= child["most"]) & ~hit[at])
             if len(live):
-                self.walk(child, at[live], new[live], row[live], c, letters, lengths, most, hit)
+                self.walk(child, at[live], new[live], row[live], c, letters, lengths, hit)
 
 
 FEATURES = ("hits", "exact", "fuzzy", "quoted", "saying", "address", "crowded", "any")
 NOT_QUOTES = EDGE.translate({ord(q): None for q in QUOTES})
 
 
+def quotations(tokens: list[str]) -> set[int]:
+    """Places between quotes: from a word that begins with one to the next that ends with one, QUOTATION words or fewer."""
+    inside: set[int] = set()
+    begun = None
+    for i, w in enumerate(tokens):
+        if w[0] in QUOTES or w.lstrip(NOT_QUOTES)[:1] in QUOTES and w.strip(EDGE):
+            begun = i
+        if begun is not None and w.rstrip(NOT_QUOTES)[-1:] in QUOTES and (i > begun or len(w) > 1 and w.strip(EDGE)):
+            if i - begun < QUOTATION:
+                inside.update(range(begun, i + 1))
+            begun = None
+    return inside
+
+
 def features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
     """Counts of hits by kind and context, a row a document, on a log scale."""
     out = np.zeros((len(texts), len(FEATURES)))
@@ -183,13 +242,13 @@ def features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
     for k, tokens in enumerate(split):
         if hits.keys().isdisjoint(tokens):
             continue
+        between = quotations(tokens)
         for i, w in enumerate(tokens):
             if w not in hits:
                 continue
             around = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
             near = [x.strip(EDGE) for x in around]
-            quoted = w[0] in QUOTES and w.rstrip(NOT_QUOTES)[-1:] in QUOTES
-            out[k] += (1, hits[w] == 1, hits[w] == 2, quoted, any(x in SAYING for x in near), any(x in ADDRESS for x in near), sum(x in hits for x in around) > 1, 0)
+            out[k] += (1, hits[w] == 1, hits[w] == 2, i in between, any(x in SAYING for x in near), any(x in ADDRESS for x in near), sum(x in hits for x in around) > 1, 0)
             out[k, -1] = 1
     out[:, :-1] = np.log1p(out[:, :-1])
     return out
@@ -219,7 +278,7 @@ class Model:
 
 
 #: Used where no labels are given: abuse pulls up, quotation down.
-DEFAULT = np.array([0.5, 2.0, 1.0, -2.0, -2.0, 0.5, 0.5, 2.0]), -3.0
+DEFAULT = np.array([0.5, 2.0, 1.0, -3.0, -2.0, 0.5, 0.5, 2.0]), -3.0
 
 
 def learn(rows: DataFrame) -> Model:
@@ -248,29 +307,30 @@ def learn(rows: DataFrame) -> Model:
     def good(found: DataFrame) -> list:
         """Terms that chance would hardly give: with its documents' labels dealt at random, less
         than one in CHANCE terms of about its frequency would be as toxic."""
-        tried = {r["n"]: r["count"] for r in found.groupBy((F.col("toxic") + F.col("clean")).alias("n")).count().collect()}
-        out = []
-        for r in found.filter((F.col("toxic") >= 2) & (F.col("clean") <= MOST_CLEAN * used[0])).orderBy(*best).limit(50 * MOST_TERMS).collect():
-            t, c = r["toxic"], r["clean"]
-            pure = (t / used[1]) / (t / used[1] + c / used[0]) >= LEAST_PURITY  # the classes weighed alike
-            like = sum(k for n, k in tried.items() if t + c <= n <= 2 * (t + c))
-            if pure and like * math.comb(t + c, c) * base**t < CHANCE:
-                out.append(r)
-        return out
+        n, t, c = F.col("toxic") + F.col("clean"), F.col("toxic") / used[1], F.col("clean") / used[0]
+        tried = {r["n"]: r["count"] for r in found.groupBy(n.alias("n")).count().collect()}
+        like = {k: sum(x for m, x in tried.items() if k <= m <= 2 * k) for k in tried}
+        # The classes weighed alike. What is collected are words of at most 2 x FIT_ROWS texts.
+        pure = found.filter((F.col("toxic") >= 2) & (F.col("clean") <= MOST_CLEAN * used[0]) & (t / (t + c) >= LEAST_PURITY))
+        rows = pure.orderBy(*best).toArrow().to_pylist()
+        return [r for r in rows if like[r["toxic"] + r["clean"]] * math.comb(r["toxic"] + r["clean"], r["clean"]) * base ** r["toxic"] < CHANCE]
 
     words_found = good(by_word)
-    grown_from = by_word.filter("toxic >= 2").orderBy(*best).limit(200 * MOST_TERMS).collect()
+    most_of: dict[str, int] = {}
+    for r in by_word.filter("toxic >= 2").select("term", "toxic").toArrow().to_pylist():
+        for k in STEMS:
+            most_of[r["term"][:k]] = max(most_of.get(r["term"][:k], 0), r["toxic"])
     stems: list[str] = []
-    for r in sorted(good(by_stem), key=lambda r: (len(r["term"]), -r["toxic"])):
-        single = max((w["toxic"] for w in grown_from if w["term"].startswith(r["term"])), default=0)
+    for r in sorted(good(by_stem), key=lambda r: (len(r["term"]), -r["toxic"], r["term"])):
         # A stem is learned where many words share it, not where one word does.
-        if single <= 0.8 * r["toxic"] and not r["term"].startswith(tuple(stems)):
+        if most_of.get(r["term"], 0) <= 0.8 * r["toxic"] and not r["term"].startswith(tuple(stems)):
             stems.append(r["term"])
-    alone = [r["term"] for r in words_found if not r["term"].startswith(tuple(stems))]
-    covered = [r["term"] for r in words_found if r["term"].startswith(tuple(stems))]
-    learned = [*alone[:MOST_TERMS], *covered]
-    clean = by_word.filter("clean >= 2 and clean > toxic").filter(F.length("term") >= 4).orderBy(F.desc("clean"), "term").limit(200_000).collect()
-    lexicon = Lexicon(tuple(dict.fromkeys([*SEED_TERMS, *learned])), tuple(stems[:MOST_TERMS]), frozenset(r["term"] for r in clean))
+    terms = tuple(dict.fromkeys([*SEED_TERMS, *(r["term"] for r in words_found)]))
+    # Of the clean words, those matter that would pass for a misspelled term.
+    clean = by_word.filter("clean >= 2 and clean > toxic").filter(F.length("term") >= 4).select("term").toArrow()["term"].to_pylist()
+    lexicon = Lexicon(terms, tuple(stems), frozenset())
+    lexicon.learn_words(set(clean))
+    lexicon = Lexicon(terms, tuple(stems), frozenset(w for w in clean if lexicon.hits.get(w) == 2))
 
     shared = spark.sparkContext.broadcast(lexicon)
 
@@ -300,11 +360,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.0
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
-    """The rows of ``docs`` with a score from 0 to 1 for each whole text; a column that has that name is replaced."""
-    docs = docs.drop(out)
+    """The rows of ``docs`` with a score from 0 to 1 for each whole text, in a column that ``docs`` must not have."""
+    if out.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the rows have a column {out} already")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at = column_at(docs, "text")
 
     def run(batches):
         m = shared.value

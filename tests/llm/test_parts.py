@@ -56,22 +56,6 @@ def osa(a, b):
     return d[-1][-1]
 
 
-def test_trie_walk_finds_what_plain_distances_find():
-    rnd = random.Random(4)
-    lexicon = toxicity.Lexicon(toxicity.SEED_TERMS, (), frozenset())
-    words = set()
-    for _ in range(4000):
-        w = list(rnd.choice(toxicity.SEED_TERMS))
-        for _ in range(rnd.randint(0, 3)):
-            i = rnd.randrange(len(w) + 1)
-            w[i : i + rnd.randint(0, 2)] = rnd.choice(("", "a", "s", "o", "ed"))
-        if len(w) >= 5:
-            words.add("".join(w))
-    allowed = toxicity.edits_allowed
-    plain = {w for w in words if any(t[0] == w[0] and osa(w, t) <= min(allowed(len(w)), allowed(len(t))) for t in toxicity.SEED_TERMS)}
-    assert set(lexicon.misspelled(sorted(w for w in words if w[0] in lexicon.trie))) == plain
-
-
 def test_edits_are_found_anywhere_by_the_length_of_the_term(monkeypatch):
     monkeypatch.setattr(toxicity, "ABREAST", 500)
     lexicon = toxicity.Lexicon(toxicity.SEED_TERMS, (), frozenset({"crash"}))
@@ -86,7 +70,10 @@ def test_edits_are_found_anywhere_by_the_length_of_the_term(monkeypatch):
         if len(w) >= 4:
             words.add("".join(w))
     plain = {w for w in words if any(osa(w, t) <= toxicity.edits_allowed(len(t)) for t in toxicity.SEED_TERMS)}
-    assert set(lexicon.misspelled(sorted(words), anywhere=True)) == plain
+    assert set(lexicon.misspelled(sorted(words))) == plain
+    other = plain - set(toxicity.SEED_TERMS)  # words that are terms as they stand aren't looked up so
+    assert other <= set(lexicon.reachable(sorted(words))) and len(lexicon.reachable(sorted(words))) < len(words)
+    assert set(lexicon.misspelled(lexicon.reachable(sorted(words)))) - set(toxicity.SEED_TERMS) == other
 
 
 def test_terms_that_a_stem_covers_are_found_with_an_edit_in_the_stem(spark):
@@ -101,6 +88,8 @@ def test_terms_that_a_stem_covers_are_found_with_an_edit_in_the_stem(spark):
 def test_toxicity_tells_abuse_from_quotation():
     model = toxicity.Model(toxicity.Lexicon(toxicity.SEED_TERMS, (), frozenset()), *toxicity.DEFAULT)
     abuse, spelled, quoted, clean, empty, none = model.scores(["you are a pathetic idiot", "you are a pahtetic id1ot", 'the word "idiot" is an insult', "a quiet harbour", "", None])
+    inside, outside = model.scores(['"the idiot came here" it read', "the idiot came here it read"])
+    assert inside < 0.3 < outside
     assert abuse > 0.7 and spelled > 0.5 and quoted < spelled and clean == empty == none < 0.2
 
 
