@@ -40,15 +40,15 @@ from .common import fresh, maybe_broadcast, mix, small_batches, stage
 
 #: Words a shingle has, and the least similarity in percent.
 N, PERCENT = 4, 85
-#: Text that one bucket of signatures stands for, elements and sets of a block of a family, columns and cells of a matrix.
-BUCKET_CHARS, GROUP_ELEMENTS, GROUP_SETS, COLUMNS, CELLS = 8_000_000, 2_000_000, 16_384, 4096, 1 << 23
+#: Text that one bucket of signatures stands for, signatures a task holds before it hands them on, elements and sets of a block of a family, columns and cells of a matrix.
+BUCKET_CHARS, HELD, GROUP_ELEMENTS, GROUP_SETS, COLUMNS, CELLS = 8_000_000, 1_000_000, 1_000_000, 16_384, 4096, 1 << 23
 #: Elements that a signature should cover on average.
 LEAST_COVER = 3.5
 #: An element is common if several sets of so many batches have it; of these, the most frequent are set aside in
 #: signatures, so that passages that many documents share don't bring them together. That changes no result.
 COMMON_BATCHES, MOST_COMMON = 4, 200_000
-#: Words whose digest a worker remembers.
-MEMO = 1_000_000
+#: Words whose digest a worker remembers; tasks that buckets of signatures are dealt to at most.
+MEMO, MOST_TASKS = 150_000, 20_000
 
 
 class WordDigests(dict):
@@ -203,14 +203,14 @@ def _base(batches, n):
 
 
 def _blobs(batches, n, percent, buckets, common):
-    """Signature members by bucket, one a signature; the others of the batch as edges to it."""
-    turn = 0
-    for b in batches:
-        distinct = {digest(s): s for s in shingle_sets(b.column(1).to_pylist(), n)}
-        sids = np.fromiter(distinct, np.int64, len(distinct))
-        sig, of = signatures(list(distinct.values()), percent, common.value)
+    """Signature members by bucket, one a signature; the others that the task held at the time as edges to it."""
+    held, size, turn = [], 0, 0
+
+    def flush():
+        sig, sid = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+        held.clear()
         order = np.argsort(sig, kind="stable")
-        sig, sid = sig[order], sids[of[order]]
+        sig, sid = sig[order], sid[order]
         first, edges = star(sig, sid)
         sig, sid = sig[first], sid[first]
         bucket = (sig >> np.uint64(33)) % np.uint64(buckets)
@@ -218,24 +218,44 @@ def _blobs(batches, n, percent, buckets, common):
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
         out = [(i, False, packed(sig[order[a:z]], sid[order[a:z]])) for i, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
         if edges.size:
-            turn += 1
-            out.append(((turn * 7919 + int(sids[0] & 0xFFFF)) % buckets, True, packed(*edges)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "known", "members"])
+            out.append(((turn * 7919 + int(edges[0, 0] & 0xFFFF)) % buckets, True, packed(*edges)))
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "known", "members"])
+
+    for b in batches:
+        distinct = {digest(s): s for s in shingle_sets(b.column(1).to_pylist(), n)}
+        sids = np.fromiter(distinct, np.int64, len(distinct))
+        sig, of = signatures(list(distinct.values()), percent, common.value)
+        held.append((sig, sids[of]))
+        size += len(sig)
+        if size >= HELD:
+            yield flush()
+            size, turn = 0, turn + 1
+    if held:
+        yield flush()
 
 
 def _edges(batches):
-    """The distinct edges of one task's buckets: those known, and the star of each signature."""
-    held, known = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
+    """The distinct edges of each bucket (rows come sorted by bucket): those known, and the star of each signature."""
+    bucket, held, known = None, [], []
+
+    def close():
+        sig, sid = np.concatenate([np.zeros((2, 0), np.int64), *held], axis=1)
+        held.clear()
+        order = np.argsort(sig, kind="stable")
+        _, edges = star(sig[order], sid[order])
+        edges = np.unique(np.concatenate([*known, edges], axis=1), axis=1)
+        known.clear()
+        for a in range(0, edges.shape[1], 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(edges[0, a : a + 100_000]), pa.array(edges[1, a : a + 100_000])], names=["a", "b"])
+
     for b in batches:
-        for k, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for i, k, blob in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            if i != bucket and bucket is not None:
+                yield from close()
+            bucket = i
             (known if k else held).append(unpacked(blob))
-    sig, sid = np.concatenate(held, axis=1)
-    held.clear()
-    order = np.argsort(sig, kind="stable")
-    _, edges = star(sig[order], sid[order])
-    edges = np.unique(np.concatenate([*known, edges], axis=1), axis=1)
-    for a in range(0, edges.shape[1], 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(edges[0, a : a + 100_000]), pa.array(edges[1, a : a + 100_000])], names=["a", "b"])
+    if bucket is not None:
+        yield from close()
 
 
 def _sets(batches, n):
@@ -317,22 +337,32 @@ def _links(batches, percent):
 # Components -----------------------------------------------------------------
 
 
+def skew_join(left: DataFrame, right: DataFrame, key: str, share: str, total: int) -> DataFrame:
+    """``left`` joined with ``right`` (one row a key) on the key. ``share`` tells how many of the ``total`` rows of
+    ``left`` a key has; keys with more than a thousandth of them, so less than a thousand keys, are broadcast."""
+    hot = F.col(share) * 1000 > total
+    often = F.broadcast(right.filter(hot))
+    rest = left.join(often.select(key), key, "left_anti").join(right.filter(~hot), key)
+    return left.join(often, key).unionByName(rest)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for the nodes of links ``(a, b)``: alternating large and small stars until nothing moves."""
     spark = links.sparkSession
     edges = stage(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    before = None
+    before, rows = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("_n"))
+        large = skew_join(both.filter("v > u"), low, "u", "_n", 2 * rows).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = stage(spark, large, "large-stars")
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+        small = skew_join(large, lowest, "u", "_n", large.count()).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = stage(spark, small.filter("u <> v").distinct(), "stars")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+        before, rows = now, now[0]
 
 
 def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -351,12 +381,16 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(chars / BUCKET_CHARS))
     blobs = docs.mapInArrow(lambda it: _blobs(it, n, percent, buckets, common), "bucket int, known boolean, members binary")
-    edges = blobs.repartition(buckets, "bucket").mapInArrow(_edges, "a long, b long")
+    edges = blobs.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(_edges, "a long, b long")
     labels = components(_linked(spark, docs, base, components(edges), n, percent))
-    rooted = base.join(labels, base["sid"] == labels["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "sid").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
+    # A row for each distinct set; then for each class; both go back where they came from, common ones by broadcast.
+    own = base.groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    rooted = own.join(labels, own["sid"] == labels["node"], "left").select("sid", "first", "copies", F.coalesce("root", "sid").alias("root"))
+    rooted = stage(spark, rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("sets"))
+    named = stage(spark, skew_join(rooted, least, "root", "sets", rooted.count()).select("sid", "copies", "least"), "named")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
-    return rooted.join(least, "root").select("doc_id", "n_shingles", component.alias("component_id"))
+    return skew_join(base, named, "sid", "copies", base.count()).select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def _linked(spark, docs, base, families, n, percent) -> DataFrame:
