@@ -9,12 +9,16 @@ fail it go through the exact merge loop. Merged words are memoised per worker
 in a table of bounded size.
 
 Null texts count as empty; an empty text has no tokens. Long texts are cut at
-points that the pre-tokeniser always cuts, so memory follows the segment size.
-Rows are independent of each other: repeated rows give repeated results.
+points that the pre-tokeniser always cuts, so memory follows the segment size or
+the longest run without such a point; a long word merges through a heap, so time
+follows its length and hardly more. Equal merges go from left to right. Rows are
+independent of each other: repeated rows give repeated results, an empty table
+none. Other columns don't matter to encoding; decoding keeps them.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -29,8 +33,10 @@ from .common import gather, small_batches
 #: The pattern by which byte-level BPE splits text before merging (fixed value).
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Characters handled at once, and distinct pre-tokens remembered by a worker.
-SEGMENT_CHARS, TABLE_WORDS = 1_000_000, 700_000
+#: Characters handled at once, distinct pre-tokens (and characters of these) remembered by a worker.
+SEGMENT_CHARS, TABLE_WORDS, TABLE_CHARS = 1_000_000, 300_000, 6_000_000
+#: Characters from which a word is merged by itself.
+LONG_WORD = 200
 
 
 def byte_alphabet() -> list[str]:
@@ -41,7 +47,7 @@ def byte_alphabet() -> list[str]:
 
 
 class Memo:
-    """Token ids of the strings seen so far, in flat arrays; starts anew beyond TABLE_WORDS strings."""
+    """Token ids of the strings seen so far, in flat arrays; starts anew beyond TABLE_WORDS strings or TABLE_CHARS characters."""
 
     def __init__(self, encode):
         self.encode = encode
@@ -49,13 +55,15 @@ class Memo:
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.chars = 0
         self.ids, self.at, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __call__(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all strings in a row, and how many each has."""
-        if len(self.place) > TABLE_WORDS:
+        if len(self.place) > TABLE_WORDS or self.chars > TABLE_CHARS:
             self.forget()
         if new := list(set(strings).difference(self.place)):
+            self.chars += sum(map(len, new))
             ids, lengths = self.encode(new)
             self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(lengths) - lengths])
             self.length = np.concatenate([self.length, lengths])
@@ -122,6 +130,7 @@ class Codec:
 
         self.byte_flat, self.byte_at, self.byte_len = flatten(spelled)
         self.of_piece, self.of_chunk = Memo(self.encode_pieces), Memo(self.encode_chunks)
+
     def compatible(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
         """Whether the boundary between tokens a and b outlives every merge (of rank under ``before``).
 
@@ -155,8 +164,45 @@ class Codec:
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], len(self.pairs))
 
     def merge(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Exact merging of the words whose proposal failed, all at once: each round
-        makes every word's earliest merge, leftmost first."""
+        """Exact merging of the words whose proposal failed: short ones side by side, long ones one by one."""
+        short = [i for i, s in enumerate(spelled) if len(s) < LONG_WORD]
+        parts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(spelled)
+        if short:
+            ids, n = self.merge_abreast([spelled[i] for i in short])
+            for i, part in zip(short, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                parts[i] = part
+        for i, s in enumerate(spelled):
+            if len(s) >= LONG_WORD:
+                parts[i] = self.merge_long(s)
+        return np.concatenate([np.zeros(0, np.int64), *parts]), np.array([len(p) for p in parts], np.int64)
+
+    def merge_long(self, spelled: str) -> np.ndarray:
+        """One word's merges in order of rank, then place, from a heap; pairs that are gone meanwhile are passed over."""
+        ids = self.id_of_char[np.frombuffer(spelled.encode("utf-16-le"), np.uint16)]
+        rank = self.ranks(ids[:-1], ids[1:])
+        at = np.flatnonzero(rank < len(self.pairs))
+        waiting = list(zip(rank[at].tolist(), at.tolist(), strict=True))
+        heapq.heapify(waiting)
+        piece, after, before, pairs = ids.tolist(), list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), self.pairs
+        end = len(piece)
+        while waiting:
+            r, i = heapq.heappop(waiting)
+            j = after[i] if piece[i] >= 0 else end
+            if j == end or pairs.get((piece[i], piece[j]), (-1,))[0] != r:
+                continue
+            piece[i], piece[j] = pairs[piece[i], piece[j]][1], -1
+            k = after[i] = after[j]
+            if k < end:
+                before[k] = i
+                if found := pairs.get((piece[i], piece[k])):
+                    heapq.heappush(waiting, (found[0], i))
+            h = before[i]
+            if h >= 0 and (found := pairs.get((piece[h], piece[i]))):
+                heapq.heappush(waiting, (found[0], h))
+        return np.array([p for p in piece if p >= 0], np.int64)
+
+    def merge_abreast(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many words at once: each round makes every word's earliest merge, leftmost first."""
         never = len(self.pairs)
         lengths = np.array([len(s) for s in spelled])
         raw = np.frombuffer("".join(spelled).encode("utf-16-le"), np.uint16)
@@ -321,7 +367,9 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """Appends ``out``: the text that the token ids spell."""
+    """Appends ``out``, a name that ``encoded`` must not have: the text that the token ids spell."""
+    if out.lower() in {c.lower() for c in encoded.columns}:
+        raise ValueError(f"the rows have a column {out} already")
     small_batches(encoded.sparkSession)
 
     def run(batches):

@@ -123,3 +123,38 @@ def test_codec_survives_odd_texts():
     for t, k in zip(texts, n.tolist(), strict=True):
         assert ids[at : at + k].tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
         at += k
+
+
+def test_codec_takes_long_words():
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    tok, rnd = Tokenizer.from_file(vocabulary()), random.Random(2)
+    texts = ["".join(rnd.choices("etaoinshrdlu", k=n)) for n in (150, 199, 200, 201, 5000, 60_000)]
+    texts += ["ab" * 700, "你好" * 900, "".join(rnd.choices("0123456789abcdef", k=3000)), "a" * 999]
+    ids, n = bpe.codec(vocabulary()).encode(texts)
+    at = 0
+    for t, k in zip(texts, n.tolist(), strict=True):
+        assert ids[at : at + k].tolist() == tok.encode(t, add_special_tokens=False).ids
+        at += k
+    million = "".join(rnd.choices("etaoinshrdlu", k=1_000_000))
+    began = time.time()
+    ids, _ = bpe.codec(vocabulary()).encode([million])
+    assert time.time() - began < 60 and bpe.codec(vocabulary()).decode(ids).decode() == million
+    assert ids.tolist() == tok.encode(million, add_special_tokens=False).ids
+
+
+def test_codec_forgets_and_cuts_without_changing_ids(monkeypatch):
+    import random
+
+    monkeypatch.setattr(bpe, "TABLE_WORDS", 20)
+    monkeypatch.setattr(bpe, "SEGMENT_CHARS", 50)
+    rnd = random.Random(3)
+    texts = [" ".join("".join(rnd.choices("abcde ", k=rnd.randint(1, 9))) for _ in range(60)) for _ in range(40)]
+    plain, n = bpe.Codec(vocabulary()).encode(texts)
+    codec, got = bpe.Codec(vocabulary()), []
+    for _, parts in bpe._chunks(texts):
+        got += codec.encode(parts)[0].tolist()
+    assert got == plain.tolist()
