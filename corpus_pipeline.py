@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
 kept; ``run`` writes every stage's result as Parquet and hands the reread table
-on. All but the last stage return the columns of their input.
+on. All but the last stage return the columns of their input. Null and empty texts
+pass every filter but that they are never taken into the mix; empty tables give
+empty tables; long texts are worked on whole; columns beside those of documents
+are carried along up to the last stage.
 """
 
 from __future__ import annotations
@@ -41,8 +44,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, ids, n_tokens)`` of every row."""
-    return bpe.encode(docs, vocabulary()).withColumn("n_tokens", F.size("ids").cast("long"))
+    """``(doc_id, ids, n_tokens, decoded_sha256)`` of every row: its token ids, and the digest of what they spell."""
+    both = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary())
+    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
