@@ -36,4 +36,4 @@ def test_empty_table(spark, nothing):
 
 def test_small_table(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.columns == ["doc_id", "ids", "n_tokens"] and out.count() > 50
+    assert out.columns == ["doc_id", "ids", "n_tokens", "decoded_sha256"] and out.count() > 50
