@@ -25,9 +25,10 @@ A document's score is the sum of its conditional log probabilities, and their
 mean. Null, empty and word-less texts have no token: both are 0. Repeated rows
 count as often as they occur, each has a row. A null id stays null. Long texts
 are scored whole. An empty table gives no rows. Columns but ``doc_id`` and
-``text`` are not looked at. Contexts are told apart by 40 bits within a bucket
-of about ``BUCKET_TOKENS`` tokens, tokens of a context by 24; the network's log
-probabilities are kept to 11 bits, document sums are exact sums of these.
+``text`` are not looked at. Contexts are told apart by 32 bits within a bucket
+of about ``BUCKET_TOKENS`` tokens (a token in some 4,000 shares another's), tokens
+of a context by 16; the network's log probabilities are kept to 11 bits, document
+sums are exact sums of these.
 """
 
 from __future__ import annotations
@@ -42,19 +43,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches, stage
+from .common import mix, small_batches
 
 #: Neighbours on each side, hidden units.
 SIDE, HIDDEN = 2, 16
 #: Tokens in a step, learning rate, tokens of a shard, shards whose networks are averaged at most (beyond, shards are larger).
-STEP, RATE, SHARD_TOKENS, MOST_SHARDS = 8192, 0.05, 1_000_000, 4096
-#: Distinct words that a task counts or remembers before it lets go of them.
-COUNTED, MEMO = 200_000, 250_000
+STEP, RATE, SHARD_TOKENS, MOST_SHARDS = 16_384, 0.05, 1_000_000, 4096
+#: Distinct words that a task counts or remembers before it lets go of them; words fetched, more than any vocabulary knows.
+COUNTED, MEMO, FETCHED = 200_000, 250_000, 60_000
 #: Weight of the network against the counts; tokens a task hands on at once, occurrences in them that make a context frequent.
 PRIOR, FLUSH_TOKENS, FLUSH_DOCS, FREQUENT = 1.0, 1_000_000, 60_000, 8
 #: Tokens a bucket of contexts stands for.
 BUCKET_TOKENS = 1_000_000
-SEED, FIXED = 11, float(1 << 32)
+#: Parts of one that scores and weights are kept in.
+SEED, FIXED, FIXED_NET = 11, float(1 << 16), float(1 << 20)
 #: Stand for what is before a document's first and after its last token.
 BEGIN, END = np.uint64(0x5BF03635), np.uint64(0x1F83D9AB)
 
@@ -64,52 +66,48 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def side_for(total: int) -> int:
-    """Classes, and members of each: the vocabulary's ids are the square, about 2.25 times the cube root of the corpus's tokens."""
-    return max(8, round(1.5 * total ** (1 / 6)))
+    """Classes, and members of each: the vocabulary's ids are the square, about 1.4 times the cube root of the corpus's tokens."""
+    return max(8, round(1.2 * total ** (1 / 6)))
 
 
 # Corpus counts -----------------------------------------------------------------
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, n)`` of the whole corpus, counted by task first."""
+def learn_lexicon(docs: DataFrame) -> tuple[Lexicon, int]:
+    """The lexicon and the number of tokens, from one pass over the corpus: words and byte pairs counted by task, then summed."""
 
     def run(batches):
         seen: Counter = Counter()
+        pairs = np.zeros(1 << 16, np.int64)
 
-        def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return out
+        def rows(kind, keys, counts):
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], names=["kind", "key", "n"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                seen.update(tokens(t))
+                if own := tokens(t):
+                    seen.update(own)
+                    chars = joined(own)[0].astype(np.int64)
+                    pairs += np.bincount(chars[:-1] << 8 | chars[1:], minlength=1 << 16)
             if len(seen) > COUNTED:
-                yield rows()
-        yield rows()
-
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def spelling(counts: DataFrame) -> np.ndarray:
-    """Log probability of each byte after each byte in the corpus's words, one added to every count."""
-
-    def run(batches):
-        table = np.zeros((256, 256), np.int64)
-        for b in batches:
-            ws, ns = b.column(0).to_pylist(), b.column(1).to_numpy()
-            chars, lengths = joined(ws)
-            weight = np.repeat(ns, lengths)
-            np.add.at(table, (chars[:-1], chars[1:]), weight)
-        a, z = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z), pa.array(table[a, z])], names=["a", "z", "n"])
-
-    found = counts.mapInArrow(run, "a long, z long, n long").groupBy("a", "z").agg(F.sum("n").alias("n")).collect()
-    table = np.ones((256, 256))
-    for r in found:
-        table[r["a"], r["z"]] += r["n"]
-    return np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+                yield rows(1, list(seen), list(seen.values()))
+                seen.clear()
+        yield rows(1, list(seen), list(seen.values()))
+        found = np.flatnonzero(pairs)
+        yield rows(0, [bytes((int(i) >> 8, int(i) & 255)) for i in found], pairs[found])
+
+    counts = docs.select("text").mapInArrow(run, "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    # At most 65,536 byte pairs, then the commonest words.
+    found = counts.orderBy("kind", F.desc("n"), "key").limit((1 << 16) + FETCHED).toArrow()
+    table, words, total = np.ones((256, 256)), [], 0
+    for kind, key, n in zip(*(found.column(i).to_pylist() for i in range(3)), strict=True):
+        if kind:
+            words.append(bytes(key))
+        else:
+            table[key[0], key[1]] += n
+            total += n if key[0] == 10 else 0  # every word begins once
+    side = side_for(total)
+    return Lexicon(words[: 3 * side * side // 4], side, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)), total
 
 
 def joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,12 +169,6 @@ class Encoder:
         return np.fromiter((self.place[w] for s in split for w in s), np.int64, int(lengths.sum())), lengths
 
 
-def learn_lexicon(counts: DataFrame, total: int) -> Lexicon:
-    side = side_for(total)
-    top = counts.orderBy(F.desc("n"), "word").limit(3 * side * side // 4).collect()
-    return Lexicon([bytes(r["word"]) for r in top], side, spelling(counts))
-
-
 # The network -------------------------------------------------------------------
 
 
@@ -219,16 +211,25 @@ def windows(ids: np.ndarray, lengths: np.ndarray, beyond: int) -> np.ndarray:
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+    np.exp(z - z.max(axis=1, keepdims=True), out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
 
 
-def forward(net: dict, near: np.ndarray):
-    h = np.tile(net["bias"], (near.shape[1], 1))
-    for p in range(len(near)):
+def log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row's log softmax the value at one place."""
+    z -= z.max(axis=1, keepdims=True)
+    chosen = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    return chosen - np.log(z.sum(axis=1))
+
+
+def hidden(net: dict, near: np.ndarray) -> np.ndarray:
+    h = net["near"][0][near[0]]
+    for p in range(1, len(near)):
         h += net["near"][p][near[p]]
-    h = np.tanh(h)
-    return h, softmax(h @ net["classes"] + net["class_bias"])
+    h += net["bias"]
+    return np.tanh(h, out=h)
 
 
 def by_class(c: np.ndarray, side: int):
@@ -242,19 +243,19 @@ def by_class(c: np.ndarray, side: int):
 
 def log_probs(net: dict, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
     side = len(net["class_bias"])
-    h, pc = forward(net, near)
+    h = hidden(net, near)
     c, m = np.divmod(ids, side)
-    out = np.log(pc[np.arange(len(ids)), c] + 1e-12)
+    out = log_softmax_at(h @ net["classes"] + net["class_bias"], c)
     for k, rows in by_class(c, side):
-        pm = softmax(h[rows] @ net["members"][k] + net["member_bias"][k])
-        out[rows] += np.log(pm[np.arange(len(rows)), m[rows]] + 1e-12)
+        out[rows] += log_softmax_at(h[rows] @ net["members"][k] + net["member_bias"][k], m[rows])
     return out
 
 
 def step(net: dict, seen: dict, ids: np.ndarray, near: np.ndarray) -> None:
     """One Adagrad step on the mean log loss."""
     n, side = len(ids), len(net["class_bias"])
-    h, dc = forward(net, near)
+    h = hidden(net, near)
+    dc = softmax(h @ net["classes"] + net["class_bias"])
     c, m = np.divmod(ids, side)
     dc[np.arange(n), c] -= 1
     dc /= n
@@ -278,13 +279,18 @@ def step(net: dict, seen: dict, ids: np.ndarray, near: np.ndarray) -> None:
         net[k] -= RATE * g / (np.sqrt(seen[k]) + 1e-8)
 
 
+def id_type(side: int):
+    return np.uint16 if side <= 256 else np.uint32
+
+
 def _encoded(batches, lexicon):
     """A row for each document: its hash, which deals and orders it, and its token ids."""
     encoder = Encoder(lexicon.value)
+    small = id_type(lexicon.value.side)
     for b in batches:
         texts = b.column(1).to_pylist()
         places, lengths = encoder(texts)
-        ids, at, out = encoder.ids[places], 0, []
+        ids, at, out = encoder.ids[places].astype(small), 0, []
         for doc_id, text, n in zip(b.column(0).to_pylist(), texts, lengths.tolist(), strict=True):
             if n:
                 out.append((xxhash.xxh3_64_intdigest((text or "").encode(), seed=0 if doc_id is None else doc_id & 0x7FFFFFFFFFFFFFFF) - (1 << 63), ids[at : at + n].tobytes()))
@@ -297,7 +303,7 @@ def _trained(batches, side):
     shard, net, seen = None, None, None
 
     def done():
-        values = np.round(flat(net).astype(np.float64) * FIXED).astype(np.int64)
+        values = np.round(flat(net).astype(np.float64) * FIXED_NET).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary()), pa.array([1], pa.int64())], names=["w", "n"])
 
     for b in batches:
@@ -308,7 +314,7 @@ def _trained(batches, side):
                     yield done()
                 shard, net = s, start(side)
                 seen = {k: np.zeros_like(v) for k, v in net.items()}
-            docs = [np.frombuffer(x, np.int32).astype(np.int64) for x in b.filter(pa.array(shards == s)).column(1).to_pylist()]
+            docs = [np.frombuffer(x, id_type(side)).astype(np.int64) for x in b.filter(pa.array(shards == s)).column(1).to_pylist()]
             ids = np.concatenate(docs)
             near = windows(ids, np.array([len(d) for d in docs]), side * side)
             for a in range(0, len(ids), STEP):
@@ -341,21 +347,36 @@ def train(docs: DataFrame, lexicon: Lexicon, total: int) -> dict[str, np.ndarray
     if shards > 64:
         nets = nets.repartition(64).mapInArrow(_summed, "w binary, n long")
     found = nets.repartition(1).mapInArrow(_summed, "w binary, n long").first()
-    return start(side) if found is None else unflat(np.frombuffer(found["w"], np.int64) / FIXED / found["n"], side)
+    return start(side) if found is None else unflat(np.frombuffer(found["w"], np.int64) / FIXED_NET / found["n"], side)
 
 
 # Scores ------------------------------------------------------------------------
 
 
 def context_keys(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token: the low bits of its context, which choose the bucket, and 40 bits of the context with 24 of the token."""
+    """Of each token: bits of its context, which choose the bucket, and 32 others of the context with 16 of the token."""
     end = np.cumsum(lengths)
     some = lengths > 0
     left, right = np.empty_like(hashes), np.empty_like(hashes)
     left[1:], right[:-1] = hashes[:-1], hashes[1:]
     left[(end - lengths)[some]], right[(end - 1)[some]] = BEGIN, END
     context = mix(left + mix(right + np.uint64(0x9E37)))
-    return (context & np.uint64(0xFFFFFF)).astype(np.int64), (context >> np.uint64(24) << np.uint64(24)) | (mix(context ^ hashes) >> np.uint64(40))
+    return (context & np.uint64(0xFFFFFFFF)).astype(np.int64), (context >> np.uint64(32) << np.uint64(16)) | (mix(context ^ hashes) >> np.uint64(48))
+
+
+def keys_out(key: np.ndarray) -> bytes:
+    """Keys of 48 bits in six bytes each."""
+    return (key >> np.uint64(16)).astype(np.uint32).tobytes() + key.astype(np.uint16).tobytes()
+
+
+def keys_in(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, np.uint32, n).astype(np.uint64) << np.uint64(16) | np.frombuffer(data, np.uint16, n, 4 * n)
+
+
+def whole(values: np.ndarray) -> bytes:
+    """Integers in four bytes each if they fit, else in eight."""
+    return values.astype(np.int32 if not len(values) or np.abs(values).max() < 1 << 31 else np.int64).tobytes()
 
 
 def packed(lp: np.ndarray) -> np.ndarray:
@@ -407,13 +428,13 @@ def _spread(batches, shared, buckets, flush_tokens):
         out = [(uid, anywhere, DOCS, doc_ids.tobytes(), lengths.tobytes(), sums.tobytes())]
         low, key = context_keys(hashes, lengths)
         bucket = low % buckets
-        order = np.lexsort((key, bucket))
+        order = np.argsort(bucket.astype(np.uint64) << np.uint64(48) | key) if buckets <= 1 << 16 else np.lexsort((key, bucket))
         bucket, key, doc, lp = bucket[order], key[order], doc[order], lps[order]
-        run = runs((key >> np.uint64(24)) ^ (bucket.astype(np.uint64) << np.uint64(41)))
+        run = runs((key >> np.uint64(16)) | (bucket.astype(np.uint64) << np.uint64(32)))
         often = (np.bincount(run) >= FREQUENT)[run] if len(run) else run.astype(bool)
         bounds = np.searchsorted(bucket[~often], np.arange(buckets + 1))
         k, d, v = key[~often], doc[~often], lp[~often]
-        out += [(uid, i, TOKENS, k[a:z].tobytes(), d[a:z].tobytes(), v[a:z].tobytes()) for i, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if z > a]
+        out += [(uid, i, TOKENS, keys_out(k[a:z]), d[a:z].tobytes(), v[a:z].tobytes()) for i, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if z > a]
         if often.any():
             # One key a frequent (context, token) goes to its bucket with its count; the tokens wait for what comes back.
             k, b = key[often], bucket[often]
@@ -421,9 +442,9 @@ def _spread(batches, shared, buckets, flush_tokens):
             at = np.cumsum(first) - 1
             k, b, count = k[first], b[first], np.bincount(at)
             # The totals of a bucket come back in the order of its keys; with the bucket's number they find their place.
-            out.append((uid, anywhere, HELD, np.stack([b.astype(np.int64), k.view(np.int64)]).tobytes(), np.stack([at.astype(np.int64), doc[often].astype(np.int64)]).tobytes(), lp[often].tobytes()))
+            out.append((uid, anywhere, HELD, b.astype(np.int32).tobytes(), at.astype(np.int32).tobytes() + doc[often].tobytes(), lp[often].tobytes()))
             bounds = np.searchsorted(b, np.arange(buckets + 1))
-            out += [(uid, i, COUNTS, k[a:z].tobytes(), b"", count[a:z].tobytes()) for i, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if z > a]
+            out += [(uid, i, COUNTS, keys_out(k[a:z]), b"", count[a:z].tobytes()) for i, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if z > a]
         return parts(out)
 
     size = docs = 0
@@ -448,11 +469,11 @@ def _settled(batches):
     bucket, held = None, []
 
     def close():
-        keys = [np.frombuffer(k, np.uint64) for _, _, k, _, _ in held]
+        keys = [keys_in(k) for _, _, k, _, _ in held]
         counts = np.concatenate([np.frombuffer(v, np.int64) if kind == COUNTS else np.ones(len(k), np.int64) for (_, kind, _, _, v), k in zip(held, keys, strict=True)])
         key = np.concatenate(keys)
         order = np.argsort(key, kind="stable")
-        run, outer = runs(key[order]), runs(key[order] >> np.uint64(24))
+        run, outer = runs(key[order]), runs(key[order] >> np.uint64(16))
         triples, contexts = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
         triples[order] = np.bincount(run, counts[order])[run].astype(np.int64)
         contexts[order] = np.bincount(outer, counts[order])[outer].astype(np.int64)
@@ -469,7 +490,7 @@ def _settled(batches):
                 delta = corrections(triples[own][more], contexts[own][more], np.frombuffer(values, np.float16)[more])
                 at, first = np.unique(np.sort(doc), return_index=True)
                 by_doc = np.argsort(doc, kind="stable")
-                out.append((uid, bucket, SUMS, b"", at.tobytes(), np.add.reduceat(delta[by_doc], first).tobytes()))
+                out.append((uid, bucket, SUMS, b"", at.tobytes(), whole(np.add.reduceat(delta[by_doc], first))))
         return parts(out)
 
     for b in batches:
@@ -495,8 +516,8 @@ def _gathered(batches):
 
     def close():
         if "held" in state:
-            (b, keys), (at, doc), lp = state["held"]
-            totals = np.zeros((2, len(keys)), np.int64)
+            b, at, doc, lp = state["held"]
+            totals = np.zeros((2, len(b)), np.int64)
             for i, found in state["totals"]:
                 a, z = np.searchsorted(b, (i, i + 1))
                 totals[:, a:z] = found
@@ -517,9 +538,11 @@ def _gathered(batches):
             if kind == DOCS:
                 state |= {"ids": np.frombuffer(keys, np.int64), "lengths": np.frombuffer(docs, np.int64), "sums": np.frombuffer(values, np.int64).copy()}
             elif kind == HELD:
-                state["held"] = np.frombuffer(keys, np.int64).reshape(2, -1), np.frombuffer(docs, np.int64).reshape(2, -1), np.frombuffer(values, np.float16)
+                n = len(values) // 2
+                state["held"] = np.frombuffer(keys, np.int32), np.frombuffer(docs, np.int32, n), np.frombuffer(docs, np.uint16, n, 4 * n), np.frombuffer(values, np.float16)
             elif kind == SUMS:
-                state["sums"][np.frombuffer(docs, np.uint16)] += np.frombuffer(values, np.int64)
+                at = np.frombuffer(docs, np.uint16)
+                state["sums"][at] += np.frombuffer(values, np.int32 if len(values) == 4 * len(at) else np.int64)
             else:
                 state["totals"].append((i, np.frombuffer(values, np.int64).reshape(2, -1)))
     if uid is not None:
@@ -539,9 +562,6 @@ def score(docs: DataFrame, lexicon: Lexicon, net: dict, total: int, flush_tokens
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Count the corpus's words, train on all of it, score all of it."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    counts = stage(spark, word_counts(docs), "lm-words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    lexicon = learn_lexicon(counts, total)
+    small_batches(docs.sparkSession)
+    lexicon, total = learn_lexicon(docs)
     return score(docs, lexicon, train(docs, lexicon, total), total)
