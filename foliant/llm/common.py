@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 SPACES, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 
 #: Rows in an Arrow batch; texts may be long, so fewer than Spark's own default.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary one is set.
+    Only where the session names none and runs in one process (local tests) a temporary one is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='foliant-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -82,6 +84,15 @@ def maybe_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
+def skew_join(left: DataFrame, right: DataFrame, key: str, share: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (one row a key) on the key. ``share`` tells how many of the ``total`` rows of
+    ``left`` a key has; keys with more than a thousandth of them, so less than a thousand keys, are broadcast."""
+    hot = F.col(share) * 1000 > total
+    often = F.broadcast(right.filter(hot))
+    rest = left.join(often.select(key), key, "left_anti").join(right.filter(~hot), key, how)
+    return left.join(often, key).unionByName(rest)
+
+
 # Arrow side -----------------------------------------------------------------
 
 

@@ -36,19 +36,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, maybe_broadcast, mix, small_batches, stage
+from .common import fresh, maybe_broadcast, mix, skew_join, small_batches, stage
 
 #: Words a shingle has, and the least similarity in percent.
 N, PERCENT = 4, 85
 #: Text that one bucket of signatures stands for, signatures a task holds before it hands them on, elements and sets of a block of a family, columns and cells of a matrix.
-BUCKET_CHARS, HELD, GROUP_ELEMENTS, GROUP_SETS, COLUMNS, CELLS = 8_000_000, 1_000_000, 1_000_000, 16_384, 4096, 1 << 23
+BUCKET_CHARS, HELD, GROUP_ELEMENTS, GROUP_SETS, COLUMNS, CELLS = 4_000_000, 400_000, 400_000, 16_384, 4096, 1 << 21
 #: Elements that a signature should cover on average.
 LEAST_COVER = 3.5
 #: An element is common if several sets of so many batches have it; of these, the most frequent are set aside in
 #: signatures, so that passages that many documents share don't bring them together. That changes no result.
 COMMON_BATCHES, MOST_COMMON = 4, 200_000
 #: Words whose digest a worker remembers; tasks that buckets of signatures are dealt to at most.
-MEMO, MOST_TASKS = 150_000, 20_000
+MEMO, MOST_TASKS = 100_000, 20_000
 
 
 class WordDigests(dict):
@@ -337,15 +337,6 @@ def _links(batches, percent):
 # Components -----------------------------------------------------------------
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, share: str, total: int) -> DataFrame:
-    """``left`` joined with ``right`` (one row a key) on the key. ``share`` tells how many of the ``total`` rows of
-    ``left`` a key has; keys with more than a thousandth of them, so less than a thousand keys, are broadcast."""
-    hot = F.col(share) * 1000 > total
-    often = F.broadcast(right.filter(hot))
-    rest = left.join(often.select(key), key, "left_anti").join(right.filter(~hot), key)
-    return left.join(often, key).unionByName(rest)
-
-
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for the nodes of links ``(a, b)``: alternating large and small stars until nothing moves."""
     spark = links.sparkSession

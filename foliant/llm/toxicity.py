@@ -55,7 +55,7 @@ MOST_CLEAN, LEAST_PURITY, CHANCE = 0.002, 0.95, 0.5
 #: Characters of learned stems.
 STEMS = (4, 5, 6, 7)
 #: Words whose verdict a worker remembers, characters of the texts whose words are looked up at once, words that walk side by side.
-MEMO, RUN_CHARS, ABREAST = 100_000, 2_000_000, 8_192
+MEMO, RUN_CHARS, ABREAST = 50_000, 500_000, 8_192
 #: Bits of a filter's address, and the multiplier of its string hashes.
 FILTER_BITS, MULTIPLIER = 24, 0x9E3779B97F4A7C15
 
@@ -336,7 +336,8 @@ def learn(rows: DataFrame) -> Model:
 
     def run(batches):
         for b in batches:
-            x = features(b.column(0).to_pylist(), shared.value)
+            texts = b.column(0).to_pylist()
+            x = np.concatenate([np.zeros((0, len(FEATURES))), *(features(texts[a:z], shared.value) for a, z in grouped(texts))])
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
 
     seen = rows.mapInArrow(run, "x array<double>, label int").groupBy("x", "label").count().collect()
