@@ -1,10 +1,13 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 Every source's documents, in a seeded order, form shards of one token stream
-each; a shard's stream is cut into blocks of (nearly) ``block_tokens`` tokens.
-Blocks are allocated to sources by highest quotients ``target / (2 seats + 1)``,
-then each source's blocks to its shards the same way. A shard with quota q and
-n blocks takes every block ``q // n`` times and ``q % n`` seeded ones once more.
+each; a shard's stream is cut into blocks of (nearly) ``block_tokens`` tokens, of a
+source with less than ``LEAST_BLOCKS`` such blocks into as many smaller ones (but
+of a word at least). A source's votes are its target in blocks of its own; blocks
+are allocated to sources by highest quotients ``votes / (2 seats + 1)``, then each
+source's blocks to its shards the same way, so a source gets its target but for
+half a block or so. A shard with quota q and n blocks takes every block ``q // n``
+times and ``q % n`` seeded ones once more.
 
 Null sources are one source, last in order; null or word-less texts have size 0
 and are never taken. Repeated rows are separate documents. If no document has
@@ -27,8 +30,8 @@ from .common import WORD, let, stage, words
 #: Sources one mix may have: the mix's own configuration, one weight each.
 MAX_SOURCES = 100_000
 #: Words in a shard's stream, and shards that a source may have at most.
-SHARD_TOKENS, MAX_SHARDS = 65_536, 4096
-BLOCK_TOKENS, CAP, WEIGHTS = 64, 3, (5, 2, 1)
+SHARD_TOKENS, MAX_SHARDS = 65_536, 65_536
+BLOCK_TOKENS, LEAST_BLOCKS, CAP, WEIGHTS = 64, 64, 3, (5, 2, 1)
 
 
 def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[float]:
@@ -73,6 +76,12 @@ def _shard_quotas(shards: pd.DataFrame) -> pd.DataFrame:
     return shards[["_source", "_shard", "_stream", "_blocks", "_quota", "_step", "_turn"]]
 
 
+def block_size(size: int, block_tokens: int) -> float:
+    """Words of a block of a source, so that it has LEAST_BLOCKS or all its words for blocks."""
+    blocks = max(1, round(size / block_tokens), min(size, LEAST_BLOCKS))
+    return size / blocks if size else float(block_tokens)
+
+
 def allocate(docs: DataFrame, seed: int = 17, block_tokens: int = BLOCK_TOKENS, weights: tuple = WEIGHTS) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken, and ``takes``:
     how often each of its block parts is taken, as (first word, words, times)."""
@@ -88,16 +97,18 @@ def allocate(docs: DataFrame, seed: int = 17, block_tokens: int = BLOCK_TOKENS,
     found = sorted(((("b" if r["_source"] == "n" else "a") + r["_source"], r["_source"], r["n"]) for r in found), key=lambda r: r[0].encode())
     sizes = [n for *_, n in found]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(found))])
-    seats = sainte_lague(wanted, round(sum(wanted) / block_tokens))
+    block = [block_size(n, block_tokens) for n in sizes]
+    votes = [t / b for t, b in zip(wanted, block, strict=True)]
+    seats = sainte_lague(votes, round(sum(votes)))
     shards = [max(1, min(MAX_SHARDS, -(-n // SHARD_TOKENS))) for n in sizes]
     plan = spark.createDataFrame(
-        [(s, int(n), float(t), int(q), int(k)) for (_, s, n), t, q, k in zip(found, wanted, seats, shards, strict=True)],
-        "_source string, source_size long, target double, _seats long, _shards int",
+        [(s, int(n), float(t), int(q), int(k), b) for (_, s, n), t, q, k, b in zip(found, wanted, seats, shards, block, strict=True)],
+        "_source string, source_size long, target double, _seats long, _shards int, _block double",
     )
 
     dealt = sized.join(F.broadcast(plan), "_source").withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.col("_shards")).cast("int"))
-    streams = dealt.groupBy("_source", "_shard").agg(F.sum("size").alias("_stream"), F.first("_seats").alias("_seats"))
-    blocks = F.greatest(F.lit(1), F.round(F.col("_stream") / block_tokens)).cast("long")
+    streams = dealt.groupBy("_source", "_shard").agg(F.sum("size").alias("_stream"), F.first("_seats").alias("_seats"), F.first("_block").alias("_block"))
+    blocks = F.greatest(F.lit(1), F.round(F.col("_stream") / F.col("_block"))).cast("long")
     streams = streams.withColumn("_blocks", blocks).withColumn("_turn", F.pmod(F.xxhash64(F.lit(seed + 2), "_source", "_shard"), F.col("_blocks")))
     quotas = streams.groupBy("_source").applyInPandas(_shard_quotas, "_source string, _shard int, _stream long, _blocks long, _quota long, _step long, _turn long")
 
