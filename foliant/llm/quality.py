@@ -6,10 +6,12 @@ punctuation as one space) and hashed; a line in more distinct documents of a
 host than its limit is removed, and a document is rejected when too little
 remains: less than ``least_left`` of its words, or fewer than ``least_words``.
 
-The limit is the larger of ``least_limit`` and ``share`` of the host's
-documents. Documents are distinct by id, host and text, so repeated rows count
-once and get the same verdict; a null host is a host of its own; null texts and
-texts without a word fail the base rules. Lines without a word are never counted.
+The limit is a count of documents, the same whatever a host's size. Documents are
+distinct by id, host and text, so repeated rows count once and get the same
+verdict; a null host is a host of its own; null texts and texts without a word
+fail the base rules. Lines without a word are never counted. Long texts count
+whole, an empty table gives no rows. Columns but ``doc_id``, ``text`` and
+``source`` are not looked at.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, let, stage, words
 
-#: Documents of a host that may share a line: a count, and a share of the host's documents.
-LEAST_LIMIT, SHARE = 10, 0.002
+#: Documents of a host that may share a line.
+LIMIT = 10
 #: What must remain after removal.
 LEAST_LEFT, LEAST_WORDS = 0.5, 10
 #: Ways that one common line's rows are dealt.
@@ -73,21 +75,19 @@ def base(docs: DataFrame) -> DataFrame:
     )
 
 
-def common_lines(rows: DataFrame, least_limit: int = LEAST_LIMIT, share: float = SHARE) -> DataFrame:
-    """(host, line) of the lines above their host's limit, from ``base`` rows."""
+def common_lines(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(host, line, rows) of the lines above the limit, from ``base`` rows; ``rows`` counts documents."""
     once = rows.select("doc_id", "host", "h1", "h2", F.array_distinct(F.transform("lines", lambda x: x["line"])).alias("own")).distinct()
-    hosts = once.groupBy("host").agg(F.count("*").alias("docs")).select(F.col("host").alias("_host"), "docs")
-    seen = once.select("host", F.explode("own").alias("line")).groupBy("host", "line").agg(F.count("*").alias("in_docs")).filter(F.col("in_docs") > least_limit)
-    return seen.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("in_docs") > F.greatest(F.lit(least_limit), F.lit(share) * F.col("docs"))).select("host", "line")
+    return once.select("host", F.explode("own").alias("line")).groupBy("host", "line").agg(F.count("*").alias("in_docs")).filter(F.col("in_docs") > limit)
 
 
-def verdicts(docs: DataFrame, least_limit: int = LEAST_LIMIT, share: float = SHARE, least_left: float = LEAST_LEFT, least_words: int = LEAST_WORDS) -> DataFrame:
+def verdicts(docs: DataFrame, limit: int = LIMIT, least_left: float = LEAST_LEFT, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, the base figures, base_failed, n_left (words that remain) and kept."""
     rows = stage(docs.sparkSession, base(docs), "quality")
-    common = common_lines(rows, least_limit, share)
+    common = common_lines(rows, limit)
     salted = common.select(F.col("host").alias("_host"), F.col("line").alias("_line"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     lines = rows.select("doc_id", "host", "h1", "h2", "lines").distinct().select("doc_id", "host", "h1", "h2", F.explode("lines").alias("x")).select("doc_id", "host", "h1", "h2", "x.line", "x.n")
-    lines = lines.withColumn("salt", F.pmod(F.col("h1"), F.lit(SALTS)).cast("int"))
+    lines = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "h1"), F.lit(SALTS)).cast("int"))
     hit = lines.join(salted, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line")) & (F.col("salt") == F.col("_salt")))
     removed = hit.groupBy("doc_id", "host", "h1", "h2").agg(F.sum("n").alias("removed")).select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "host", "h1", "h2")], "removed")
     same = F.lit(True)
@@ -112,10 +112,8 @@ dup as (select r, count(*) - count(distinct line) as n_dup_lines from wl group b
 g as (select r, i, list_aggregate(w[i:i+4], 'string_agg', chr(10)) as gram from (select r, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)),
 rg as (select r, i from (select r, i, count(*) over (partition by r, gram) as c from g) where c >= 2),
 rep as (select r, count(distinct i + k) as n_repeat_words from rg, (select unnest(range(5)) as k) group by r),
-docs as (select distinct doc_id, host, t from d),
-hosts as (select host, count(*) as docs from docs group by host),
 seen as (select d.host, norm, count(distinct (d.doc_id, d.t)) as in_docs from wl join d using (r) group by d.host, norm),
-common as (select s.host, norm from seen s join hosts h on s.host is not distinct from h.host where in_docs > greatest({LEAST_LIMIT}, {SHARE} * docs)),
+common as (select host, norm from seen where in_docs > {LIMIT}),
 gone as (select wl.r, sum(n) as removed from wl join d using (r) join common c on c.norm = wl.norm and c.host is not distinct from d.host group by wl.r),
 f as (select doc_id, cast(len(w) as bigint) as n_words,
   cast(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars,
