@@ -9,8 +9,9 @@ each record by its range; nothing is extracted.
 Of records with equal payloads of at least ``LEAST`` bytes, that with the
 smallest page_id is a response and the others are revisits of it; rows that
 share that page_id are all responses. Null payloads are empty. A null page_id
-comes last; a group without any page_id has responses only. Other columns of
-the pages are ignored but for ``url`` (null: empty target).
+comes last; a group without any page_id has responses only. Long payloads are
+records like others; an empty table gives no archive and no rows. Other columns
+of the pages are ignored but for ``url`` (null: empty target).
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ import zipfile
 import zlib
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, new_folder, small_batches, stage
+from .common import new_folder, skew_join, small_batches, stage
 from .files import Counted, create, open_random
 
 #: Payload bytes from which a repeat is a revisit.
@@ -37,9 +39,9 @@ def plan(pages: DataFrame) -> DataFrame:
     """Each page with its payload, digest, record type and the page it refers to."""
     html = F.coalesce("html", F.lit(""))
     digests = pages.select("page_id", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n")).filter(F.col("n") >= LEAST)
-    first = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select(F.col("digest").alias("_digest"), "first")
+    first = stage(pages.sparkSession, digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1 and first is not null"), "first-pages")
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("payload"), F.sha2(html, 256).alias("digest"))
-    rows = rows.join(maybe_broadcast(first), F.col("digest") == F.col("_digest"), "left")
+    rows = skew_join(rows, first, "digest", "copies", first.agg(F.sum("copies")).first()[0] or 0, "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -74,7 +76,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
-    """One archive a partition; returns ``(archive, records)``."""
+    """One archive a partition; returns ``(archive, records, task)``."""
     small_batches(rows.sparkSession)
 
     def run(batches):
@@ -98,9 +100,9 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
                     b = next(batches, None)
             z.writestr(INDEX, "".join(index))
         stream.close()
-        yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n], pa.int64())], names=["archive", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n], pa.int64()), pa.array([TaskContext.get().partitionId()], pa.int32())], names=["archive", "records", "task"])
 
-    return rows.mapInArrow(run, "archive string, records long")
+    return rows.mapInArrow(run, "archive string, records long, task int")
 
 
 def directory(f, size: int) -> dict[str, tuple[int, int, int]]:
@@ -167,7 +169,10 @@ def read_archive(uri: str):
             yield None if page_id == "-" else int(page_id), n, digest, kind, refers and int(refers[len("<urn:page:") : -1])
 
 
-def read_archives(archives: DataFrame, tasks: int) -> DataFrame:
+def read_archives(archives: DataFrame) -> DataFrame:
+    """Every record of every archive, a task for each archive."""
+    tasks = 1 + (archives.agg(F.max("task")).first()[0] or 0)
+
     def run(batches):
         for b in batches:
             for uri in b.column(0).to_pylist():
@@ -177,14 +182,14 @@ def read_archives(archives: DataFrame, tasks: int) -> DataFrame:
                     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return archives.select("archive").repartition(tasks, "archive").mapInArrow(run, ROWS)
+    return archives.select("archive", "task").repartitionById(tasks, "task").mapInArrow(run, ROWS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages to archives in the shared folder and read every record back."""
     spark = pages.sparkSession
     made = stage(spark, write_archives(plan(pages), new_folder(spark, "warc")), "archives")
-    return read_archives(made, max(1, made.count()))
+    return read_archives(made)
 
 
 ORACLE = f"""
