@@ -6,8 +6,11 @@ task that wrote it (once a shard). Rows carry digest, shard, offset and length;
 metadata columns come from range reads of the image's header alone, features
 from its decoded samples.
 
-Null and empty texts are one row of spaces. Equal texts have equal values
-wherever they are stored. Rows are independent; repeated rows give repeated results.
+Null and empty texts are one row of spaces; long texts are long images. Equal
+texts have equal values wherever they are stored, so ties don't matter. Rows are
+independent; repeated rows give repeated results, an empty table none. Columns
+but ``doc_id`` and ``text`` are not looked at. Rows are read back by stretches of
+about ``STRETCH`` bytes of a shard, so readers grow in number with the media.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import new_folder, small_batches, stage
 from .files import Counted, create, open_random
@@ -28,6 +32,8 @@ from .files import Counted, create, open_random
 WIDTH = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
+#: Bytes of a shard that a reading task is given.
+STRETCH = 32 << 20
 
 
 def chunk(kind: bytes, data: bytes) -> bytes:
@@ -152,4 +158,9 @@ def read_back(stored: DataFrame) -> DataFrame:
 
 def round_trip(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    return read_back(stage(spark, store(docs, new_folder(spark, "media")), "media"))
+    stored = stage(spark, store(docs, new_folder(spark, "media")), "media")
+    # Rows of one stored image, however many, are dealt by document too: each part of them reads it once.
+    media = stored.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-media // STRETCH))
+    stretch = stored.withColumn("_stretch", F.floor(F.col("offset") / STRETCH))
+    return read_back(stretch.repartition(tasks, "shard", "_stretch", F.pmod(F.xxhash64("doc_id"), F.lit(4))).sortWithinPartitions("shard", "offset").drop("_stretch"))
