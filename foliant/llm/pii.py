@@ -9,12 +9,16 @@ a threshold per kind (the least with the wanted precision there) select the
 redactions, the likelier first, none overlapping a base span or another.
 
 The trees are trained here on examples rendered from seeded templates, since no
-table labels spans. Null texts are empty and have no span. Positions are code
-points, ends exclusive. Rows are independent; repeated rows give repeated spans.
+table labels spans. Null and empty texts have no span; long texts are searched
+whole, in time by their length and spans. Positions are code points, ends
+exclusive. Of candidates that score alike the first by start, kind and end is
+tried first. Rows are independent; repeated rows give repeated spans, an empty
+table none. ``redact`` keeps all other columns, ``spans`` drops them.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import column_at, small_batches
 
 #: Kinds in their order: the base ones first.
 KINDS = ("email", "ip", "card", "phone", "secret", "iban")
@@ -296,6 +300,29 @@ def train(seed: int = 5) -> Boosted:
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("base", pa.bool_())])
 
 
+class Taken:
+    """Stretches of a text that spans have taken, apart from each other and in order."""
+
+    def __init__(self, spans):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, z in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], z)
+            else:
+                self.starts.append(a)
+                self.ends.append(z)
+
+    def add(self, a: int, z: int) -> bool:
+        """Take a stretch if it is free; else False."""
+        at = bisect.bisect_right(self.starts, a)
+        if at and self.ends[at - 1] > a or at < len(self.starts) and self.starts[at] < z:
+            return False
+        self.starts.insert(at, a)
+        self.ends.insert(at, z)
+        return True
+
+
 def find(texts: list[str | None], model: Boosted) -> list[list[dict]]:
     """All selected spans of each text, by start and kind."""
     base = [base_spans(t or "") for t in texts]
@@ -305,8 +332,11 @@ def find(texts: list[str | None], model: Boosted) -> list[list[dict]]:
     if rows:
         p = model.probability(np.array([f for *_, f in rows], float))
         wanted = [(float(q), i, c) for q, (i, c, _) in zip(p, rows, strict=True) if q >= model.thresholds[KINDS.index(c[0])]]
+        taken: dict[int, Taken] = {}
         for q, i, (k, a, z) in sorted(wanted, key=lambda w: (-w[0], w[1], w[2][1], KINDS.index(w[2][0]), w[2][2])):
-            if not any(a < s["end"] and s["start"] < z for s in out[i]):
+            if i not in taken:
+                taken[i] = Taken((s["start"], s["end"]) for s in out[i])
+            if taken[i].add(a, z):
                 out[i].append({"kind": k, "start": a, "end": z, "score": q, "base": False})
     return [sorted(s, key=lambda s: (s["start"], KINDS.index(s["kind"]))) for s in out]
 
@@ -339,7 +369,7 @@ def redact(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model or train())
-    at, n_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    at, n_at = column_at(docs, "text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
         for b in batches:
@@ -355,11 +385,16 @@ def redact(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts of base spans, their digest, and all spans as text."""
+    """Counts of base spans, their digest, all spans as text, and counts of all spans and of those of the added kinds."""
     found = spans(docs)
     base = F.filter("spans", lambda s: s["base"])
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(k) for k in KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    added = [F.size(F.filter("spans", _of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS[4:]]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), *added)
