@@ -192,6 +192,24 @@ def test_licence_templates_match_themselves_and_small_changes(spark, documents):
     assert "Apache-2.0" in found[len(texts) - 2]["licences"] and found[len(texts) - 1]["n_units"] == 0
 
 
+def test_wrapped_and_commented_licences_are_found_inside_files(spark, documents):
+    import textwrap
+
+    full = {name: max((t for n, t in licenses.TEMPLATES if n == name), key=len) for name, _ in licenses.TEMPLATES}
+    code = "\n".join(f"value_{i} = compute(value_{i - 1}, {i})" for i in range(1, 300))
+    texts, names = [], []
+    for name, text in full.items():
+        for mark, width in (("# ", 72), (" * ", 50), ("", 300)):
+            notice = "\n".join(mark + line for line in textwrap.wrap(" ".join(text.split()), width))
+            texts.append(f"{mark}Copyright (c) 2019 A. Holder\n{notice}\n{code}\nend")
+            names.append(name)
+    texts += [code, "the software is provided to any person who has a copy of the notice", "a " * 5000]
+    found = {r["doc_id"]: r for r in licenses.scan(documents(texts)).collect()}
+    for i, name in enumerate(names):
+        assert name in found[i]["licences"].split(",") and found[i]["best"] >= 0.9, (name, i, found[i])
+    assert all(found[i]["licences"] == "" for i in range(len(names), len(texts)))
+
+
 def test_archives_are_zip_files(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "a" * 150), (2, "v", "a" * 150), (3, "w", "b")], "page_id long, url string, html string").coalesce(1)
     archive = warc.write_archives(warc.plan(pages).coalesce(1), f"file://{tmp_path}/z").first()["archive"]
@@ -281,9 +299,9 @@ def test_lm_scores_equal_a_plain_pass(spark, documents, flush, bucket):
     texts = [passage(rnd, rnd.randint(1, 120)) for _ in range(60)]
     texts += [texts[3]] * 12 + [texts[4]] + [None, "", " \n", "zzqx" * 5000, "Unïq " + texts[5], "one"]
     docs = documents(texts).repartition(3)
-    counts = lm.word_counts(docs)
-    total = counts.agg({"n": "sum"}).first()[0]
-    lexicon = lm.learn_lexicon(counts, total)
+    lexicon, total = lm.learn_lexicon(docs)
+    seen = Counter(w for t in texts for w in (t or "").encode().lower().split())
+    assert total == sum(seen.values()) and lexicon.known == sorted(seen, key=lambda w: (-seen[w], w))[: len(lexicon.known)]
     net = lm.train(docs, lexicon, total)
     found = {r["doc_id"]: r for r in lm.score(docs, lexicon, net, total, flush, bucket).collect()}
     assert len(found) == len(texts)
@@ -302,8 +320,7 @@ def test_lm_network_does_not_depend_on_partitions(spark, documents, monkeypatch)
     docs = documents([passage(rnd, 100) for _ in range(80)])
     nets = []
     for n in (1, 5):
-        counts = lm.word_counts(docs.repartition(n))
-        nets.append(lm.flat(lm.train(docs.repartition(n), lm.learn_lexicon(counts, 8000), 8000)))
+        nets.append(lm.flat(lm.train(docs.repartition(n), lm.learn_lexicon(docs.repartition(n))[0], 8000)))
     assert np.array_equal(*nets)
 
 
@@ -321,3 +338,42 @@ def test_redaction_replaces_spans():
     text = "write to a.b@c.org or (605) 555-9305 now"
     (found,) = pii.find([text], pii.train())
     assert re.fullmatch(r"write to \[EMAIL\] or \[PHONE\] now", pii.redact_text(text, found))
+
+
+def test_spans_of_one_text_are_found_in_time_by_their_number():
+    import time
+
+    text = " ".join(f"write to user{i} at host{i} dot com or a{i}.b@mail.org now" for i in range(10_000))
+    began = time.time()
+    (found,) = pii.find([text], pii.train())
+    assert len(found) >= 20_000 and time.time() - began < 60
+    ends = [0]
+    for s in found:
+        assert s["start"] >= ends[-1]
+        ends.append(s["end"])
+
+
+def test_taken_stretches_stay_apart():
+    rnd = random.Random(3)
+    for _ in range(200):
+        first = [(a, a + rnd.randint(1, 6)) for a in rnd.sample(range(60), 4)]
+        taken, plain = pii.Taken(first), set(i for a, z in first for i in range(a, z))
+        for _ in range(20):
+            a = rnd.randrange(60)
+            z = a + rnd.randint(1, 5)
+            free = plain.isdisjoint(range(a, z))
+            assert taken.add(a, z) == free
+            plain |= set(range(a, z)) if free else set()
+
+
+def test_small_sources_meet_their_targets(spark):
+    rnd = random.Random(4)
+    rows = [(i, " ".join("w" for _ in range(n)), s) for i, (n, s) in enumerate([(20, "tiny"), (40, "less"), (100, "some"), *[(rnd.randint(1, 400), "big") for _ in range(300)]])]
+    found = mixing.allocate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target, size = Counter(), {}, Counter()
+    for r in found:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        size[r["source"]] += r["size"]
+    for s in size:
+        assert abs(taken[s] - target[s]) <= max(1, min(64, size[s] / 64)), s
