@@ -44,6 +44,12 @@ def tiles(first: Column, last: Column, days: int = TILE_DAYS) -> Column:
     return F.transform(starts, lambda d: F.struct(d.alias("from"), F.least(F.date_add(d, days - 1), last).alias("to")))
 
 
+def witness_cover(first: Column, last: Column) -> Column:
+    """Windows of 31 days that jointly cover a window of at most that and aren't it: one where it fits, else one a day before and one a day after."""
+    window = lambda a, z: F.struct(F.date_add(first, a).alias("from"), F.date_add(first, z).alias("to"))
+    return F.when(F.date_diff(last, first) < TILE_DAYS - 1, F.array(window(0, TILE_DAYS - 1))).otherwise(F.array(window(-1, TILE_DAYS - 2), window(1, TILE_DAYS)))
+
+
 def midpoint(first: Column, last: Column) -> Column:
     """Last day of the left half; null for a single day."""
     return F.when(last > first, F.date_add(first, F.call_function("div", F.date_diff(last, first), F.lit(2)).cast("int")))

@@ -39,9 +39,19 @@ def direction(value: Column) -> Column:
     return F.when(value < 0, "receivable").when(value > 0, "payable")
 
 
+def absent(text: Column) -> Column:
+    """Money of a scan: an empty amount is absent."""
+    return parse(F.trim(text), MONEY)
+
+
+def or_zero(text: Column) -> Column:
+    """Money of a snapshot: an empty amount is zero, anything else that is no decimal null."""
+    return F.when(F.trim(text) == "", F.lit(0).cast(MONEY)).otherwise(absent(text))
+
+
 def rounds_trip(value: Column) -> Column:
     """Whether a double holds the money value exactly enough to give it back."""
-    return value.cast("double").cast(MONEY) == value
+    return value.cast("double").try_cast("decimal(20,2)") == value
 
 
 def grouped_indian(value: Column) -> Column:

@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from ..functions.dates import bucket, overdue_days
 from ..functions.exact import MONEY, direction, total, total_if
 from ..functions.ident import group_name, reserved_root
+from ..sources.shared import small, staged
 
+# Reserved names of groups whose ledgers are parties; codes of a walk that can't end.
+PARTY_GROUPS = ("Sundry Debtors", "Sundry Creditors")
+UNRESOLVED, CYCLE = "ledger_group_parent_unresolved", "group_parent_cycle"
 BUCKETS = (("0-30", "b0_30"), ("31-60", "b31_60"), ("61-90", "b61_90"), ("90+", "b90_plus"))
 
 
@@ -51,42 +55,65 @@ def top(found: DataFrame, n: int = 10) -> DataFrame:
     return found.orderBy(F.desc("total"), F.asc("party")).limit(n)
 
 
+def checked(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if small(df, rows) else df
+
+
 def ancestry(groups: DataFrame, most: int = 32) -> DataFrame:
-    """``(name, ancestor, depth, reserved_name)`` for each group and all above it; the root ends a walk.
+    """``(name, ancestor, depth, reserved_name)`` for each group and all above it; the root, or a blank parent, ends a walk.
 
-    A parent that no group has, or a walk longer than ``most`` (a cycle), yields
-    a row with a null ancestor, so a caller sees both.
+    A parent that no group has, and a walk of more than ``most`` steps (a
+    cycle), yield a row with a null ancestor, whose reserved_name tells which:
+    ``UNRESOLVED`` or ``CYCLE``. Each level is written before the next is joined.
     """
     keyed = groups.select(group_name(F.col("name")).alias("g"), group_name(F.col("parent")).alias("p"), "reserved_name", reserved_root(F.col("parent")).alias("top"))
-    up = F.broadcast(keyed.select(F.col("g").alias("_g"), F.col("p").alias("_p"), F.col("reserved_name").alias("_r"), F.col("top").alias("_t")))
-    level = keyed.select(F.col("g").alias("name"), F.col("g").alias("ancestor"), F.lit(0).cast("long").alias("depth"), "reserved_name", F.when(~F.col("top"), F.col("p")).alias("next"))
+    keyed = staged(keyed.withColumn("p", F.when(~F.col("top") & (F.col("p") != ""), F.col("p"))), "groups")
+    up = checked(keyed.select(F.col("g").alias("_g"), F.col("p").alias("_p"), F.col("reserved_name").alias("_r")))
+    level = keyed.select(F.col("g").alias("name"), F.col("g").alias("ancestor"), F.lit(0).cast("long").alias("depth"), "reserved_name", F.col("p").alias("next"))
     found = level
     for d in range(1, most + 1):
-        level = level.filter("next is not null").join(up, F.col("next") == F.col("_g"), "left").select("name", F.col("_g").alias("ancestor"), F.lit(d).cast("long").alias("depth"), F.col("_r").alias("reserved_name"), F.when(~F.col("_t"), F.col("_p")).alias("next"))
-        if level.isEmpty():
-            break
+        label = F.when(F.col("_g").isNull(), UNRESOLVED).otherwise(F.col("_r"))
+        level = staged(level.filter("next is not null").join(up, F.col("next") == F.col("_g"), "left").select("name", F.col("_g").alias("ancestor"), F.lit(d).cast("long").alias("depth"), label.alias("reserved_name"), F.col("_p").alias("next")), "ancestors")
         found = found.unionByName(level)
-    return found.drop("next")
+        if level.filter("next is not null").isEmpty():
+            return found.drop("next")
+    endless = level.filter("next is not null").select("name", F.lit(None).cast("string").alias("ancestor"), F.lit(most + 1).cast("long").alias("depth"), F.lit(CYCLE).alias("reserved_name"))
+    return found.drop("next").unionByName(endless)
+
 
+def group_status(groups: DataFrame, reserved: tuple[str, ...] = PARTY_GROUPS) -> DataFrame:
+    """``(name, status)``: party if the walk up meets a reserved group first, else UNRESOLVED or CYCLE if it meets that, else other."""
+    event = F.when(F.col("reserved_name").isin(*reserved), "party").when(F.col("ancestor").isNull(), F.col("reserved_name"))
+    first = F.min_by(event, F.when(event.isNotNull(), F.col("depth")))
+    return ancestry(groups).groupBy("name").agg(F.coalesce(first, F.lit("other")).alias("status"))
 
-def party_ledgers(ledgers: DataFrame, groups: DataFrame, reserved: tuple[str, ...] = ("Sundry Debtors", "Sundry Creditors")) -> DataFrame:
-    """The ledgers with ``in_party_group`` (an ancestor has one of the reserved names) and ``is_party`` (that, or bill-wise)."""
-    below = ancestry(groups).filter(F.col("reserved_name").isin(*reserved)).select(F.col("name").alias("_g")).distinct()
-    rows = ledgers.join(F.broadcast(below), group_name(F.col("parent")) == F.col("_g"), "left").withColumn("in_party_group", F.col("_g").isNotNull()).drop("_g")
-    return rows.withColumn("is_party", F.col("bill_wise") | F.col("in_party_group"))
+
+def party_ledgers(ledgers: DataFrame, groups: DataFrame, reserved: tuple[str, ...] = PARTY_GROUPS) -> DataFrame:
+    """The ledgers with ``in_party_group`` (an ancestor has one of the reserved names), ``is_party`` (that, or bill-wise),
+    and ``group_error``: why a ledger that isn't bill-wise can't be told (its own parent isn't known, UNRESOLVED or CYCLE)."""
+    known = checked(group_status(groups, reserved).select(F.col("name").alias("_g"), "status"))
+    parent = F.when(~reserved_root(F.col("parent")), F.nullif(group_name(F.col("parent")), F.lit("")))
+    rows = ledgers.withColumn("_p", parent).join(known, F.col("_p") == F.col("_g"), "left")
+    rows = rows.withColumn("in_party_group", F.coalesce(F.col("status") == "party", F.lit(False)))
+    error = F.when(F.col("_p").isNotNull() & F.col("_g").isNull(), UNRESOLVED).when(F.col("status").isin(UNRESOLVED, CYCLE), F.col("status"))
+    return rows.withColumn("is_party", F.col("bill_wise") | F.col("in_party_group")).withColumn("group_error", F.when(~F.col("bill_wise"), error)).drop("_g", "_p", "status")
 
 
 def residuals(ledgers: DataFrame, groups: DataFrame, bills: DataFrame) -> DataFrame:
-    """Of each party ledger: its closing less its bills, what no bill explains. Zeros stay."""
+    """Of each party ledger: its closing less its bills, what no bill explains. Zeros stay.
+
+    Where a ledger's group can't be told, the residual is partial: its row has a null residual and the error as its status.
+    """
     billed = bills.groupBy("party").agg(F.sum("closing").cast(MONEY).alias("billed"))
-    found = party_ledgers(ledgers, groups).filter("is_party").join(billed, F.col("name") == F.col("party"), "left")
-    return found.select(F.col("name").alias("party"), (F.col("closing") - F.coalesce("billed", F.lit(0).cast(MONEY))).cast(MONEY).alias("residual"))
+    found = party_ledgers(ledgers, groups).filter("is_party or group_error is not null").join(billed, F.col("name") == F.col("party"), "left")
+    left = (F.col("closing") - F.coalesce("billed", F.lit(0).cast(MONEY))).cast(MONEY)
+    return found.select(F.col("name").alias("party"), F.when(F.col("group_error").isNull(), left).alias("residual"), F.coalesce("group_error", F.lit("complete")).alias("status"))
 
 
 def unallocated(found: DataFrame) -> DataFrame:
-    """Residuals other than zero, by size; the sign tells the direction."""
-    rows = found.filter("residual <> 0").select("party", F.abs("residual").cast(MONEY).alias("amount"), direction(F.col("residual")).alias("direction"))
-    return rows.orderBy(F.desc("amount"), F.asc("party"))
+    """Residuals other than zero; the sign tells the direction."""
+    return found.filter("residual <> 0").select("party", F.abs("residual").cast(MONEY).alias("amount"), direction(F.col("residual")).alias("direction"))
 
 
 def lifecycle(allocs: DataFrame) -> DataFrame:
@@ -123,6 +150,17 @@ def open_bill_rows(bills: DataFrame, as_of: Column) -> DataFrame:
     return bills.filter("closing <> 0").select("party", label.alias("reference"), "bill_date", "due_date", F.abs("closing").cast(MONEY).alias("amount"), overdue_days(F.col("due_date"), as_of).cast("long").alias("age"), "kind")
 
 
+#: Fixed value: bills of a party that a screen shows at most; exports show all.
+DISPLAYED = 2000
+
+
+def displayed(rows: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` bills of each party with their place, and whether the party has more (``capped``)."""
+    w = Window.partitionBy("party")
+    placed = rows.withColumn("place", F.row_number().over(w.orderBy(F.desc_nulls_last("age"), "due_date", "reference", "kind")).cast("long"))
+    return placed.withColumn("capped", F.count("*").over(w) > most).filter(F.col("place") <= most)
+
+
 def statement(rows: DataFrame) -> DataFrame:
     """Subtotals by party and direction: not due, the four buckets, and their sum."""
     tier = bucket(F.col("age"))

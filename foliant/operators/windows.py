@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Object types of which one record may stand in several windows (masters of a complete scope).
-MASTERS = ("group", "ledger", "voucher_type")
+
+#: Hex digits by which a digest's rows are dealt.
+PREFIX = 3
 
 
 def contiguity(ranges: DataFrame, keys: list[str], start: str, end: str, first: int, last: Column) -> DataFrame:
@@ -33,12 +34,17 @@ def nearest(empty: DataFrame, filled: DataFrame) -> DataFrame:
 
 
 def ordered_digest(rows: DataFrame, keys: list[str], *parts: Column) -> DataFrame:
-    """Per key: SHA-256 over its rows' digests in sorted order, and their number.
+    """Per key: a digest of its rows whatever their order, and their number.
 
-    Each row is digested before it is gathered, so a key's list holds 64 bytes a row.
+    Two levels, so that no list grows with a key: the sorted digests of its rows
+    that begin with the same ``PREFIX`` hex digits give one digest, and those, in
+    order, the key's. Each of the 4,096 lists has 64 bytes a row.
     """
     row = F.sha2(F.concat(*[F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts]), 256)
-    return rows.select(*keys, row.alias("_d")).groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_d")), ""), 256).alias("digest"), F.count("*").cast("long").alias("records"))
+    joined = lambda c: F.sha2(F.array_join(c, ""), 256)
+    low = rows.select(*keys, row.alias("_d")).groupBy(*keys, F.substring("_d", 1, PREFIX).alias("_p")).agg(joined(F.sort_array(F.collect_list("_d"))).alias("_low"), F.count("*").alias("_n"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_p", "_low"))), lambda x: x["_low"])
+    return low.groupBy(*keys).agg(joined(ordered).alias("digest"), F.sum("_n").cast("long").alias("records"))
 
 
 def across(observed: DataFrame, master: bool = False) -> DataFrame:
@@ -48,6 +54,7 @@ def across(observed: DataFrame, master: bool = False) -> DataFrame:
     return per.filter("windows > 1").select("sid", code.alias("code")).filter("code is not null")
 
 
+# Gap codes of a run are fixed values.
 def gap_codes(windows: DataFrame) -> DataFrame:
     """Per run: the sorted set of gap codes of its windows, and whether it is verified (no code at all).
 
@@ -92,7 +99,7 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1) ->
 
 
 def trend(performance: DataFrame, rise_s: float, least_s: float) -> DataFrame:
-    """Where the last three reads of a series rise strictly to at least ``least_s`` and by ``rise_s``, reading stops."""
+    """Where three reads of a series in a row rise strictly to at least ``least_s`` and by ``rise_s``, reading stops."""
     w = Window.partitionBy("series").orderBy("seq")
     a, b, c = F.lag("seconds", 2).over(w), F.lag("seconds", 1).over(w), F.col("seconds")
     return performance.withColumn("stop", F.coalesce((a < b) & (b < c) & (c >= least_s) & (c - a >= rise_s), F.lit(False)))

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..sources import captures
+from ..sources import captures, shared
 from ..streaming import breaker
 from .registry import query
 
@@ -60,7 +57,7 @@ _step = f"o.failures >= {breaker.THRESHOLD} and a.at_us < o.last + {DAY_US}"
 
 
 @query(
-    f"""with a as (select cast(user_id % 8 as varchar) as endpoint, epoch_us(ts) as at_us, event_id as attempt_id, class = 'error' as failed, row_number() over (partition by user_id % 8 order by ts, event_id) as seq from v_attempt),
+    f"""with a as (select cast(user_id as varchar) as endpoint, epoch_us(ts) as at_us, event_id as attempt_id, class = 'error' as failed, row_number() over (partition by user_id order by ts, event_id) as seq from v_attempt),
     o as (select endpoint, cast(0 as bigint) as seq, cast(0 as bigint) as at_us, cast(0 as bigint) as attempt_id, 'closed' as phase, cast(0 as bigint) as failures, cast(0 as bigint) as last from (select distinct endpoint from a)
     union all select a.endpoint, a.seq, a.at_us, a.attempt_id, case when {_step} then 'open' when o.failures >= {breaker.THRESHOLD} then 'half_open' else 'closed' end,
     case when {_step} then o.failures when a.failed then o.failures + 1 else 0 end, case when not ({_step}) and a.failed then a.at_us else o.last end from o join a on a.endpoint = o.endpoint and a.seq = o.seq + 1)
@@ -68,12 +65,15 @@ _step = f"o.failures >= {breaker.THRESHOLD} and a.at_us < o.last + {DAY_US}"
     recursive=True,
 )
 def circuit_breaker_states(v):
-    """Attempts as a stream, run until all of the table is read; the circuit stays open for a day."""
+    """Attempts as a stream of files in order of time, one a micro-batch, until all are read; the circuit stays open for a day."""
     spark = v.spark
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='foliant-')}"
-    folder = f"{shared.rstrip('/')}/foliant-breaker-{uuid.uuid4().hex}"
-    rows = v.attempt.select((F.col("user_id") % 8).cast("string").alias("endpoint"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), F.col("event_id").alias("attempt_id"), F.when(F.col("class") == "error", "failure").otherwise("success").alias("outcome"))
-    rows.write.parquet(f"{folder}/attempts")
-    found = breaker.states(spark.readStream.schema(rows.schema).parquet(f"{folder}/attempts"), cooldown_us=DAY_US)
+    folder = shared.folder(spark, "breaker")
+    rows = v.attempt.select(F.col("user_id").cast("string").alias("endpoint"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), F.col("event_id").alias("attempt_id"), F.when(F.col("class") == "error", "failure").otherwise("success").alias("outcome"))
+    first, last = rows.agg(F.min("at_us"), F.max("at_us")).first()
+    slices, width = 4, (0 if first is None else last - first) // 4 + 1
+    for i in range(slices):
+        rows.filter(F.call_function("div", F.col("at_us") - F.lit(first), F.lit(width)) == i).coalesce(1).write.mode("append").parquet(f"{folder}/attempts")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/attempts")
+    found = breaker.states(stream, cooldown_us=DAY_US)
     found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start(f"{folder}/states").awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{folder}/states")

@@ -1,6 +1,6 @@
 """Query catalog: name to builder, name to oracle SQL."""
 
-from . import captures, integrity, outstandings, windows  # noqa: F401
+from . import captures, integrity, outstandings, rules, windows  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import bucket, due_state, overdue_days
 from ..functions.exact import MONEY, total
+from ..operators import order
 from ..operators import outstandings as op
 from .registry import query
 
@@ -97,7 +98,7 @@ def party_classification(v):
 
 @query(f"with {RESIDUAL} select party, residual from residual", recursive=True)
 def party_residuals(v):
-    return op.residuals(v.ledger, v.group, v.bill)
+    return op.residuals(v.ledger, v.group, v.bill).select("party", "residual")
 
 
 @query(f"with {RESIDUAL} select {_m('sum(abs(residual))')} as residual_total, coalesce(bool_or(residual < 0), false) as has_unaged, count(*) as parties, count(*) filter (where residual = 0) as zero_parties from residual", recursive=True)
@@ -110,7 +111,7 @@ LOOSE = f"{RESIDUAL}, loose as (select party, cast(abs(residual) as {M}) as amou
 
 @query(f"with {LOOSE} select * from loose order by amount desc, party limit 10", recursive=True)
 def unallocated_ranked(v):
-    return op.unallocated(op.residuals(v.ledger, v.group, v.bill)).limit(10)
+    return op.unallocated(op.residuals(v.ledger, v.group, v.bill)).orderBy(F.desc("amount"), F.asc("party")).limit(10)
 
 
 @query(f"select count(*) as bills, count(*) filter (where source_overdue is distinct from {AGE}) as mismatched, count(*) filter (where closing >= 0) as sign_errors from v_bill where kind = 'receivable'")
@@ -123,20 +124,17 @@ def overdue_crosscheck(v):
 OPEN = f"select party, case when trim(reference) = '' then '(no reference)' else reference end as reference, bill_date, due_date, cast(abs(closing) as {M}) as amount, cast({AGE} as bigint) as age, kind from v_bill where closing <> 0"
 
 
-@query(f"select party, reference, cast(bill_date as varchar) as bill_date, cast(due_date as varchar) as due_date, amount, age, kind, row_number() over (order by age desc nulls last, party, reference, kind) as place from ({OPEN}) order by place limit 1000")
+@query(f"select party, reference, cast(bill_date as varchar) as bill_date, cast(due_date as varchar) as due_date, amount, age, kind, row_number() over (order by age desc nulls last, party, reference, kind) as place from ({OPEN})")
 def open_bills_ordered(v):
-    """The first thousand bills as listed: oldest first, those not due last."""
-    first = op.open_bill_rows(v.bill, v.as_of).orderBy(F.desc_nulls_last("age"), "party", "reference", "kind").limit(1000)
-    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("age"), "party", "reference", "kind"))  # over the thousand only
-    return first.select("party", "reference", F.col("bill_date").cast("string").alias("bill_date"), F.col("due_date").cast("string").alias("due_date"), "amount", "age", "kind", place.cast("long").alias("place"))
+    """All open bills as listed, with their places: oldest first, those not due last."""
+    rows = order.placed(op.open_bill_rows(v.bill, v.as_of), F.desc_nulls_last("age"), F.asc("party"), F.asc("reference"), F.asc("kind"))
+    return rows.select("party", "reference", F.col("bill_date").cast("string").alias("bill_date"), F.col("due_date").cast("string").alias("due_date"), "amount", "age", "kind", "place")
 
 
-@query(f"select party, reference, amount, age, kind, place, all_bills > 5 as capped from (select *, row_number() over (partition by party order by age desc nulls last, due_date, reference, kind) as place, count(*) over (partition by party) as all_bills from ({OPEN})) where place <= 5")
+@query(f"select party, reference, amount, age, kind, place, all_bills > 2000 as capped from (select *, row_number() over (partition by party order by age desc nulls last, due_date, reference, kind) as place, count(*) over (partition by party) as all_bills from ({OPEN})) where place <= 2000")
 def open_bills_capped(v):
-    """At most five bills a party as displayed, and whether there are more."""
-    w = Window.partitionBy("party")
-    rows = op.open_bill_rows(v.bill, v.as_of).withColumn("place", F.row_number().over(w.orderBy(F.desc_nulls_last("age"), "due_date", "reference", "kind")).cast("long")).withColumn("all_bills", F.count("*").over(w))
-    return rows.filter("place <= 5").select("party", "reference", "amount", "age", "kind", "place", (F.col("all_bills") > 5).alias("capped"))
+    """The bills of each party as displayed, at most ``DISPLAYED``, and whether there are more."""
+    return op.displayed(op.open_bill_rows(v.bill, v.as_of), op.DISPLAYED).select("party", "reference", "amount", "age", "kind", "place", "capped")
 
 
 @query(f"select party, reference, cast(bill_date as varchar) as bill_date, cast(due_date as varchar) as due_date, amount, age, kind, coalesce(case when age <= 30 then '0-30' when age <= 60 then '31-60' when age <= 90 then '61-90' when age > 90 then '90+' end, 'not due') as tier from ({OPEN}) where party = (select min(party) from v_bill)")
@@ -194,7 +192,7 @@ def client_rollup(v):
 
 @query(f"{CLIENT} select *, row_number() over (order by coalesce(oldest, -1) desc, client) as place from c")
 def client_sorted(v):
-    return _clients(v).withColumn("place", F.row_number().over(Window.orderBy(F.coalesce("oldest", F.lit(-1)).desc(), "client")).cast("long"))  # one row a client
+    return order.placed(_clients(v), F.desc(F.coalesce("oldest", F.lit(-1))), F.asc("client"))
 
 
 @query(f"""{CLIENT}, labels as (select n_name as client, trim(r_name) as label from nation join region on n_regionkey = r_regionkey where r_name <> 'AFRICA')
@@ -202,7 +200,7 @@ select coalesce(label, c.client) as label, label is not null as grouped, count(*
 def client_groups(v):
     """Clients under their label, others by themselves; a member without an age makes the total unavailable."""
     labels = v.group.filter("parent not in ('Primary', 'AFRICA')").select(F.col("name").alias("_c"), F.trim("parent").alias("label"))
-    rows = _clients(v).join(F.broadcast(labels), F.col("client") == F.col("_c"), "left")
+    rows = _clients(v).join(op.checked(labels), F.col("client") == F.col("_c"), "left")
     whole = F.when(F.count_if(F.col("oldest").isNull()) == 0, F.sum("receivable").cast(MONEY))
     return rows.groupBy(F.coalesce("label", "client").alias("label"), F.col("label").isNotNull().alias("grouped")).agg(F.count("*").cast("long").alias("clients"), whole.alias("receivable"))
 

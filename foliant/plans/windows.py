@@ -61,14 +61,20 @@ def nearest_partition(v):
     return found.select("series", F.col("win_from").cast("string").alias("win_from"), F.col("nearest_from").cast("string").alias("nearest_from"), "gap_days")
 
 
-@query(f"select series, cast(win_from as varchar) as win_from, cast(win_to as varchar) as win_to, cast(cast(win_from - to_days(5) as date) as varchar) as cover1_from, cast(cast(win_from + to_days(10) as date) as varchar) as cover1_to, cast(cast(win_from + to_days(11) as date) as varchar) as cover2_from, cast(cast(win_to + to_days(5) as date) as varchar) as cover2_to, date_diff('day', cast(win_from - to_days(5) as date), cast(win_from + to_days(10) as date)) < 31 and date_diff('day', cast(win_from + to_days(11) as date), cast(win_to + to_days(5) as date)) < 31 as narrow from {WINS}")
+COVER = "case when date_diff('day', win_from, win_to) < 30 then [{'f': win_from, 't': cast(win_from + to_days(30) as date)}] else [{'f': cast(win_from - to_days(1) as date), 't': cast(win_from + to_days(29) as date)}, {'f': cast(win_from + to_days(1) as date), 't': cast(win_from + to_days(31) as date)}] end"
+
+
+@query(f"select series, cast(win_from as varchar) as win_from, cast(win_to as varchar) as win_to, array_to_string([strftime(x.f, '%Y-%m-%d') || '..' || strftime(x.t, '%Y-%m-%d') for x in {COVER}], ',') as slices, date_diff('day', win_from, win_to) + 1 as days, date_diff('day', win_from, win_to) + 1 as covered from {WINS}")
 def interval_cover(v):
-    """Two shifted windows of at most 31 days that jointly cover a month and are wider than it."""
+    """One or two other windows of at most 31 days that jointly cover a month: their slices, and the month's days they hold."""
     first = F.lit("1997-01-01").cast("date")
     rows = v.table("nation").select(F.col("n_nationkey").alias("series"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("m"))
-    rows = rows.select("series", F.add_months(first, F.col("m")).alias("a"), F.date_sub(F.add_months(first, F.col("m") + 1), 1).alias("z"))
-    p, q, r, s = F.date_sub("a", 5), F.date_add("a", 10), F.date_add("a", 11), F.date_add("z", 5)
-    return rows.select("series", F.col("a").cast("string").alias("win_from"), F.col("z").cast("string").alias("win_to"), *[d.cast("string").alias(n) for d, n in ((p, "cover1_from"), (q, "cover1_to"), (r, "cover2_from"), (s, "cover2_to"))], ((F.date_diff(q, p) < 31) & (F.date_diff(s, r) < 31)).alias("narrow"))
+    rows = rows.select("series", F.add_months(first, F.col("m")).alias("win_from"), F.date_sub(F.add_months(first, F.col("m") + 1), 1).alias("win_to"))
+    rows = rows.withColumn("c", dates.witness_cover(F.col("win_from"), F.col("win_to")))
+    days = F.sequence("win_from", "win_to")
+    held = F.filter(days, lambda d: F.exists("c", lambda x: (d >= x["from"]) & (d <= x["to"])))
+    text = F.array_join(F.transform("c", lambda x: F.concat_ws("..", x["from"].cast("string"), x["to"].cast("string"))), ",")
+    return rows.select("series", F.col("win_from").cast("string").alias("win_from"), F.col("win_to").cast("string").alias("win_to"), text.alias("slices"), F.size(days).cast("long").alias("days"), F.size(held).cast("long").alias("covered"))
 
 
 @query("select distinct 'window:' || substr(sha256('window' || chr(0) || 'core' || chr(0) || strftime(o_orderdate, '%Y-%m-01') || chr(0) || strftime(o_orderdate, '%Y-%m-%d')), 1, 24) as id from orders")
@@ -77,7 +83,7 @@ def window_ids(v):
     return v.table("orders").select(ident.window_id(F.lit("core"), F.date_format("o_orderdate", "yyyy-MM-01"), day).alias("id")).distinct()
 
 
-@query("select win, sha256(string_agg(d, '' order by d)) as digest, count(*) as records from (select win, sha256(length(cast(sid as varchar)) || ':' || sid || length(hash) || ':' || hash) as d from v_window) group by win")
+@query("select win, sha256(string_agg(low, '' order by p)) as digest, cast(sum(n) as bigint) as records from (select win, d[:3] as p, sha256(string_agg(d, '' order by d)) as low, count(*) as n from (select win, sha256(length(cast(sid as varchar)) || ':' || sid || length(hash) || ':' || hash) as d from v_window) group by win, p) group by win")
 def canonical_window_hash(v):
     """One digest a window, whatever the order of its records."""
     return op.ordered_digest(v.window, ["win"], F.col("sid").cast("string"), F.col("hash"))
@@ -220,13 +226,24 @@ def document_duplicates(v):
     return v.table("documents").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).agg(F.count("*").cast("long").alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
 
 
-@query("with need as (select * from (values ('core', 'ledger', 'name'), ('core', 'voucher', 'date'), ('core', 'voucher', 'number'), ('bills', 'bill', 'reference'), ('bills', 'bill', 'due_date'), ('tax', 'registration', 'gstin'), ('inventory', 'item', 'name')) t(pack, object, field)), seen as (select * from (values ('ledger', 'name'), ('voucher', 'date'), ('voucher', 'number'), ('bill', 'reference')) t(object, field)) select pack, count(*) as required, count(*) filter (where s.field is null) as missing, case when count(*) filter (where s.field is null) = 0 then 'supported' else 'unobserved' end as state from need n left join seen s on s.object = n.object and s.field = n.field group by pack")
+NEED = (("core", "ledger", "name"), ("core", "voucher", "date"), ("core", "voucher", "number"), ("bills", "bill", "reference"), ("bills", "bill", "due_date"), ("tax", "registration", "gstin"), ("inventory", "item", "name"), ("inventory", "item", "unit"))
+SEEN = "select 'ledger' as object, 'name' as field, count(c_name) as n from customer union all select 'voucher', 'date', count(o_orderdate) from orders union all select 'voucher', 'number', count(o_orderkey) from orders union all select 'bill', 'reference', count(reference) from v_bill union all select 'bill', 'due_date', count(due_date) from v_bill union all select 'item', 'name', count(p_name) from part"
+
+
+@query(f"with need as (select * from (values {', '.join(map(str, NEED))}) t(pack, object, field)), seen as ({SEEN}) select pack, count(*) as required, count(*) filter (where coalesce(n, 0) = 0) as missing, case when count(*) filter (where coalesce(n, 0) = 0) = 0 then 'supported' else 'unobserved' end as state from need left join seen s on s.object = need.object and s.field = need.field group by pack")
 def pack_coverage(v):
-    """Required fields of each pack that no read has observed."""
-    need = v.spark.createDataFrame([("core", "ledger", "name"), ("core", "voucher", "date"), ("core", "voucher", "number"), ("bills", "bill", "reference"), ("bills", "bill", "due_date"), ("tax", "registration", "gstin"), ("inventory", "item", "name")], "pack string, object string, field string")
-    seen = v.spark.createDataFrame([("ledger", "name"), ("voucher", "date"), ("voucher", "number"), ("bill", "reference")], "object string, field string").withColumn("_seen", F.lit(True))
-    lost = F.count_if(F.col("_seen").isNull())
-    return need.join(F.broadcast(seen), ["object", "field"], "left").groupBy("pack").agg(F.count("*").cast("long").alias("required"), lost.cast("long").alias("missing"), F.when(lost == 0, "supported").otherwise("unobserved").alias("state"))
+    """Required fields of each pack that no record of the books has."""
+    need = v.spark.createDataFrame(list(NEED), "pack string, object string, field string")
+
+    def seen(table, object_, **fields):
+        counts = table.agg(*[F.count(c).alias(f) for f, c in fields.items()])
+        pairs = F.array(*[F.struct(F.lit(object_).alias("object"), F.lit(f).alias("field"), F.col(f).alias("n")) for f in fields])
+        return counts.select(F.explode(pairs).alias("x")).select("x.*")
+
+    found = seen(v.table("customer"), "ledger", name="c_name").unionByName(seen(v.table("orders"), "voucher", date="o_orderdate", number="o_orderkey"))
+    found = found.unionByName(seen(v.bill, "bill", reference="reference", due_date="due_date")).unionByName(seen(v.table("part"), "item", name="p_name"))
+    lost = F.count_if(F.coalesce("n", F.lit(0)) == 0)
+    return need.join(found, ["object", "field"], "left").groupBy("pack").agg(F.count("*").cast("long").alias("required"), lost.cast("long").alias("missing"), F.when(lost == 0, "supported").otherwise("unobserved").alias("state"))
 
 
 CELLS = "(select p_partkey, case p_partkey % 6 when 0 then '=' || p_name when 1 then '+1' when 2 then '@' || p_brand when 3 then p_name || ', \"' || p_brand || '\"' when 4 then '-' || p_size else p_name end as cell from part)"

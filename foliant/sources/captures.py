@@ -56,7 +56,14 @@ def decode(captures: DataFrame, raw: str = "raw", declared: Column | None = None
     """
     size = F.octet_length(raw)
     charset = F.lower(declared) if declared is not None else F.lit(None).cast("string")
-    rows = captures.withColumn("_d", _decoded(F.when(size <= most, F.col(raw)), charset))
+    head = F.hex(F.substring(raw, 1, 3))
+    wide, marked = head.startswith("FFFE") | head.startswith("FEFF"), head == "EFBBBF"
+    # UTF-8, by mark or by default, is decoded by built-in functions; what else there is goes to Python in batches.
+    plain = (size <= most) & ~wide & F.coalesce(charset == "utf-8", F.lit(True))
+    body = F.try_validate_utf8(F.when(marked, F.expr(f"substring(`{raw}`, 4)")).otherwise(F.col(raw)).cast("string"))
+    here = F.struct(body.alias("text"), F.lit("utf-8").alias("encoding"), F.when(body.isNull(), "malformed").alias("reason"))
+    there = _decoded(F.when((size <= most) & ~plain, F.col(raw)), charset)
+    rows = captures.withColumn("_d", F.when(plain, here).otherwise(there))
     reason = F.when(F.col(raw).isNull(), "missing").when(size > most, "too_large").otherwise(F.col("_d.reason"))
     return rows.select(*captures.columns, F.col("_d.text").alias("text"), F.col("_d.encoding").alias("encoding"), reason.alias("reason"))
 

@@ -82,6 +82,13 @@ class Views:
         right = kept.join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("vid"), F.col("s_name").alias("ledger"), F.lit("supplier").alias("side"), price.alias("amount"), F.lit("credit").alias("polarity"))
         return left.unionByName(right)
 
+    @cached_property
+    def leg(self) -> DataFrame:
+        """The entries' vouchers and amounts alone, without the ledgers' names and the joins these take."""
+        lines, price = self.table("lineitem"), F.col("l_extendedprice").cast(MONEY)
+        debit = lines.select(F.col("l_orderkey").alias("vid"), (-price).cast(MONEY).alias("amount"))
+        return debit.unionByName(lines.filter("not (l_returnflag = 'R' and l_linenumber = 1)").select(F.col("l_orderkey").alias("vid"), price.alias("amount")))
+
     @cached_property
     def alloc(self) -> DataFrame:
         """Bill allocations with their order: a new reference, then payments against it."""

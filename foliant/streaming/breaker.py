@@ -18,7 +18,7 @@ def states(attempts: DataFrame, threshold: int = THRESHOLD, cooldown_us: int = C
     success clears the failures in a row, failure adds one, other outcomes
     change nothing. Attempts of a micro-batch are taken by time, then id; those
     of later micro-batches come after. Memory holds one endpoint's part of a
-    micro-batch, which the source's rate limit bounds. Attempts without a
+    micro-batch: set a rate limit at the source. Attempts without a
     time are no attempts and left out; null endpoints are one endpoint.
     """
 
