@@ -63,4 +63,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_mixing, op2_bpe, op3_toxicity, op4_licenses, op5_quality, op6_warc, op7_jaccard_join, op8_lm_scoring, op9_media, op10_pii)
 }
-ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.ORACLE, "op5_quality": quality.ORACLE, "op6_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.ORACLE, "op5_quality": quality.ORACLE, "op6_warc": warc.ORACLE, "op7_jaccard_join": jaccard_join.ORACLE}

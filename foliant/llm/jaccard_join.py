@@ -410,3 +410,15 @@ def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     found = classes(docs, n, percent).filter("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
     kept = docs.join(found, F.col("doc_id") == F.col(kept_id), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null"))
+
+
+# The same classes for DuckDB, by all pairs that share a shingle and plain reachability.
+ORACLE = f"""
+with recursive d as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select r, doc_id, case when len(w) = 0 then [] when len(w) < {N} then [array_to_string(w, ' ')] else list_distinct([array_to_string(w[i : i + {N - 1}], ' ') for i in range(1, len(w) - {N - 2})]) end as g from d),
+e as (select r, len(g) as n, unnest(g) as shingle from s),
+links as (select a.r as a, b.r as b from e a join e b on a.shingle = b.shingle and a.r <> b.r group by a.r, b.r, a.n, b.n having 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+reach as (select r, r as at from s union select reach.r, links.b from reach join links on links.a = reach.at),
+least as (select reach.r, min(s.doc_id) as component_id from reach join s on s.r = reach.at group by reach.r)
+select s.doc_id, cast(len(g) as bigint) as n_shingles, component_id from s join least using (r)
+"""

@@ -93,6 +93,44 @@ def test_toxicity_tells_abuse_from_quotation():
     assert abuse > 0.7 and spelled > 0.5 and quoted < spelled and clean == empty == none < 0.2
 
 
+def plain_score(text, model):
+    """A text's score by plain edit distances to every term and a walk over its tokens."""
+    lx, tokens = model.lexicon, (text or "").lower().split()
+
+    def kind(token):
+        word = token.strip(toxicity.EDGE)
+        exact = lambda w: w in lx.terms or any(w.startswith(s) for s in lx.stems)
+        if exact(word):
+            return 1
+        if word in lx.clean or (not word.isalpha() and 2 * sum(map(str.isalpha, word)) < len(word)):
+            return 0
+        plain = word if word.isalpha() else word.translate(toxicity.LEET)
+        near = any(0 < toxicity.edits_allowed(len(t)) >= osa(plain, t) for t in lx.terms if abs(len(t) - len(plain)) < 3)
+        return 2 if near or (plain != word and exact(plain)) else 0
+
+    kinds = [kind(t) for t in tokens]
+    between, x = toxicity.quotations(tokens), np.zeros(len(toxicity.FEATURES))
+    for i, k in enumerate(kinds):
+        if k:
+            around = range(max(0, i - toxicity.WINDOW), min(len(tokens), i + toxicity.WINDOW + 1))
+            near = [tokens[j].strip(toxicity.EDGE) for j in around]
+            x += (1, k == 1, k == 2, i in between, any(w in toxicity.SAYING for w in near), any(w in toxicity.ADDRESS for w in near), sum(kinds[j] > 0 for j in around) > 1, 0)
+            x[-1] = 1
+    x[:-1] = np.log1p(x[:-1])
+    return 1 / (1 + math.exp(-(float(x @ model.weights) + model.bias)))
+
+
+def test_toxicity_scores_equal_a_plain_version(spark):
+    from foliant.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    model = toxicity.learn(toxicity.training_rows(docs, table(spark, "/root/testdata/sf0.001", "labels")))
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(60).collect()] + ["you pathetik id1ot", 'the "moron" said', None, "", "harbour " * 30 + "stupdi"]
+    found = model.scores([t and t[:3000] for t in texts])
+    for t, got in zip(texts, found, strict=True):
+        assert abs(got - plain_score(t and t[:3000], model)) < 1e-9
+
+
 def test_toxicity_on_held_out_labels(spark):
     from foliant.llm.catalog import QUERIES
 
@@ -377,3 +415,25 @@ def test_small_sources_meet_their_targets(spark):
         size[r["source"]] += r["size"]
     for s in size:
         assert abs(taken[s] - target[s]) <= max(1, min(64, size[s] / 64)), s
+
+
+def test_secrets_of_the_tables_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = {r["doc_id"]: len(re.findall(r'token = "[0-9a-f]{40}"', r["text"] or "")) for r in docs.select("doc_id", "text").collect()}
+    found = {r["doc_id"]: r["n_secret"] for r in pii.digest(docs).collect()}
+    wanted = {i for i, n in planted.items() if n}
+    assert len(wanted) > 5 and sum(found[i] >= planted[i] for i in wanted) >= 0.95 * len(wanted)
+    assert sum(found[i] > 0 for i in planted if i not in wanted) <= 0.01 * len(planted)
+
+
+def test_media_features_equal_plain_ones(spark, documents, tmp_path):
+    texts = ["abc", "", "x" * 500, "Ünïcödé 你好 " * 40]
+    for r in media.round_trip(documents(texts)).collect():
+        raw = texts[r["doc_id"]].encode()
+        payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        n, mean = len(payload), sum(payload) / len(payload)
+        share = [payload.count(b) / n for b in set(payload)]
+        deviation, step = math.sqrt(sum((b - mean) ** 2 for b in payload) / n), sum(abs(a - b) for a, b in zip(payload, payload[1:], strict=False)) / (n - 1)
+        assert r["feature"] == f"mean={mean:.4f};deviation={deviation:.4f};entropy={-sum(p * math.log2(p) for p in share):.4f};step={step:.4f}"
+        image = media.to_png(payload)
+        assert (r["media_bytes"], r["media_sha256"], r["width"], r["height"]) == (len(image), brute.hashlib.sha256(image).hexdigest(), 192, n // 192)
