@@ -345,8 +345,14 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
         yield rows, parts
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", out: str = "ids") -> DataFrame:
-    """``(id_col, out array<int>)``: the token ids of every whole text."""
+def spell(bpe: Codec, ids: np.ndarray) -> str:
+    """The text that token ids spell, a stretch at a time."""
+    return b"".join(bpe.decode(ids[i : i + SEGMENT_CHARS]) for i in range(0, len(ids), SEGMENT_CHARS)).decode("utf-8", errors="replace")
+
+
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``(id_col, out array<int>)``: the token ids of every whole text; with ``decoded``, a column of that name has what
+    they spell, so that a task needs one worker for both ways."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
 
@@ -360,10 +366,13 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 ids.append(got)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=[id_col, out])
+            columns = [b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))]
+            if decoded:
+                columns.append(pa.array([spell(bpe, flat[a:z]) for a, z in zip(offsets[:-1], offsets[1:], strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, out, *([decoded] if decoded else [])])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, `{out}` array<int>")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, `{out}` array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -377,10 +386,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out: str =
         for b in batches:
             column = b.column(b.schema.get_field_index(ids_col))
             offsets, flat = column.offsets.to_numpy(), column.values.to_numpy()
-            texts = []
-            for a, z in zip(offsets[:-1], offsets[1:], strict=True):
-                spelled = b"".join(bpe.decode(flat[i : min(z, i + SEGMENT_CHARS)]) for i in range(a, z, SEGMENT_CHARS))
-                texts.append(spelled.decode("utf-8", errors="replace"))
+            texts = [spell(bpe, flat[a:z]) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
@@ -389,7 +395,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out: str =
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Encode and decode every document and digest both results."""
-    both = decode(encode(docs, vocabulary), vocabulary)
+    both = encode(docs, vocabulary, decoded="decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -15,6 +15,8 @@ SPACES, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 
 #: Rows in an Arrow batch; texts may be long, so fewer than Spark's own default.
 BATCH_ROWS = 512
+#: Bytes in an Arrow batch: many long texts, or packed rows, would take that much in the JVM and in Python each.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +61,10 @@ def column_at(df: DataFrame, name: str) -> int:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows that one Arrow batch hands to Python."""
+    """Bound the rows and bytes that one Arrow batch hands to Python; the settings stay with the session, as its later jobs read them."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def words(text: Column) -> Column:

@@ -21,7 +21,7 @@ import heapq
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,12 +68,13 @@ def sainte_lague(votes, seats: int, most=None) -> np.ndarray:
     return got
 
 
-def _shard_quotas(shards: pd.DataFrame) -> pd.DataFrame:
+def _shard_quotas(shards: pa.Table) -> pa.Table:
     """One source's blocks to its shards, and each shard's rotation: a step coprime to its blocks, and a turn."""
-    shards = shards.sort_values("_shard")
-    shards["_quota"] = sainte_lague(shards["_stream"], int(shards["_seats"].iloc[0]), CAP * shards["_blocks"])
-    shards["_step"] = [next(s for s in range(max(1, int(n * 0.618)), 2 * n + 2) if math.gcd(s, n) == 1) for n in shards["_blocks"].tolist()]
-    return shards[["_source", "_shard", "_stream", "_blocks", "_quota", "_step", "_turn"]]
+    shards = shards.sort_by("_shard")
+    blocks = shards["_blocks"].to_numpy()
+    quota = sainte_lague(shards["_stream"].to_numpy(), shards["_seats"][0].as_py(), CAP * blocks)
+    step = [next(s for s in range(max(1, int(n * 0.618)), 2 * n + 2) if math.gcd(s, n) == 1) for n in blocks.tolist()]
+    return shards.select(["_source", "_shard", "_stream", "_blocks"]).append_column("_quota", pa.array(quota)).append_column("_step", pa.array(step, pa.int64())).append_column("_turn", shards["_turn"])
 
 
 def block_size(size: int, block_tokens: int) -> float:
@@ -110,7 +111,7 @@ def allocate(docs: DataFrame, seed: int = 17, block_tokens: int = BLOCK_TOKENS,
     streams = dealt.groupBy("_source", "_shard").agg(F.sum("size").alias("_stream"), F.first("_seats").alias("_seats"), F.first("_block").alias("_block"))
     blocks = F.greatest(F.lit(1), F.round(F.col("_stream") / F.col("_block"))).cast("long")
     streams = streams.withColumn("_blocks", blocks).withColumn("_turn", F.pmod(F.xxhash64(F.lit(seed + 2), "_source", "_shard"), F.col("_blocks")))
-    quotas = streams.groupBy("_source").applyInPandas(_shard_quotas, "_source string, _shard int, _stream long, _blocks long, _quota long, _step long, _turn long")
+    quotas = streams.groupBy("_source").applyInArrow(_shard_quotas, "_source string, _shard int, _stream long, _blocks long, _quota long, _step long, _turn long")
 
     order = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed), "doc_id", "size"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("_start", F.coalesce(F.sum("size").over(order), F.lit(0)))
