@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, ids, n_tokens, decoded_sha256)`` of every row: its token ids, and the digest of what they spell."""
-    both = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary())
+    both = bpe.encode(docs, vocabulary(), decoded="decoded")
     return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
