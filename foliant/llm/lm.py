@@ -26,7 +26,7 @@ mean. Null, empty and word-less texts have no token: both are 0. Repeated rows
 count as often as they occur, each has a row. A null id stays null. Long texts
 are scored whole. An empty table gives no rows. Columns but ``doc_id`` and
 ``text`` are not looked at. Contexts are told apart by 32 bits within a bucket
-of about ``BUCKET_TOKENS`` tokens (a token in some 4,000 shares another's), tokens
+of about ``BUCKET_TOKENS`` tokens (a token in some 2,000 shares another's), tokens
 of a context by 16; the network's log probabilities are kept to 11 bits, document
 sums are exact sums of these.
 """
@@ -43,18 +43,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches
+from .common import mix, small_batches, stage
 
 #: Neighbours on each side, hidden units.
 SIDE, HIDDEN = 2, 16
 #: Tokens in a step, learning rate, tokens of a shard, shards whose networks are averaged at most (beyond, shards are larger).
 STEP, RATE, SHARD_TOKENS, MOST_SHARDS = 16_384, 0.05, 1_000_000, 4096
-#: Distinct words that a task counts or remembers before it lets go of them; words fetched, more than any vocabulary knows.
-COUNTED, MEMO, FETCHED = 200_000, 250_000, 60_000
+#: Distinct words that a task counts or remembers before it lets go of them.
+COUNTED, MEMO = 200_000, 250_000
 #: Weight of the network against the counts; tokens a task hands on at once, occurrences in them that make a context frequent.
-PRIOR, FLUSH_TOKENS, FLUSH_DOCS, FREQUENT = 1.0, 1_000_000, 60_000, 8
+PRIOR, FLUSH_TOKENS, FLUSH_DOCS, FREQUENT = 1.0, 1_000_000, 60_000, 32
 #: Tokens a bucket of contexts stands for.
-BUCKET_TOKENS = 1_000_000
+BUCKET_TOKENS = 2_000_000
 #: Parts of one that scores and weights are kept in.
 SEED, FIXED, FIXED_NET = 11, float(1 << 16), float(1 << 20)
 #: Stand for what is before a document's first and after its last token.
@@ -73,41 +73,84 @@ def side_for(total: int) -> int:
 # Corpus counts -----------------------------------------------------------------
 
 
+def _counted(batches, buckets):
+    """The task's words with their counts, packed by bucket of the word, and its byte pairs."""
+    seen: Counter = Counter()
+    pairs, turn = np.zeros(1 << 16, np.int64), TaskContext.get().partitionId()
+
+    def flush():
+        words = list(seen)
+        bucket = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.int64, len(words)) % buckets
+        order = np.argsort(bucket, kind="stable")
+        counts = np.fromiter(seen.values(), np.int64, len(words))[order]
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = [(i, b"\n".join([words[k] for k in order[a:z]]), whole(counts[a:z])) for i, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
+        seen.clear()
+        return rows
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "words", "counts"])
+
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            if own := tokens(t):
+                seen.update(own)
+                chars = joined(own)[0].astype(np.int64)
+                pairs += np.bincount(chars[:-1] << 8 | chars[1:], minlength=1 << 16)
+        if len(seen) > COUNTED:
+            yield batch(flush())
+    # Byte pairs go to one of a few buckets, so few sums of them come back.
+    yield batch([*flush(), (turn % min(buckets, 16), None, pairs.tobytes())])
+
+
+def _merged(batches, most):
+    """Of each bucket (rows come sorted by bucket) the commonest words with their counts; then the sum of the byte pairs."""
+    bucket, seen, pairs = None, Counter(), np.zeros(1 << 16, np.int64)
+
+    def close():
+        best = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most]
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.binary()), pa.array([n for _, n in best], pa.int64())], names=["word", "n"])
+
+    for b in batches:
+        for i, words, counts in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            if i != bucket and seen:
+                yield close()
+            bucket = i
+            if words is None:
+                pairs += np.frombuffer(counts, np.int64)
+                continue
+            split = words.split(b"\n")
+            for w, n in zip(split, np.frombuffer(counts, np.int32 if len(counts) == 4 * len(split) else np.int64).tolist(), strict=True):
+                seen[w] += n
+    if seen:
+        yield close()
+    at = np.flatnonzero(pairs)
+    yield pa.RecordBatch.from_arrays([pa.array([b"\n" + bytes((int(i) >> 8, int(i) & 255)) for i in at], pa.binary()), pa.array(pairs[at])], names=["word", "n"])
+
+
 def learn_lexicon(docs: DataFrame) -> tuple[Lexicon, int]:
-    """The lexicon and the number of tokens, from one pass over the corpus: words and byte pairs counted by task, then summed."""
-
-    def run(batches):
-        seen: Counter = Counter()
-        pairs = np.zeros(1 << 16, np.int64)
-
-        def rows(kind, keys, counts):
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], names=["kind", "key", "n"])
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if own := tokens(t):
-                    seen.update(own)
-                    chars = joined(own)[0].astype(np.int64)
-                    pairs += np.bincount(chars[:-1] << 8 | chars[1:], minlength=1 << 16)
-            if len(seen) > COUNTED:
-                yield rows(1, list(seen), list(seen.values()))
-                seen.clear()
-        yield rows(1, list(seen), list(seen.values()))
-        found = np.flatnonzero(pairs)
-        yield rows(0, [bytes((int(i) >> 8, int(i) & 255)) for i in found], pairs[found])
-
-    counts = docs.select("text").mapInArrow(run, "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    # At most 65,536 byte pairs, then the commonest words.
-    found = counts.orderBy("kind", F.desc("n"), "key").limit((1 << 16) + FETCHED).toArrow()
-    table, words, total = np.ones((256, 256)), [], 0
-    for kind, key, n in zip(*(found.column(i).to_pylist() for i in range(3)), strict=True):
-        if kind:
-            words.append(bytes(key))
-        else:
-            table[key[0], key[1]] += n
-            total += n if key[0] == 10 else 0  # every word begins once
+    """The lexicon and the number of tokens, from one pass over the corpus: words and byte pairs counted by task, then by bucket.
+
+    A bucket hands on as many of its commonest words as any vocabulary of a corpus with so many characters would know.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    most = 3 * side_for(chars) ** 2 // 4
+    counted = docs.select("text").mapInArrow(lambda it: _counted(it, buckets), "bucket int, words binary, counts binary")
+    counts = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _merged(it, most), "word binary, n long")
+    counts = stage(spark, counts.withColumn("pair", F.octet_length("word") == 3), "lm-words")
+    # No word begins with a line feed, so what does is a byte pair.
+    pair = F.col("pair") & (F.substring("word", 1, 1) == F.lit(b"\n"))
+    table, total = np.ones((256, 256)), 0
+    for key, n in zip(*counts.filter(pair).groupBy("word").agg(F.sum("n").alias("n")).toArrow().to_pydict().values(), strict=True):
+        table[key[1], key[2]] += n
+        total += n if key[1] == 10 else 0  # every word begins once
     side = side_for(total)
-    return Lexicon(words[: 3 * side * side // 4], side, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)), total
+    words = [bytes(r["word"]) for r in counts.filter(~pair).orderBy(F.desc("n"), "word").limit(3 * side * side // 4).collect()]
+    return Lexicon(words, side, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)), total
 
 
 def joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,18 +253,30 @@ def windows(ids: np.ndarray, lengths: np.ndarray, beyond: int) -> np.ndarray:
     return out
 
 
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of exp(z), each but for a factor, and their sums. One shift for all rows does as long as none of them vanishes."""
+    e = np.exp(z - z.max())
+    total = e.sum(axis=1)
+    if total.min() < 1e-30:
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        total = e.sum(axis=1)
+    return e, total
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
-    np.exp(z - z.max(axis=1, keepdims=True), out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    e, total = exponentials(z)
+    e /= total[:, None]
+    return e
 
 
 def log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of each row's log softmax the value at one place."""
-    z -= z.max(axis=1, keepdims=True)
-    chosen = z[np.arange(len(z)), at]
-    np.exp(z, out=z)
-    return chosen - np.log(z.sum(axis=1))
+    e, total = exponentials(z)
+    chosen = e[np.arange(len(z)), at]
+    if chosen.min() < 1e-30:
+        z = z - z.max(axis=1, keepdims=True)
+        return z[np.arange(len(z)), at] - np.log(np.exp(z).sum(axis=1))
+    return np.log(chosen / total)
 
 
 def hidden(net: dict, near: np.ndarray) -> np.ndarray:

@@ -81,9 +81,9 @@ def identity_preference(v):
     return v.table("customer").select(k.alias("key"), rules.preferred_identity(guid, remote, master).alias("x")).select("key", "x.identity", "x.kind")
 
 
-@query(f"select c_custkey as key, case when c_custkey % 4 > 0 then cast(c_acctbal as {M}) end as scanned, case when c_custkey % 4 > 0 then cast(c_acctbal as {M}) else 0 end::{M} as snapshot, true as small_trips, false as large_trips from customer")
+@query(f"select c_custkey as key, case when c_custkey % 4 > 0 then cast(c_acctbal as {M}) end as scanned, case when c_custkey % 4 > 0 then cast(c_acctbal as {M}) else 0 end::{M} as snapshot, true as small_trips, c_custkey % 200 = 199 as large_trips from customer")
 def money_forms(v):
-    """An empty amount is absent in a scan and zero in a snapshot; a double gives small amounts back exactly, large ones not."""
+    """An empty amount is absent in a scan and zero in a snapshot; a double gives small amounts back exactly, of large ones even whole numbers only."""
     text = F.when(F.col("c_custkey") % 4 > 0, F.col("c_acctbal").cast(M).cast("string")).otherwise("")
     value = F.col("c_acctbal").cast(M)
     large = (F.lit("9999999999999999.99").cast(M) - F.col("c_custkey").cast(M) / 100).cast(M)
