@@ -34,7 +34,7 @@ from .common import gather, small_batches
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Characters handled at once, distinct pre-tokens (and characters of these) remembered by a worker.
-SEGMENT_CHARS, TABLE_WORDS, TABLE_CHARS = 500_000, 150_000, 3_000_000
+SEGMENT_CHARS, TABLE_WORDS, TABLE_CHARS = 1_000_000, 250_000, 5_000_000
 #: Characters from which a word is merged by itself.
 LONG_WORD = 200
 

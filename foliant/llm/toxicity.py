@@ -55,7 +55,7 @@ MOST_CLEAN, LEAST_PURITY, CHANCE = 0.002, 0.95, 0.5
 #: Characters of learned stems.
 STEMS = (4, 5, 6, 7)
 #: Words whose verdict a worker remembers, characters of the texts whose words are looked up at once, words that walk side by side.
-MEMO, RUN_CHARS, ABREAST = 50_000, 500_000, 8_192
+MEMO, RUN_CHARS, ABREAST = 200_000, 2_000_000, 8_192
 #: Bits of a filter's address, and the multiplier of its string hashes.
 FILTER_BITS, MULTIPLIER = 24, 0x9E3779B97F4A7C15
 
