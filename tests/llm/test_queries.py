@@ -40,7 +40,7 @@ def test_empty_tables_give_no_rows(spark, nothing, name):
 def test_oracle(spark, folder, name, tmp_path):
     if folder != SMALL:  # DuckDB reads Spark's folders by a pattern
         con = duckdb.connect()
-        for t in ("documents", "pages"):
+        for t in ("documents", "pages", "conversations"):
             con.execute(f"copy (select * from '{folder}/{t}.parquet/*.parquet') to '{tmp_path}/{t}.parquet' (format parquet)")
     assert difference(QUERIES[name](spark, folder), ORACLE_SQL[name], SMALL if folder == SMALL else str(tmp_path)) == ""
 
