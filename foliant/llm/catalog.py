@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, jaccard_join, licenses, lm, media, merkle, mixing, pii, quality, toxicity, warc
+from . import bpe, conversations, jaccard_join, licenses, lm, media, merkle, mixing, pii, quality, secrets, toxicity, warc
 from .common import table
 
 
@@ -63,12 +63,16 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampering(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_bpe, op3_toxicity, op4_licenses, op5_quality, op6_warc, op7_jaccard_join, op8_lm_scoring, op9_media, op10_pii, op11_conversations, op13_merkle)
+    for f in (op1_mixing, op2_bpe, op3_toxicity, op4_licenses, op5_quality, op6_warc, op7_jaccard_join, op8_lm_scoring, op9_media, op10_pii, op11_conversations, op12_secrets, op13_merkle)
 }
 ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.ORACLE, "op5_quality": quality.ORACLE, "op6_warc": warc.ORACLE, "op7_jaccard_join": jaccard_join.ORACLE, "op11_conversations": conversations.ORACLE, "op13_merkle": merkle.ORACLE}

@@ -6,8 +6,8 @@ tree (of the last run fewer, even one) become the digest of their hex texts, unt
 one node is left. Leaves of a source ascend by ``doc_id``, sources by their bytes,
 null first.
 
-Rows are dealt into ranges of (source, doc_id), sorted there and written once;
-the sizes of the ranges place every leaf. Blocks of ``16 ** k`` leaves are then
+Texts are read once: leaves are written before they are dealt into ranges of
+(source, doc_id), sorted there and written again; the sizes of the ranges place every leaf. Blocks of ``16 ** k`` leaves are then
 reduced wherever they are, and each block stays packed in one row of a written
 table. The driver sees only block roots: it builds the top of all trees from
 them and broadcasts it, and tasks cut each block's path to the root out of it,
@@ -166,7 +166,7 @@ def manifest(docs: DataFrame, shown: Column | None = None, paths: bool = False,
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select("source", "doc_id", leaf(*(F.col(f) for f in FIELDS)).alias("leaf"), (F.lit(None).cast("binary") if shown is None else shown).alias("shown"))
-    ordered, sizes = placed(rows)
+    ordered, sizes = placed(stage(spark, rows, "merkle-leaves"))
     out = OUT + (", path array<struct<left:string,right:string>>" if paths else "")
     if not sizes:
         return spark.createDataFrame([], out)

@@ -313,11 +313,15 @@ class Taken:
                 self.starts.append(a)
                 self.ends.append(z)
 
+    def free(self, a: int, z: int) -> bool:
+        at = bisect.bisect_right(self.starts, a)
+        return not (at and self.ends[at - 1] > a or at < len(self.starts) and self.starts[at] < z)
+
     def add(self, a: int, z: int) -> bool:
         """Take a stretch if it is free; else False."""
-        at = bisect.bisect_right(self.starts, a)
-        if at and self.ends[at - 1] > a or at < len(self.starts) and self.starts[at] < z:
+        if not self.free(a, z):
             return False
+        at = bisect.bisect_right(self.starts, a)
         self.starts.insert(at, a)
         self.ends.insert(at, z)
         return True
