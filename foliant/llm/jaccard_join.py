@@ -19,7 +19,8 @@ and turns the others into edges to it, so a common signature doesn't gather in o
 
 Null and word-less texts have an empty set and link with nothing. A row with a
 null id takes part and gets its group's smallest id, null if there is none. Ties
-and repeated rows fall into the same class. Sets are told apart by a 64-bit
+and repeated rows fall into the same class; texts that share an id are told apart by
+their hash. Sets are told apart by a 64-bit
 digest: two different sets out of n are confused with probability n^2 / 2^65.
 """
 
@@ -196,9 +197,10 @@ def _base(batches, n):
                 pa.concat_arrays([b.column(0).cast(pa.int64()), pa.nulls(extra, pa.int64())]),
                 pa.array(np.concatenate([[len(s) for s in sets], np.zeros(extra, np.int64)]).astype(np.int64)),
                 pa.array(np.concatenate([np.array(sids, np.int64), elements[many].view(np.int64)])),
+                pa.concat_arrays([b.column(2), pa.nulls(extra, pa.int64())]),
                 pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(count[many].astype(np.int64))]),
             ],
-            names=["doc_id", "n_shingles", "sid", "seen"],
+            names=["doc_id", "n_shingles", "sid", "hash", "seen"],
         )
 
 
@@ -215,8 +217,9 @@ def _blobs(batches, n, percent, buckets, common):
         sig, sid = sig[first], sid[first]
         bucket = (sig >> np.uint64(33)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        out = [(i, False, packed(sig[order[a:z]], sid[order[a:z]])) for i, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
+        present, starts = np.unique(bucket[order], return_index=True)
+        ends = np.append(starts, len(order))[1:]
+        out = [(i, False, packed(sig[order[a:z]], sid[order[a:z]])) for i, a, z in zip(present.tolist(), starts, ends, strict=True)]
         if edges.size:
             out.append(((turn * 7919 + int(edges[0, 0] & 0xFFFF)) % buckets, True, packed(*edges)))
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "known", "members"])
@@ -359,9 +362,19 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id of its component)."""
     spark = docs.sparkSession
+    base, rooted = _rooted(docs, n, percent)
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("sets"))
+    named = stage(spark, skew_join(rooted, least, "root", "sets", rooted.count()).select("sid", "copies", "least"), "named")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
+    return skew_join(base, named, "sid", "copies", base.count()).select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def _rooted(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """A row for each document ``(doc_id, n_shingles, sid, hash)``, and one for each distinct set ``(sid, first, pick, copies, root)``."""
+    spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text")
-    base = docs.mapInArrow(lambda it: _base(it, n), "doc_id long, n_shingles long, sid long, seen long")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    base = docs.mapInArrow(lambda it: _base(it, n), "doc_id long, n_shingles long, sid long, hash long, seen long")
     base = stage(spark, base, "sets")
     frequent = base.filter("seen is not null").groupBy("sid").agg(F.sum("seen").alias("seen"), F.count("*").alias("batches")).filter(F.col("batches") >= COMMON_BATCHES)
     # At most batch rows x elements a set: an element in two sets of most batches is in a fixed share of all sets.
@@ -375,25 +388,23 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     edges = blobs.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(_edges, "a long, b long")
     labels = components(_linked(spark, docs, base, components(edges), n, percent))
     # A row for each distinct set; then for each class; both go back where they came from, common ones by broadcast.
-    own = base.groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    rooted = own.join(labels, own["sid"] == labels["node"], "left").select("sid", "first", "copies", F.coalesce("root", "sid").alias("root"))
-    rooted = stage(spark, rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("sets"))
-    named = stage(spark, skew_join(rooted, least, "root", "sets", rooted.count()).select("sid", "copies", "least"), "named")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
-    return skew_join(base, named, "sid", "copies", base.count()).select("doc_id", "n_shingles", component.alias("component_id"))
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "hash")).alias("pick")
+    own = base.groupBy("sid").agg(F.min("doc_id").alias("first"), pick, F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
+    rooted = own.join(labels, own["sid"] == labels["node"], "left").select("sid", "first", "pick", "copies", "n", F.coalesce("root", "sid").alias("root"))
+    return base, stage(spark, rooted, "rooted")
 
 
 def _linked(spark, docs, base, families, n, percent) -> DataFrame:
     """Links ``(a, b)`` between the set digests of each family ``(node, root)``, as spanning forests."""
     families = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
-    chosen = base.join(families, F.col("sid") == F.col("node")).groupBy("sid", "root").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    # Of a set's documents one is read again, known by its id and its text's hash: neither alone tells documents apart.
+    chosen = base.join(families, F.col("sid") == F.col("node")).groupBy("sid", "root").agg(F.min(F.struct("doc_id", "hash")).alias("one"), F.max("n_shingles").alias("n"))
     chosen = stage(spark, chosen, "chosen")
     # Families of many elements or sets are dealt into blocks, and each pair of blocks is a group.
     size = F.greatest(F.ceil(F.sum("n") / GROUP_ELEMENTS), F.ceil(F.count("*") / GROUP_SETS))
     blocks = chosen.groupBy("root").agg(size.cast("int").alias("blocks")).filter("blocks > 1").select(F.col("root").alias("_root"), "blocks")
-    wanted = chosen.select(F.col("sid").alias("wanted"), F.col("doc_id").alias("_id"), "root")
-    texts = docs.join(maybe_broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("_id"))).select("wanted", "text", "root")
+    wanted = chosen.select(F.col("sid").alias("wanted"), F.col("one.doc_id").alias("_id"), F.col("one.hash").alias("_hash"), "root")
+    texts = docs.join(maybe_broadcast(wanted), (F.col("hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("wanted", "text", "root")
     sets = texts.mapInArrow(lambda it: _sets(it, n), "sid long, elements binary, root long").dropDuplicates(["sid"])
     dealt = sets.join(blocks, F.col("root") == F.col("_root"), "left").withColumn("_n", F.coalesce("blocks", F.lit(1))).withColumn("_b", F.pmod(F.xxhash64("sid"), F.col("_n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
@@ -404,12 +415,29 @@ def _linked(spark, docs, base, families, n, percent) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The documents without near duplicates: of each component the one with the smallest id
-    (of repeated rows of that id, one; rows with a null id stay)."""
-    kept_id = fresh(docs, "_kept")
-    found = classes(docs, n, percent).filter("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col(kept_id), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """The documents without near duplicates: of each component that with the smallest id, null ids last,
+    and of several texts with that id the one with the least hash; of rows with that id and text, one
+    (that with the least hash of all columns). Rows without a word are copies of nothing and stay, as
+    do those whose own text is no copy, whoever shares their id."""
+    base, rooted = _rooted(docs, n, percent)
+    picks = rooted.groupBy("root").agg(F.min("pick").alias("kept"), F.sum("copies").alias("rows"))
+    # Few rows are copies, so those are looked for, not the ones to keep.
+    copies = skew_join(rooted, picks.filter("rows > 1"), "root", "rows", base.count()).select("sid", "copies", "kept")
+    rows = skew_join(base.filter("n_shingles > 0"), copies, "sid", "copies", base.count()).select("doc_id", "hash", "kept")
+    rows = stage(docs.sparkSession, rows, "copies")
+    is_kept = F.col("hash").eqNullSafe(F.col("kept.hash")) & F.col("doc_id").eqNullSafe(F.col("kept.doc_id"))
+    own_hash, row, one, gone_id, gone_hash = (fresh(docs, name) for name in ("_hash", "_row", "_one", "_gone_id", "_gone_hash"))
+    hashed = docs.withColumn(own_hash, F.xxhash64("text"))
+    alike = (F.col(own_hash) == F.col(gone_hash)) & F.col("doc_id").eqNullSafe(F.col(gone_id))
+    named = [F.col("doc_id").alias(gone_id), F.col("hash").alias(gone_hash)]
+    left = hashed.join(maybe_broadcast(rows.filter(~is_kept).select(*named).distinct(), 500_000), alike, "left_anti")
+    repeated = rows.filter(is_kept).groupBy(*named).count().filter("count > 1").drop("count")
+    if repeated.isEmpty():
+        return left.drop(own_hash)
+    repeated = maybe_broadcast(repeated)
+    again = left.join(repeated, alike, "left_semi").withColumn(row, F.xxhash64(*docs.columns))
+    first = again.groupBy("doc_id", own_hash).agg(F.min_by(F.struct(*docs.columns), row).alias(one)).select(*(F.col(one)[c].alias(c) for c in docs.columns))
+    return left.join(repeated, alike, "left_anti").select(*docs.columns).unionByName(first)
 
 
 # The same classes for DuckDB, by all pairs that share a shingle and plain reachability.

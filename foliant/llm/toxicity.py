@@ -9,7 +9,8 @@ trie's root, so misspelled terms are found within the edits that the term's
 length allows, wherever the edits are; a variant that is itself a common clean
 word does not count. Two words within d edits of each other have a string in
 common that leaves d or fewer letters out of each, so the words that don't walk
-have no match. Terms that a stem covers are in the trie too, for edits inside the
+have no match. Terms of more than ``FUZZY`` letters are matched as they stand only;
+quotations of more than ``QUOTATION`` words count as plain text. Terms that a stem covers are in the trie too, for edits inside the
 stem. For each hit a window of words around it tells quotation (between quotes,
 words of saying or of discussing language) from abuse (second person, more hits).
 A logistic model over the document's hit counts gives the score.
@@ -54,6 +55,8 @@ WINDOW, QUOTATION, FIT_ROWS = 8, 60, 5_000
 MOST_CLEAN, LEAST_PURITY, CHANCE = 0.002, 0.95, 0.5
 #: Characters of learned stems.
 STEMS = (4, 5, 6, 7)
+#: Letters of a term that misspelled words are looked for of; longer ones are found as they stand. Rows of automata hold numbers to 127.
+FUZZY = 60
 #: Words whose verdict a worker remembers, characters of the texts whose words are looked up at once, words that walk side by side.
 MEMO, RUN_CHARS, ABREAST = 200_000, 2_000_000, 8_192
 #: Bits of a filter's address, and the multiplier of its string hashes.
@@ -126,7 +129,8 @@ class Lexicon:
     hits: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        for term in self.terms:
+        fuzzy = [t for t in self.terms if len(t) <= FUZZY]
+        for term in fuzzy:
             node = self.trie
             for c in term:
                 node["most"] = max(node.get("most", 0), edits_allowed(len(term)))
@@ -134,9 +138,9 @@ class Lexicon:
             node["term"] = term
             node["most"] = max(node.get("most", 0), edits_allowed(len(term)))
         self.plain, self.begin = frozenset(self.terms), frozenset(self.stems)
-        self.near = [Near([t for t in self.terms if edits_allowed(len(t)) == e], e) for e in (1, 2)]
-        self.longest = max(map(len, self.terms), default=0) + 2
-        self.shortest = min((len(t) - edits_allowed(len(t)) for t in self.terms if edits_allowed(len(t))), default=self.longest + 1)
+        self.near = [Near([t for t in fuzzy if edits_allowed(len(t)) == e], e) for e in (1, 2)]
+        self.longest = max(map(len, fuzzy), default=0) + 2
+        self.shortest = min((len(t) - edits_allowed(len(t)) for t in fuzzy if edits_allowed(len(t))), default=self.longest + 1)
 
     def learn_words(self, tokens: set[str]) -> None:
         """Find out which of the tokens are hits: ``hits`` has 1 for a term or stem as it stands, 2 for a misspelled term."""
@@ -190,29 +194,32 @@ class Lexicon:
             lengths = np.array([len(w) for w in own])
             hit = np.zeros(len(own), bool)
             row = np.arange(width + 1, dtype=np.int8)[None].repeat(len(own), axis=0)
-            self.walk(self.trie, np.arange(len(own)), row, None, "", letters_of(own, width), lengths, hit)
+            self.walk(np.arange(len(own)), row, letters_of(own, width), lengths, hit)
             found += [own[i] for i in np.flatnonzero(hit)]
         return found
 
-    def walk(self, node: dict, at, row, above, last: str, letters, lengths, hit) -> None:
+    def walk(self, at, row, letters, lengths, hit) -> None:
         """``row[k, i]``: edits (swaps of neighbours count as one) from the trie's path to the first i letters of word ``at[k]``."""
-        term = node.get("term")
-        if term is not None:
-            hit[at[row[np.arange(len(at)), lengths[at]] <= edits_allowed(len(term))]] = True
         steps = np.arange(row.shape[1], dtype=np.int8)
-        for c, child in node.items():
-            if len(c) > 1:
-                continue
-            same = letters[at] == ord(c)
-            new = row + np.int8(1)
-            np.minimum(new[:, 1:], row[:, :-1] + ~same, out=new[:, 1:])
-            if above is not None:
-                swapped = same[:, :-1] & (letters[at, 1:] == ord(last))
-                np.minimum(new[:, 2:], np.where(swapped, above[:, :-2] + np.int8(1), np.int8(99)), out=new[:, 2:])
-            new = np.minimum.accumulate(new - steps, axis=1) + steps
-            live = np.flatnonzero((new.min(axis=1) <= child["most"]) & ~hit[at])
-            if len(live):
-                self.walk(child, at[live], new[live], row[live], c, letters, lengths, hit)
+        open_: list[tuple] = [(self.trie, at, row, None, "")]
+        while open_:
+            node, at, row, above, last = open_.pop()
+            term = node.get("term")
+            if term is not None:
+                hit[at[row[np.arange(len(at)), lengths[at]] <= edits_allowed(len(term))]] = True
+            for c, child in node.items():
+                if len(c) > 1:
+                    continue
+                same = letters[at] == ord(c)
+                new = row + np.int8(1)
+                np.minimum(new[:, 1:], row[:, :-1] + ~same, out=new[:, 1:])
+                if above is not None:
+                    swapped = same[:, :-1] & (letters[at, 1:] == ord(last))
+                    np.minimum(new[:, 2:], np.where(swapped, above[:, :-2] + np.int8(1), np.int8(99)), out=new[:, 2:])
+                new = np.minimum.accumulate(new - steps, axis=1) + steps
+                live = np.flatnonzero((new.min(axis=1) <= child["most"]) & ~hit[at])
+                if len(live):
+                    open_.append((child, at[live], new[live], row[live], c))
 
 
 FEATURES = ("hits", "exact", "fuzzy", "quoted", "saying", "address", "crowded", "any")

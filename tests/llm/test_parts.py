@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zipfile
 from collections import Counter
 
@@ -222,6 +223,42 @@ def test_one_document_of_each_group_stays(spark, documents):
     assert sorted(kept) == sorted(wanted)
 
 
+PROSE = " ".join(f"plain{i % 90}" for i in range(120))
+
+
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    other = " ".join(f"w{i}" for i in range(40))
+    near = other + " more words"
+    rows = [(1, PROSE, "a"), (1, other, "b"), (1, other, "c"), (2, near, "d"), (None, near, "e"), (None, PROSE + " end", "f"), (None, "alone and without an id", "g"), (3, None, "h"), (3, None, "h"), (None, "", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hash string")
+    kept = Counter(tuple(r) for r in jaccard_join.keep_one(docs, 3, 80).collect())
+    assert kept == Counter(tuple(r) for r in jaccard_join.keep_one(docs.repartition(7, "text"), 3, 80).collect())
+    assert sum(n for (i, t, _), n in kept.items() if t == other) == 1 and kept[1, PROSE, "a"] == 1
+    assert sum(kept.values()) == 6 and kept[3, None, "h"] == 2 and kept[None, "alone and without an id", "g"] == 1
+
+
+def test_many_rows_without_an_id_join_in_time_by_their_number(spark):
+    rnd = random.Random(6)
+    texts = near_copies(rnd, 900, 4) * 5
+    make = lambda ids: spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(16)
+    docs = make([None] * len(texts))
+    began = time.time()
+    found = jaccard_join.classes(docs, 4, 80).collect()
+    assert time.time() - began < 60 and len(found) == len(texts) and all(r["component_id"] is None for r in found)
+    groups = {r["component_id"] for r in jaccard_join.classes(make(range(len(texts))), 4, 80).collect()}
+    assert jaccard_join.keep_one(docs, 4, 80).count() == len(groups)
+
+
+def test_words_of_any_length(spark, documents):
+    rnd = random.Random(8)
+    long = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1200))
+    huge = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    rows = [(f"some words {i} {long} and {huge if i % 2 else 'more'}", 1) for i in range(15)] + [(f"plain text number {i} of many", 0) for i in range(60)]
+    model = toxicity.learn(spark.createDataFrame(rows, "text string, label int"))
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(documents([f"x {long}", f"x {long[:-1]}y", f"x {huge}", "you idiot, you moron", "you idoit, you mroon", None]), model).collect()}
+    assert found[0] > found[5] and found[1] == found[5] and found[3] > found[5] and found[4] > found[5]
+
+
 def test_licence_templates_match_themselves_and_small_changes(spark, documents):
     texts = [t for _, t in licenses.TEMPLATES] + ["x " + licenses.TEMPLATES[1][1].replace("compliance", "accord"), "all rights"]
     found = {r["doc_id"]: r for r in licenses.scan(documents(texts)).collect()}
