@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import outstandings as bills
 from ..operators import telemetry
 from ..sinks import reports
-from ..sinks.mirror import Mirror
+from ..sinks.mirror import Mirror, MirrorConflict
 from ..sources import shared
 from .outstandings import OPEN
 from .registry import query
@@ -29,7 +31,8 @@ def observation_staging(v):
     again = mirror.observe("b1-again", rows.filter("k % 3 > 0").drop("k")).withColumn("batch", F.lit("b1-again"))
     changed = _records(v, F.when((F.col("o_orderkey") % 7 == 0) & (F.col("o_orderkey") % 3 > 0), "x").otherwise(""))
     second = mirror.observe("b2", changed.drop("k")).withColumn("batch", F.lit("b2"))
-    stored = mirror.table("observed", "key string, hash string, payload string").select(F.lit("stored").alias("batch"), F.lit("observed").alias("verdict"))
+    mirror.observe("b1", rows.filter("k % 3 > 0").drop("k"))  # a batch that runs again
+    stored = mirror.observed().select(F.lit("stored").alias("batch"), F.lit("observed").alias("verdict"))
     seen = first.select("batch", "verdict").unionByName(again.select("batch", "verdict")).unionByName(second.select("batch", "verdict")).unionByName(stored)
     return seen.groupBy("batch", "verdict").agg(F.count("*").cast("long").alias("records"))
 
@@ -64,6 +67,70 @@ def mirror_commits(v):
     return out.unionByName(marks).unionByName(pending)
 
 
+@query("""with n as (select count(*) filter (where o_orderkey % 2 = 0) as even, count(*) filter (where o_orderkey % 2 = 1) as odd from orders),
+h as (select *, sha256('genesis|inserted=' || even) as h1 from n)
+select * from (select 'b1' as batch, 'killed before its entry' as step, 'no rows' as state, cast(0 as bigint) as records from h union all select 'b1', 'run again', 'stored', even from h union all select 'b1', 'run a third time', 'stored', even from h
+union all select 'b1', 'with other rows', 'refused', even from h union all select 'b1', 'killed before its proof', 'no proof', 0 from h union all select 'b1', 'committed', h1, 1 from h union all select 'b1', 'committed again', h1, 1 from h
+union all select 'b2', 'lost a race', 'stored', even + odd from h union all select 'b3', 'won the race', 'stored', even + odd from h union all select 'b2', 'committed', sha256(h1 || '|inserted=' || (odd - 1) || ',replayed=1'), 2 from h
+union all select 'b3', 'behind the checkpoint', 'concurrent_checkpoint', 2 from h union all select 'c', 'core', 'at b2', 2 from h)""")
+def mirror_recovery(v):
+    """Every step killed, run again and raced: what the mirror holds after each."""
+    spark, out = v.spark, []
+    folder = shared.folder(spark, "mirror")
+    mirror, killed, raced = Mirror(spark, folder), Mirror(spark, folder), Mirror(spark, folder)
+    rows = _records(v, F.lit("")).filter("k % 2 = 0").drop("k")
+    # Of two batches that hold order 1 as new, one is published while the other is on its way.
+    first = v.table("orders").filter("o_orderkey % 2 = 1").agg(F.min("o_orderkey")).first()[0]
+    odd = _records(v, F.lit("")).filter("k % 2 = 1")
+    one = odd.filter(F.col("k") == first).drop("k")
+    at = lambda batch: spark.createDataFrame([("c", "core", f"at {batch}")], "company string, pack string, position string")
+
+    def stored(batch, step, state="stored"):
+        out.append((batch, step, state, mirror.observed().count()))
+
+    def proofs(batch, step, state=None):
+        chain = [e["proof"] for e in mirror.entries() if e["kind"] == "commit"]
+        out.append((batch, step, state or chain[-1]["entry_hash"], len(chain)))
+
+    def die(entry):
+        raise InterruptedError
+
+    killed._publish = die
+    with contextlib.suppress(InterruptedError):
+        killed.observe("b1", rows)
+    stored("b1", "killed before its entry", "no rows")
+    mirror.observe("b1", rows)
+    stored("b1", "run again")
+    mirror.observe("b1", rows)
+    stored("b1", "run a third time")
+    try:
+        mirror.observe("b1", rows.limit(1))
+    except MirrorConflict:
+        stored("b1", "with other rows", "refused")
+    with contextlib.suppress(InterruptedError):
+        killed.commit("b1", at("b1"))
+    proofs("b1", "killed before its proof", "no proof")
+    mirror.commit("b1", at("b1"), {("c", "core"): None})
+    proofs("b1", "committed")
+    mirror.commit("b1", at("b1"), {("c", "core"): None})
+    proofs("b1", "committed again")
+
+    def overtaken(entry, publish=raced._publish):
+        raced._publish = publish
+        mirror.observe("b3", one)
+        return publish(entry)
+
+    raced._publish = overtaken
+    raced.observe("b2", odd.drop("k"))
+    stored("b2", "lost a race")
+    stored("b3", "won the race")
+    mirror.commit("b2", at("b2"), {("c", "core"): "at b1"})
+    proofs("b2", "committed")
+    proofs("b3", "behind the checkpoint", mirror.commit("b3", at("b3"), {("c", "core"): "at b1"}))
+    made = spark.createDataFrame(out, "batch string, step string, state string, records long")
+    return made.unionByName(mirror.checkpoints().select(F.col("company").alias("batch"), F.col("pack").alias("step"), F.col("position").alias("state"), F.col("generation").alias("records")))
+
+
 SLUG = "left(regexp_replace(regexp_replace(lower(party), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 120)"
 CELL = "case when regexp_matches({0}, '^[=+\\-@\t\r]') then '''' || {0} else {0} end"
 
