@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import captures, shared
+from ..sources import captures, chunks, shared, strict
 from ..streaming import breaker
 from .registry import query
 
@@ -77,3 +77,81 @@ def circuit_breaker_states(v):
     found = breaker.states(stream, cooldown_us=DAY_US)
     found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start(f"{folder}/states").awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{folder}/states")
+
+
+@query("""with d as (select doc_id, coalesce(text, '') as text, doc_id % 4 as how, doc_id % 10 = 7 as cut from documents),
+w as (select *, len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) as pairs, strlen(text) as n from d),
+s as (select *, case when how < 2 then n + 3 * how else 2 * (length(text) + pairs) + 2 end as bytes from w)
+select doc_id, case when how < 2 then 'utf-8' when how = 2 then 'utf-16-le' else 'utf-16-be' end as encoding, how > 0 as marked, cast((bytes + case when cut then 1 else 0 end) // (97 + doc_id % 7) + 1 as bigint) as chunks,
+case when not cut then cast(bytes as bigint) end as encoded_bytes, case when not cut then cast(n as bigint) end as decoded_bytes, case when not cut then sha256(text) end as decoded_sha256,
+case when cut then case when how < 2 then 'invalid_utf8' when how = 2 then 'invalid_utf16le' else 'invalid_utf16be' end end as reason from s""")
+def chunked_decode(v):
+    """Documents as captures in four encodings, cut every hundred bytes or so, characters included; of every tenth the last one is cut short."""
+    text, how = F.coalesce("text", F.lit("")), F.col("doc_id") % 4
+    mark = lambda x: F.unhex(F.lit(x))
+    raw = F.when(how == 0, F.encode(text, "UTF-8")).when(how == 1, F.concat(mark("EFBBBF"), F.encode(text, "UTF-8"))).when(how == 2, F.concat(mark("FFFE"), F.encode(text, "UTF-16LE"))).otherwise(F.concat(mark("FEFF"), F.encode(text, "UTF-16BE")))
+    raw = F.when(F.col("doc_id") % 10 == 7, F.concat(raw, mark("C3"))).otherwise(raw)
+    size = (97 + F.col("doc_id") % 7).cast("int")
+    docs = v.table("documents").select("doc_id", raw.alias("raw"), size.alias("size"))
+    number = F.explode(F.sequence(F.lit(0), F.call_function("div", F.octet_length("raw"), F.col("size")).cast("int")))
+    cut = docs.select("doc_id", "raw", "size", number.alias("number")).select("doc_id", "number", F.substring("raw", F.col("number") * F.col("size") + 1, F.col("size")).alias("data"))
+    return chunks.evidence(cut, "doc_id").drop("encoded_sha256")
+
+
+STRICT = """case file % 16 when 3 then 'duplicate_field' when 4 then 'malformed_json' when 5 then 'resource_limit_exceeded' when 6 then 'too_large' when 7 then 'status_missing' when 8 then 'status_invalid' when 9 then 'application_rejected'
+  when 10 then 'wrong_container' when 11 then 'profile_mismatch' when 12 then 'record_limit_exceeded' end"""
+
+
+def _envelopes(rows, record, metadata):
+    """``(file, json)`` of rows ``(k, file, ...)``; each sixteenth file has a fault of its own."""
+    f = F.col("file") % 16
+    per = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("k", record.alias("r")))).alias("l"))
+    records = F.array_join(F.transform("l", lambda x: x["r"]), ",")
+    more = F.when(f == 3, '"status":"1",').when(f == 5, F.concat(F.lit('"deep":'), F.repeat(F.lit("["), 40), F.repeat(F.lit("]"), 40), F.lit(","))).when(f == 6, F.concat(F.lit('"pad":"'), F.repeat(F.lit("x"), 70_000), F.lit('",'))).when(f == 10, '"extra":1,').otherwise("")
+    status = F.when(f == 7, "").when(f == 8, '"status":1,').when(f == 9, '"status":"0",').otherwise('"status":"1",')
+    own = F.when(f == 11, F.replace(metadata, F.lit("true"), F.lit("false"))).otherwise(metadata)
+    twice = F.when(f == 12, F.concat(F.lit(","), F.array_join(F.array_repeat(records, 3), ","))).otherwise("")
+    json = F.concat(F.lit("{"), more, status, F.lit('"data":{"metadata":'), own, F.lit(',"collection":['), records, twice, F.lit("]}"), F.when(f == 4, "").otherwise("}"))
+    return per.select("file", json.alias("json"))
+
+
+def _cell(kind, value):
+    return F.concat(F.lit(f'{{"type":"{kind}","value":"'), value, F.lit('"}'))
+
+
+@query(f"""with c as (select c_custkey as k, c_custkey // 9 as file, c_name, c_nationkey, c_acctbal, row_number() over (partition by c_custkey // 9 order by c_custkey) as n from customer), r as (select *, {STRICT} as bad from c)
+select file, n as ordinal, case when k % 10 < 8 then c_name end as name, case when k % 10 < 8 and k % 3 > 0 then case when k % 3 = 1 then '' else 'nation ' || c_nationkey end end as parent, case when k % 10 < 8 then cast(cast(c_acctbal as decimal(18,2)) as varchar) end as closing,
+cast(null as varchar) as opening, case when k % 10 < 8 then k % 4 end as languages, case k % 10 when 8 then 'profile_mismatch' when 9 then 'typed_value_mismatch' end as reason from r where bad is null
+union all select distinct file, null, null, null, null, null, null, bad from r where bad is not null""")
+def json_ledger_rows(v):
+    """Ledgers in strict JSON: repeated keys, depth, size, status, containers and cells of another type are typed rows."""
+    k = F.col("k")
+    rows = v.table("customer").select(F.col("c_custkey").alias("k"), F.call_function("div", F.col("c_custkey"), F.lit(9)).alias("file"), "c_name", "c_nationkey", F.col("c_acctbal").cast("decimal(18,2)").cast("string").alias("bal"))
+    parent = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(',"parent":'), _cell("String", F.when(k % 3 == 1, "").otherwise(F.concat(F.lit("nation "), F.col("c_nationkey").cast("string"))))))
+    names = F.array_join(F.array_repeat(F.lit('"name"'), (k % 4).cast("int")), ",")
+    languages = F.when(k % 4 == 0, "").otherwise(F.concat(F.lit(',"languagename":[{"name":[{"metadata":true,"type":"String"},'), names, F.lit("]}]")))
+    closing = F.when(k % 10 == 9, _cell("Number", F.col("bal"))).otherwise(_cell("Amount", F.col("bal")))
+    record = F.concat(F.lit('{"metadata":{"type":"'), F.when(k % 10 == 8, "Group").otherwise("Ledger"), F.lit('","name":"'), F.col("c_name"), F.lit('","reservedname":""}'), parent, F.lit(',"closingbalance":'), closing, languages, F.lit("}"))
+    return strict.ledgers(_envelopes(rows, record, F.lit('{"is_mst_dep_type":true,"mst_dep_type":"8"}')), "file", limits=strict.Limits(bytes=60_000, records=18))
+
+
+@query(f"""with o as (select o_orderkey as k, o_orderkey // 9 as file, *, row_number() over (partition by o_orderkey // 9 order by o_orderkey) as n from orders), r as (select *, {STRICT} as bad from o)
+select file, n as ordinal, case when k % 10 < 7 then 'g' || k end as guid, case when k % 10 < 7 then 'r' || k end as remote_id, case when k % 10 < 7 then strftime(cast(o_orderdate as date), '%Y-%m-%d') end as vdate, case when k % 10 < 7 then 'Sales' end as kind, case when k % 10 < 7 then cast(cast(o_totalprice as decimal(18,2)) as varchar) end as amount,
+case when k % 10 < 7 then k % 3 end as entries, case when k % 10 < 7 then 1 end as invoice_entries, case when k % 10 < 7 then k % 2 end as items, case when k % 10 < 7 then 2 * (k % 2) end as batches, case when k % 10 < 7 then k % 2 end as accounts, case when k % 10 < 7 then k % 4 end as bills,
+case k % 10 when 7 then 'profile_mismatch' when 8 then 'typed_value_mismatch' when 9 then 'typed_value_mismatch' end as reason from r where bad is null
+union all select distinct file, null, null, null, null, null, null, null, null, null, null, null, null, bad from r where bad is not null""")
+def json_strict_vouchers(v):
+    """Vouchers in strict JSON with nested lists; some have an unknown field, a date that is none, or an entry with an amount of another type."""
+    k = F.col("k")
+    rows = v.table("orders").select(F.col("o_orderkey").alias("k"), F.call_function("div", F.col("o_orderkey"), F.lit(9)).alias("file"), F.date_format(F.col("o_orderdate").cast("date"), "yyyyMMdd").alias("d"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("p"))
+    many = lambda x, n: F.concat(F.lit("["), F.array_join(F.array_repeat(x, n.cast("int")), ","), F.lit("]"))
+    amount = F.concat(F.lit('{"amount":'), _cell("Amount", F.col("p")), F.lit("}"))
+    invoice = F.concat(F.lit('{"amount":'), F.when(k % 10 == 9, _cell("String", F.col("p"))).otherwise(_cell("Amount", F.col("p"))), F.lit(',"billallocations":'), many(amount, k % 4), F.lit("}"))
+    item = F.concat(F.lit('{"batchallocations":'), many(amount, F.lit(2)), F.lit(',"accountingallocations":'), many(amount, F.lit(1)), F.lit("}"))
+    record = F.concat(
+        F.lit('{"metadata":{"type":"Voucher","remoteid":"r'), k.cast("string"), F.lit('","vchkey":"","vchtype":"Sales","objview":""},"guid":"g'), k.cast("string"), F.lit('","vouchertypename":"Sales","date":'),
+        _cell("Date", F.when(k % 10 == 8, "19991332").otherwise(F.col("d"))), F.lit(',"amount":'), _cell("Amount", F.col("p")), F.when(k % 10 == 7, ',"unknown":1').otherwise(""),
+        F.lit(',"allledgerentries":'), many(amount, k % 3), F.lit(',"ledgerentries":'), many(invoice, F.lit(1)), F.lit(',"allinventoryentries":'), many(item, k % 2), F.lit("}"),
+    )
+    found = strict.vouchers(_envelopes(rows, record, F.lit('{"is_cmp_dep_type":true,"cmp_locus":4,"cmp_dep_type":64}')), "file", limits=strict.Limits(bytes=60_000, records=18))
+    return found.withColumn("vdate", F.col("vdate").cast("string"))
