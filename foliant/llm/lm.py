@@ -53,8 +53,8 @@ STEP, RATE, SHARD_TOKENS, MOST_SHARDS = 16_384, 0.05, 1_000_000, 4096
 COUNTED, MEMO = 200_000, 250_000
 #: Weight of the network against the counts; tokens a task hands on at once, occurrences in them that make a context frequent.
 PRIOR, FLUSH_TOKENS, FLUSH_DOCS, FREQUENT = 1.0, 1_000_000, 60_000, 32
-#: Tokens a bucket of contexts stands for.
-BUCKET_TOKENS = 2_000_000
+#: Tokens a bucket of contexts stands for; bytes of text that a bucket of words stands for, and word buckets at most (beyond, they are larger).
+BUCKET_TOKENS, WORD_BUCKET_BYTES, MOST_BUCKETS = 2_000_000, 8 << 20, 20_000
 #: Parts of one that scores and weights are kept in.
 SEED, FIXED, FIXED_NET = 11, float(1 << 16), float(1 << 20)
 #: Stand for what is before a document's first and after its last token.
@@ -136,8 +136,8 @@ def learn_lexicon(docs: DataFrame) -> tuple[Lexicon, int]:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(16, min(MOST_BUCKETS, chars // WORD_BUCKET_BYTES))
     most = 3 * side_for(chars) ** 2 // 4
     counted = docs.select("text").mapInArrow(lambda it: _counted(it, buckets), "bucket int, words binary, counts binary")
     counts = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _merged(it, most), "word binary, n long")
