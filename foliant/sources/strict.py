@@ -42,7 +42,7 @@ def shape(json: Column) -> tuple[Column, Column, Column]:
 
     read = F.aggregate(F.split(brackets, ""), begin, step)
     alone = (read["roots"] == 1) & bare.rlike(r"(?s)^\s*[\[{].*[\]}]\s*$")
-    full = F.regexp_count(bare, F.lit(r"[\[{]\s*+[^\s\]}]"))
+    full = F.regexp_count(bare, F.lit(r"[\[{](?=\s*+[^\s\]}])"))
     return read["most"], 1 + F.regexp_count(bare, F.lit(",")) + full, alone
 
 
