@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import captures, elements
+from ..sources import captures, elements, shared
 from .books import _join, _s
 from .registry import query
 
@@ -14,6 +14,11 @@ SIZE = 40
 FAULT = f"case when o_orderkey // {SIZE} % 10 = 9 then o_orderkey // {SIZE} // 10 % 8 end"
 
 
+def _elements(captures, key, xml):
+    """The element table, written once: readers look at it several times."""
+    return shared.staged(elements.elements(captures, key, xml), "elements")
+
+
 def _row():
     k = F.col("k")
     name = _join("Order ", _s(k), " &#4; ", F.col("o_orderpriority"))
@@ -46,7 +51,7 @@ case when fault = 3 then 0 else m + case when fault = 4 and k % 5 <> 4 then 1 el
 case fault when 0 then 'count_mismatch' when 1 then 'schema_mismatch' when 2 then 'source_reported_failure' when 3 then 'malformed_xml' when 4 then 'duplicate_identity' end as reason from f""")
 def scoped_exports(v):
     """Captures whose header's schema, kind and count are held against their rows."""
-    return elements.scoped_exports(elements.elements(_captures(v), "file", "xml"), "file", "vouchers-2", "VOUCHER", F.lit("co-1"))
+    return elements.scoped_exports(_elements(_captures(v), "file", "xml"), "file", "vouchers-2", "VOUCHER", F.lit("co-1"))
 
 
 @query(f"""with f as (select distinct file, fault from {ORDERS} where fault in (3, 5, 6, 7))
@@ -54,7 +59,7 @@ select file, case fault when 5 then 0 when 6 then 71 when 7 then 71 end as place
 case fault when 3 then 'malformed_xml' when 5 then 'unexpected_attribute' when 6 then 'unexpected_element' when 7 then 'unexpected_text' end as reason, case fault when 5 then 'LANG' when 6 then 'EXTRA' when 7 then 'loose text' end as detail from f""")
 def structure_guard(v):
     """Elements, attributes and texts outside a selected export's skeleton, a row each."""
-    return elements.violations(elements.elements(_captures(v), "file", "xml"), "file", elements.export_structure("VOUCHER"))
+    return elements.violations(_elements(_captures(v), "file", "xml"), "file", elements.export_structure("VOUCHER"))
 
 
 @query(f"""with r as (select file, 0 as again, k, o_orderpriority, {XML} as x from {ORDERS} where fault is null or fault <> 3
@@ -62,7 +67,7 @@ union all select file, 1, k, o_orderpriority, x from (select file, fault, k, o_o
 select file, row_number() over (partition by file order by again, k) as ordinal, 'Order ' || k || ' ' || chr(65533) || '#4; ' || o_orderpriority as name, case when k % 5 = 4 then 'xx-' else 'CO-1-' end || k as guid, k as alter_id, octet_length(encode(x)) as bytes, sha256(x) as sha256 from r""")
 def export_fragments(v):
     """Each row's own bytes in its capture, by length and digest, though its name had to be repaired to be read."""
-    return elements.fragments(elements.elements(_captures(v), "file", "xml"), "file", "VOUCHER")
+    return elements.fragments(_elements(_captures(v), "file", "xml"), "file", "VOUCHER")
 
 
 @query(f"""with r as (select file, k, {XML} as x from {ORDERS} where fault is null),
