@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources import captures, chunks, shared, strict
-from ..streaming import breaker
+from ..streaming import breaker, snapshot
 from .registry import query
 
 DAY_US = 86_400_000_000
@@ -155,3 +156,47 @@ def json_strict_vouchers(v):
     )
     found = strict.vouchers(_envelopes(rows, record, F.lit('{"is_cmp_dep_type":true,"cmp_locus":4,"cmp_dep_type":64}')), "file", limits=strict.Limits(bytes=60_000, records=18))
     return found.withColumn("vdate", F.col("vdate").cast("string"))
+
+
+SCRIPT = ("prepare", "capability", "identity", "plan", "extract", "normalize", "validate", "stage", "reconcile", "commit_pending", snapshot.RECEIPT, "completed")
+ALLOWED = ", ".join(f"('{a}', '{b}')" for a, follows in snapshot.FOLLOWS.items() for b in follows)
+
+
+@query(
+    f"""with e as (select cast(user_id as varchar) as run, row_number() over (partition by user_id order by ts, event_id) as seq, event_id from events),
+    v as (select run, seq, event_id, case when event_id % 29 = 3 then 'extract' when event_id % 97 = 5 then 'cancelled' else ([{", ".join(f"'{s}'" for s in SCRIPT)}])[(seq - 1) % {len(SCRIPT)} + 1] end as event, 'f' || run || case when event_id % 5 = 0 then 'x' else '' end as facts from e),
+    a as (select * from (values {ALLOWED}) as t(before, after)),
+    s as (select run, cast(0 as bigint) as seq, '' as event, '' as phase, '' as outcome, cast(null as varchar) as held from (select distinct run from v)
+    union all select v.run, v.seq, v.event,
+    case when s.phase in {snapshot.TERMINAL} then s.phase when v.event in ('failed', 'cancelled') then v.event when v.event = 'receipt' and s.phase = 'commit_pending' then case when v.facts = s.held then 'proof' else 'failed' end when a.after is not null then v.event else s.phase end,
+    case when s.phase in {snapshot.TERMINAL} then 'terminal' when v.event in ('failed', 'cancelled') then 'moved' when v.event = 'receipt' and s.phase = 'commit_pending' then case when v.facts = s.held then 'moved' else 'receipt_mismatch' end when a.after is not null then 'moved' else 'refused' end,
+    case when a.after = 'commit_pending' then v.facts else s.held end
+    from s join v on v.run = s.run and v.seq = s.seq + 1 left join a on a.before = s.phase and a.after = v.event)
+    select run, seq, event, phase, outcome from s where seq > 0 union all select run, seq, event, 'any', 'replayed' from v where seq % 10 = 1 and event_id % 2 = 0""",
+    recursive=True,
+)
+def snapshot_runs(v):
+    """Events of runs in four parts, read by a stream that is started anew for each; some events come again in a later part."""
+    spark = v.spark
+    before = spark.conf.get(snapshot.STATE_STORE[0])
+    spark.conf.set(*snapshot.STATE_STORE)
+    folder = shared.folder(spark, "snapshot")
+    place = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    script = F.element_at(F.array(*map(F.lit, SCRIPT)), ((F.col("seq") - 1) % len(SCRIPT) + 1).cast("int"))
+    event = F.when(F.col("event_id") % 29 == 3, "extract").when(F.col("event_id") % 97 == 5, "cancelled").otherwise(script)
+    rows = v.table("events").withColumn("seq", F.row_number().over(place).cast("long"))
+    rows = rows.select(F.col("user_id").cast("string").alias("run"), "seq", F.col("ts").cast("timestamp").alias("at"), event.alias("event"), F.concat(F.lit("f"), F.col("user_id").cast("string"), F.when(F.col("event_id") % 5 == 0, "x").otherwise("")).alias("facts"), "event_id")
+    rows = shared.staged(rows, "snapshot-events")
+    first, last = rows.agg(F.min("at"), F.max("at")).first()
+    part = F.least(F.floor((F.unix_micros("at") - F.unix_micros(F.lit(first))) * 4 / (F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)) + 1)), F.lit(3)) if first else F.lit(0)
+    again = rows.filter("seq % 10 = 1 and event_id % 2 = 0").withColumn("_part", F.lit(4))
+    dealt = shared.staged(rows.withColumn("_part", part.cast("int")).unionByName(again), "snapshot-parts")
+    out = None
+    for i in range(5):
+        dealt.filter(F.col("_part") == i).drop("_part", "event_id").write.mode("append").parquet(f"{folder}/events")
+        stream = snapshot.outcomes(spark.readStream.schema(rows.drop("event_id").schema).parquet(f"{folder}/events"))
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start(f"{folder}/outcomes").awaitTermination()
+        out = stream.schema
+    spark.conf.set(snapshot.STATE_STORE[0], before)
+    found = spark.read.schema(out).parquet(f"{folder}/outcomes")
+    return found.withColumn("phase", F.when(F.col("outcome") == "replayed", "any").otherwise(F.col("phase")))

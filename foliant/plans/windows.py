@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, exact, ident
 from ..operators import telemetry
+from ..operators import splits
 from ..operators import windows as op
 from .registry import query
 
@@ -303,3 +304,22 @@ def date_parsing(v):
 @query("select s_suppkey as key, regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from supplier")
 def party_slugs(v):
     return v.table("supplier").select(F.col("s_suppkey").alias("key"), ident.slug(F.col("s_name")).alias("slug"))
+
+
+@query(
+    """with o as (select o_orderkey % 5 as run, cast(o_orderdate as date) as day from orders), m as (select count(*) // 200 + 1 as most from orders),
+t as (select run, sha256('window' || chr(0) || 'plan' || chr(0) || '1992-01-01' || chr(0) || '1998-12-31') as h, cast(null as varchar) as parent, 0 as depth, date '1992-01-01' as first, date '1998-12-31' as last from (select distinct run from o)
+union all select run, sha256('window' || chr(0) || 'window:' || left(h, 24) || chr(0) || a || chr(0) || z), 'window:' || left(h, 24), depth + 1, a, z
+from (select t.*, unnest([first, cast(first + to_days(cast(date_diff('day', first, last) // 2 + 1 as integer)) as date)]) as a, unnest([cast(first + to_days(cast(date_diff('day', first, last) // 2 as integer)) as date), last]) as z
+  from t where last > first and (select count(*) from o where o.run = t.run and o.day between t.first and t.last) > (select most from m))),
+n as (select t.*, (select count(*) from o where o.run = t.run and o.day between t.first and t.last) as records from t)
+select run, 'window:' || left(h, 24) as id, parent, depth, cast(first as varchar) as first, cast(last as varchar) as last, records, case when records <= (select most from m) then 'leaf' when last = first then 'minimum_reached' else 'split' end as state from n""",
+    recursive=True,
+)
+def split_trees(v):
+    """Five runs over seven years, split until no window has more than a two-hundredth of all orders."""
+    orders = v.table("orders").select((F.col("o_orderkey") % 5).alias("run"), F.to_date("o_orderdate").alias("day"))
+    days = orders.groupBy("run", "day").agg(F.count("*").alias("n"))
+    planned = orders.select("run").distinct().select("run", F.lit("1992-01-01").cast("date").alias("first"), F.lit("1998-12-31").cast("date").alias("last"))
+    most = orders.count() // 200 + 1
+    return splits.split_tree(planned, days, most).withColumns({c: F.col(c).cast("string") for c in ("first", "last")})
