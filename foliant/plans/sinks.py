@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import outstandings as bills
 from ..operators import telemetry
-from ..sinks import reports
+from ..sinks import reports, workbooks
 from ..sinks.mirror import Mirror, MirrorConflict
 from ..sources import shared
 from .outstandings import OPEN
@@ -184,3 +184,32 @@ def proof_exports(v):
 @query(f"""select '[' || string_agg('{{"class":"' || class || '","outcome":"' || outcome || '","bucket":' || bucket || ',"attempts":' || attempts || '}}', ',' order by class, outcome, bucket, attempts) || ']' as json, true as exported from (select class, outcome, cast({_place('latency_us', LATENCY)} as bigint) as bucket, count(*) as attempts from v_attempt group by 1, 2, 3)""")
 def telemetry_json(v):
     return reports.telemetry_export(telemetry.histogram(v.attempt, "latency_us", LATENCY))
+
+
+LARGE = "case when party like '%3' and reference like '%7' then cast(amount + 9007199254740993.01 as decimal(18,2)) else amount end"
+AGED = "case when age is null then 'Not yet due' when age <= 30 then '0-30 days' when age <= 60 then '31-60 days' when age <= 90 then '61-90 days' else '90+ days' end"
+SUBTOTALS = " union all ".join(
+    f"select party, n + {3 + 5 * j + i} as r, 0 as c, 'text' as kind, '{k} {b}' as value from p union all select party, n + {3 + 5 * j + i}, 4, 'number', cast((select coalesce(sum(amount), 0) from o where o.party = p.party and kind = '{k}' and {AGED} = '{b}') as varchar) from p"
+    for j, k in enumerate(("receivable", "payable"))
+    for i, b in enumerate(workbooks.BUCKETS)
+)
+
+
+@query(f"""with a as (select party, reference, bill_date, due_date, {LARGE} as amount, age, kind from ({OPEN})), s as (select *, row_number() over (partition by party order by age desc nulls last, due_date, reference, kind) + 2 as r from a),
+q as (select party, case when max(amount) > 9007199254740992 then 'amount_not_exact' end as reason, count(*) as n, sum(amount) as total from a group by party), p as (select * from q where reason is null), o as (select s.* from s join p using (party)),
+cells as (select party, r, 0 as c, 'text' as kind, reference as value from o union all select party, r, 1, 'date', cast(bill_date as varchar) from o union all select party, r, 2, 'date', cast(due_date as varchar) from o union all select party, r, 3, 'text', kind from o
+union all select party, r, 4, 'number', cast(amount as varchar) from o union all select party, r, 5, case when age is null then 'text' else 'number' end, coalesce(cast(age as varchar), 'Not due') from o union all select party, r, 6, 'text', {AGED} from o
+union all select party, 1, 0, 'text', 'Statement' from p union all select party, 1, 1, 'text', party from p union all select party, 2, i - 1, 'text', ({list(workbooks.HEAD)})[i] from p, range(1, 8) as t(i) union all {SUBTOTALS}
+union all select party, n + 13, 0, 'text', 'Total bill magnitudes (not net)' from p union all select party, n + 13, 4, 'number', cast(total as varchar) from p),
+d as (select party, count(*) as cells, sha256(string_agg(r || ':' || c || ':' || kind || ':' || case when kind = 'number' then cast(cast(value as decimal(38,2)) as varchar) else value end, chr(10) order by r, c)) as digest from cells group by party)
+select q.party, case when reason is null then n + 13 end as rows, cells, digest, reason from q left join d using (party)""")
+def statement_workbooks(v):
+    """A workbook for each party, read back cell by cell; amounts that a double doesn't hold leave a party without one, with a code."""
+    rows = bills.open_bill_rows(v.bill, v.as_of)
+    rows = rows.withColumn("amount", F.when(F.col("party").endswith("3") & F.col("reference").endswith("7"), (F.col("amount") + F.lit("9007199254740993.01").cast("decimal(18,2)")).cast("decimal(18,2)")).otherwise(F.col("amount")))
+    written = shared.staged(workbooks.write_workbooks(rows, shared.folder(v.spark, "workbooks")), "workbooks-written")
+    cells = workbooks.read_cells(written.filter("path is not null"))
+    value = F.when(F.col("kind") == "number", F.col("value").cast("decimal(38,2)").cast("string")).otherwise(F.col("value"))
+    line = F.concat_ws(":", F.col("r").cast("string"), F.col("c").cast("string"), "kind", value)
+    per = cells.groupBy("file").agg(F.count("*").alias("cells"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "c", line.alias("line")))), lambda x: x["line"]), "\n"), 256).alias("digest"))
+    return written.join(per, "file", "left").select("party", "rows", "cells", "digest", "reason")
