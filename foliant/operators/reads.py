@@ -71,6 +71,13 @@ def corroborated(empty: DataFrame, control: DataFrame, reread: DataFrame, cover:
     return rows.join(hit, ["series", "win_from"], "left").select("series", "win_from", "win_to", state.alias("state"))
 
 
+def contradicting(empty: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows ``(series, day, ...)`` of a wider read that lie inside windows ``(series, win_from, win_to)`` which another read gave as empty, with their window."""
+    # Days of a window are few, so the range becomes an equal join on days.
+    days = empty.select(F.col("series").alias("_s"), "win_from", F.explode(F.sequence("win_from", "win_to")).alias("_day"))
+    return rows.join(days, (F.col("series") == F.col("_s")) & (F.col("day") == F.col("_day"))).drop("_s", "_day")
+
+
 def _near(a: Column, b: Column) -> Column:
     return F.abs(a - b) * 100 <= F.greatest(a, b, F.lit(1)) * COMPARABLE
 
