@@ -62,7 +62,7 @@ def company_currencies(v):
     k = F.col("n_nationkey")
     first = _join('<CURRENCY NAME="x"><MAILINGNAME>', F.when(k % 4 == 0, "Indian Rupees").otherwise("Rupees"), "</MAILINGNAME></CURRENCY>")
     xml = _join("<ENVELOPE><BODY><DATA><COLLECTION>", first, F.when(k % 2 == 1, '<CURRENCY NAME="y"><MAILINGNAME>Indian Rupees</MAILINGNAME></CURRENCY>').otherwise(""), "</COLLECTION></DATA></BODY></ENVELOPE>")
-    return books.currency(v.table("nation").select(k.alias("company"), xml.alias("xml")), "company")
+    return books.currency(v.table("nation").select(k.alias("company"), xml.alias("xml")), "company").drop("reason")
 
 
 VOUCHERS = f"""(select o_orderkey as k, cast(o_orderdate as date) as d, l_linenumber, row_number() over (partition by o_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as ordinal, l_suppkey, cast(l_extendedprice as {M}) as price from orders join lineitem on l_orderkey = o_orderkey)"""
@@ -94,7 +94,7 @@ def voucher_entries(v):
 @query(f"select case when k % 9 = 4 then 'other-' else 'CO-1-' end || k as guid, k as alter_id, cast(d as varchar) as vdate from (select distinct k, d from {VOUCHERS})")
 def witness_rows(v):
     """Ids, alteration numbers and dates alone."""
-    return books.witnesses(_voucher_files(v)).withColumn("vdate", F.col("vdate").cast("string"))
+    return books.witnesses(_voucher_files(v)).withColumn("vdate", F.col("vdate").cast("string")).drop("reason")
 
 
 @query("select id, vouchers, reason from (select 'g' || (o_orderkey - o_orderkey % 64) as id, count(*) as vouchers, 'duplicate_voucher_guid' as reason from orders group by 1 having count(*) > 1 union all select cast(o_orderkey // 50 as varchar), count(*), 'duplicate_alter_id' from orders group by 1 having count(*) > 1)")
@@ -138,3 +138,36 @@ def json_voucher_rows(v):
     batch = cell("text", F.lit("t"))
     json = _join('{"vouchers":[{"guid":', cell("text", _join("g", _s(k))), ',"amount":', amount, ',"inventory":[{"batches":[', batch, ",", batch, ']},{"batches":[', batch, ']}],"entries":[{"amount":', amount, ',"bills":', bills, "}]}]}")
     return books.json_vouchers(v.table("supplier").select(k.alias("file"), F.when(k % 10 == 9, F.substring(json, 1, 40)).otherwise(json).alias("json")), "file")
+
+
+FAILED = "case c_custkey % 6 when 1 then 'source_reported_failure' when 2 then 'malformed_xml' when 3 then 'collection_missing' when 4 then 'empty_collection' when 5 then 'missing' end"
+READERS = ("groups", "currency", "witnesses", "extents", "opening", "companies", "catalogue", "balances")
+
+
+@query(f"""with c as (select c_custkey, {FAILED} as failed from customer)
+select reader, coalesce(reason, 'good') as reason, count(*) as captures from (select reader, case when failed = 'empty_collection' and reader = 'extents' then 'company_extent_not_unique' when failed is null and reader = 'catalogue' and c_custkey % 12 = 6 then 'context_mismatch' when failed is null and reader = 'opening' and c_custkey % 12 = 6 then 'bad_ledger'
+  when failed is null and reader = 'groups' and c_custkey % 12 = 6 then 'company_mismatch' when failed is null and reader = 'companies' and c_custkey % 12 = 6 then 'duplicate_company' else failed end as reason
+  from c, (select unnest({list(READERS)}) as reader) where not (reader = 'witnesses' and coalesce(failed, '') = 'empty_collection')) group by 1, 2""")
+def capture_failures(v):
+    """Every collection reader on failed, cut, bare, empty and missing captures: one row with a reason for each; an empty witness is none."""
+    k = F.col("k")
+    f, odd = k % 6, k % 12 == 6
+    captures = v.table("customer").select(F.col("c_custkey").alias("k"))
+
+    def rendered(rows):
+        whole = _join("<ENVELOPE><HEADER><STATUS>", F.when(f == 1, "0").otherwise("1"), "</STATUS></HEADER><BODY>", F.when((f == 1) | (f == 3), "").when(f == 4, "<DATA><COLLECTION></COLLECTION></DATA>").otherwise(_join("<DATA><COLLECTION>", rows, "</COLLECTION></DATA>")), "</BODY></ENVELOPE>")
+        return captures.select("k", F.when(f == 5, F.lit(None)).when(f == 2, F.substring(whole, 1, 40)).otherwise(whole).alias("xml"))
+
+    guid = _join("<GUID>", F.when(odd, "other").otherwise("CO-1"), "-1</GUID>")
+    own = _join("<COMPANY NAME=\"c\"><GUID>CO-1</GUID><BOOKSFROM>19920401</BOOKSFROM><LASTVOUCHERDATE>19980331</LASTVOUCHERDATE><ALTVCHID>1</ALTVCHID><ALTMSTID>1</ALTMSTID></COMPANY>")
+    ledger = _join("<LEDGER NAME=\"l\"><GUID>g</GUID><COMPANYGUID>", F.when(odd, "other").otherwise("CO-1"), "</COMPANYGUID><ISBILLWISEON>", F.when(odd, "?").otherwise("Yes"), "</ISBILLWISEON><OPENINGBALANCE>1</OPENINGBALANCE><CLOSINGBALANCE>2</CLOSINGBALANCE></LEDGER>")
+    found = {
+        "groups": books.groups(rendered(_join("<GROUP NAME=\"g\"><PARENT>p</PARENT>", guid, "</GROUP>")), F.lit("co-1"), kept=("k",)), "currency": books.currency(rendered(_join("<CURRENCY NAME=\"x\"><MAILINGNAME>Rupees</MAILINGNAME></CURRENCY>")), "k"),
+        "witnesses": books.witnesses(rendered(_join("<VOUCHER><GUID>g</GUID><ALTERID>1</ALTERID><DATE>19950131</DATE></VOUCHER>")), kept=("k",)), "extents": books.extents(rendered(own), "k", F.lit("co-1")), "opening": books.opening_coverages(rendered(ledger), "k"),
+        "companies": books.companies(rendered(_join(own, F.when(odd, own).otherwise(""))), "k").select("k", "reason").distinct(), "catalogue": books.catalogue(rendered(ledger), "k", F.lit("co-1")), "balances": books.balances(rendered(ledger), "k"),
+    }
+    out = None
+    for name, rows in found.items():
+        own_rows = rows.select(F.lit(name).alias("reader"), F.coalesce("reason", F.lit("good")).alias("reason"))
+        out = own_rows if out is None else out.unionByName(own_rows)
+    return out.groupBy("reader", "reason").agg(F.count("*").cast("long").alias("captures"))
