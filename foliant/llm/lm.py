@@ -38,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -65,6 +66,19 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def word_table(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of a column of texts, the number of each token's word, and how many tokens each text has; Python touches only the distinct ones."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    coded = split.flatten().dictionary_encode()
+    index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # No word holds a line feed.
+    words = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar("\n", pa.large_string()))[0].as_py().encode().split(b"\n") if len(coded.dictionary) else []
+    real = index != words.index(b"") if b"" in words else np.ones(len(index), bool)  # what stands beside spaces at an end
+    before = np.concatenate([[0], np.cumsum(real)])
+    offsets = split.offsets.to_numpy()
+    return words, index[real], before[offsets[1:]] - before[offsets[:-1]]
+
+
 def side_for(total: int) -> int:
     """Classes, and members of each: the vocabulary's ids are the square, about 1.4 times the cube root of the corpus's tokens."""
     return max(8, round(1.2 * total ** (1 / 6)))
@@ -200,16 +214,15 @@ class Encoder:
         self.place.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
         self.ids, self.term, self.hash = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.term, term]), np.concatenate([self.hash, h])
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The place of each token's word in ``ids``, ``term`` and ``hash``, and how many tokens each text has."""
         if len(self.place) > MEMO:
             self.forget()
-        split = [tokens(t) for t in texts]
-        lengths = np.array([len(s) for s in split], np.int64)
-        new = list(set().union(*split).difference(self.place))
+        words, index, lengths = word_table(texts)
+        new = [w for w in words if w and w not in self.place]
         if new:
             self.learn(new)
-        return np.fromiter((self.place[w] for s in split for w in s), np.int64, int(lengths.sum())), lengths
+        return np.fromiter((self.place[w] if w else -1 for w in words), np.int64, len(words))[index], lengths
 
 
 # The network -------------------------------------------------------------------
@@ -325,7 +338,7 @@ def step(net: dict, seen: dict, ids: np.ndarray, near: np.ndarray) -> None:
         dh[rows] += dm @ net["members"][k].T
     dh *= 1 - h * h
     grad["bias"] = dh.sum(axis=0)
-    columns = np.ascontiguousarray(dh.T)
+    columns = np.ascontiguousarray(dh.T, np.float64)
     for p in range(len(near)):
         for j in range(HIDDEN):
             grad["near"][p, :, j] = np.bincount(near[p], columns[j], net["near"].shape[1])
@@ -344,7 +357,7 @@ def _encoded(batches, lexicon):
     small = id_type(lexicon.value.side)
     for b in batches:
         texts = b.column(1).to_pylist()
-        places, lengths = encoder(texts)
+        places, lengths = encoder(b.column(1))
         ids, at, out = encoder.ids[places].astype(small), 0, []
         for doc_id, text, n in zip(b.column(0).to_pylist(), texts, lengths.tolist(), strict=True):
             if n:
@@ -504,7 +517,7 @@ def _spread(batches, shared, buckets, flush_tokens):
 
     size = docs = 0
     for b in batches:
-        places, lengths = encoder(b.column(1).to_pylist())
+        places, lengths = encoder(b.column(1))
         ids = encoder.ids[places].astype(np.int64)
         near = windows(ids, lengths, lexicon.side**2)
         lp = np.concatenate([np.zeros(0, np.float32), *(log_probs(net, ids[a : a + STEP], near[:, a : a + STEP]) for a in range(0, len(ids), STEP))])
