@@ -94,3 +94,33 @@ def _ordered(value: Column, kind: DataType) -> Column:
 def canonical_json(value: Column, kind: DataType) -> Column:
     """Compact JSON with the fields of every struct in order of their names, nulls written out."""
     return F.to_json(_ordered(value, kind), {"ignoreNullFields": "false"})
+
+
+def content_type(value: Column, expected: Column | str) -> Column:
+    """Why a response of such a content type isn't read: unsupported_content_type (other than text/xml with at most a charset of
+    utf-8 or utf-16, or none given), declared_encoding_mismatch (another charset than ``expected``); null if it is."""
+    parts = F.split(value, ";", -1)
+    more = F.slice(parts, 2, 1 << 30)
+    named = F.forall(more, lambda p: p.rlike(r"(?i)^\s*charset\s*="))
+    declared = F.lower(F.trim(F.regexp_replace(F.get(more, 0), "^[^=]*=", "")))
+    media = F.lower(F.trim(F.get(parts, 0))) == "text/xml"
+    good = media & ~value.rlike(r"\p{Cc}") & named & (F.size(more) <= 1) & (declared.isNull() | declared.isin("utf-8", "utf-16"))
+    wanted = F.lit(expected) if isinstance(expected, str) else expected
+    return F.when(~F.coalesce(good, F.lit(False)), "unsupported_content_type").when(declared != wanted, "declared_encoding_mismatch")
+
+
+def label_file(json: Column, version: int = 1) -> Column:
+    """A client label file as ``(labels, state)``: ``loaded`` with trimmed labels, blank ones dropped; else no labels and missing,
+    empty_file, corrupt_file or unsupported_version. For reading any but loaded is no label; a writer must stop unless it is loaded or missing."""
+    v = F.try_parse_json(json)
+    none = F.create_map().cast("map<string,string>")
+    is_object = lambda x: F.schema_of_variant(x).startswith("OBJECT")
+    root = F.when(is_object(v), F.try_variant_get(v, "$", "map<string,variant>"))
+    number, held = F.try_element_at(root, F.lit("version")), F.try_element_at(root, F.lit("labels"))
+    found = F.try_variant_get(number, "$", "int")
+    labels = F.when(is_object(held), F.try_variant_get(held, "$", "map<string,variant>"))
+    whole = (F.size(root) == 2) & (F.schema_of_variant(number) == "BIGINT") & found.between(0, 255) & F.forall(F.map_values(labels), lambda x: F.schema_of_variant(x) == "STRING")
+    texts = F.transform_values(labels, lambda _, x: F.trim(F.try_variant_get(x, "$", "string")))
+    kept = F.map_filter(F.transform_keys(texts, lambda k, _: F.trim(k)), lambda k, x: (k != "") & (x != ""))
+    state = F.when(json.isNull(), "missing").when(F.trim(json) == "", "empty_file").when(~F.coalesce(whole, F.lit(False)), "corrupt_file").when(found != version, "unsupported_version").otherwise("loaded")
+    return F.struct(F.when(state == "loaded", kept).otherwise(none).alias("labels"), state.alias("state"))

@@ -208,3 +208,25 @@ def partial_residuals(v):
     groups = v.spark.createDataFrame([("Loop A", "Loop B", ""), ("Loop B", "loop a", "")], "name string, parent string, reserved_name string")
     parent = F.when(F.col("key") % 5 == 0, "gone").when(F.col("key") % 5 == 1, "loop a").otherwise("Primary")
     return op.residuals(v.ledger.withColumn("parent", parent), groups, v.bill)
+
+
+TYPES = ("text/xml", "Text/XML; charset=UTF-8", "text/xml;charset=utf-16", "application/json", "text/xml; charset", "text/xml; charset=utf-8; charset=utf-8", "text/xml; charset=latin-1", "text/xml; boundary=x", " text/xml ; charset = utf-8 ", "")
+
+
+@query(f"""select c_custkey as key, case when c_custkey % 20 >= 10 then 'utf-16' else 'utf-8' end as expected, case c_custkey % 10 when 0 then null when 1 then case when c_custkey % 20 >= 10 then 'declared_encoding_mismatch' end when 2 then case when c_custkey % 20 < 10 then 'declared_encoding_mismatch' end
+when 8 then case when c_custkey % 20 >= 10 then 'declared_encoding_mismatch' end else 'unsupported_content_type' end as reason from customer""")
+def content_types(v):
+    k = F.col("c_custkey")
+    value = F.get(F.array(*map(F.lit, TYPES)), (k % 10).cast("int"))
+    expected = F.when(k % 20 >= 10, "utf-16").otherwise("utf-8")
+    return v.table("customer").select(k.alias("key"), expected.alias("expected"), rules.content_type(value, expected).alias("reason"))
+
+
+@query("""select c_custkey as key, case c_custkey % 8 when 0 then 'missing' when 1 then 'empty_file' when 2 then 'corrupt_file' when 3 then 'unsupported_version' when 4 then 'corrupt_file' when 5 then 'corrupt_file' else 'loaded' end as state, case when c_custkey % 8 >= 6 then c_name end as label, case when c_custkey % 8 >= 6 then 1 else 0 end as labels from customer""")
+def label_files(v):
+    """Label files: missing, empty, cut, of another version, with an unknown field or a label that is no text, and whole ones with a blank label."""
+    k = F.col("c_custkey")
+    whole = F.concat(F.lit('{"version":'), F.when(k % 8 == 3, "2").otherwise("1"), F.when(k % 8 == 4, ',"more":1').otherwise(""), F.lit(',"labels":{" g":" '), F.col("c_name"), F.lit(' ","h":'), F.when(k % 8 == 5, "1").otherwise('" "'), F.lit("}}"))
+    json = F.when(k % 8 == 0, F.lit(None)).when(k % 8 == 1, " ").when(k % 8 == 2, F.substring(whole, 1, 20)).otherwise(whole)
+    found = rules.label_file(json)
+    return v.table("customer").select(k.alias("key"), found["state"].alias("state"), F.try_element_at(found["labels"], F.lit("g")).alias("label"), F.size(found["labels"]).cast("long").alias("labels"))

@@ -9,6 +9,8 @@ from ..functions.ident import csv_cell, csv_guard, slug
 
 #: Bytes of a proof export and of a telemetry export at most.
 PROOF_BYTES, TELEMETRY_BYTES = 256 * 1024, 64 * 1024
+#: Cells of a telemetry export at most: as many as its bytes could hold.
+TELEMETRY_CELLS = 10_000
 BOM = "﻿"
 
 
@@ -67,8 +69,9 @@ def proof_export(proofs: DataFrame, allowed: list[str]) -> DataFrame:
 
 
 def telemetry_export(histogram: DataFrame) -> DataFrame:
-    """One row: the histogram ``(class, outcome, bucket, attempts)`` as JSON; its cells are few by construction, refused beyond TELEMETRY_BYTES."""
+    """One row: the histogram ``(class, outcome, bucket, attempts)`` as JSON; its cells are few by construction, refused whole beyond TELEMETRY_CELLS or TELEMETRY_BYTES."""
     cell = F.struct("class", "outcome", "bucket", "attempts")
     json = F.to_json(F.sort_array(F.collect_list(cell)))
     size = F.octet_length("json")
-    return histogram.limit(10_000).agg(json.alias("json")).select(F.when(size <= TELEMETRY_BYTES, F.col("json")).alias("json"), (size <= TELEMETRY_BYTES).alias("exported"))
+    fits = (size <= TELEMETRY_BYTES) & (F.col("cells") <= TELEMETRY_CELLS)
+    return histogram.limit(TELEMETRY_CELLS + 1).agg(json.alias("json"), F.count("*").alias("cells")).select(F.when(fits, F.col("json")).alias("json"), fits.alias("exported"))
