@@ -7,6 +7,7 @@ Bills are aggregated before they are joined, so joins never fan out.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,16 +61,23 @@ def checked(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+#: Groups that are sent to every task at most.
+SENT_GROUPS = 100_000
+
+
 def ancestry(groups: DataFrame, most: int = 32) -> DataFrame:
     """``(name, ancestor, depth, reserved_name)`` for each group and all above it; the root, or a blank parent, ends a walk.
 
     A parent that no group has, and a walk of more than ``most`` steps (a
     cycle), yield a row with a null ancestor, whose reserved_name tells which:
-    ``UNRESOLVED`` or ``CYCLE``. Each level is written before the next is joined.
+    ``UNRESOLVED`` or ``CYCLE``. A small table of groups (the usual case, checked) is
+    sent to the tasks, which walk it; of a larger one each level is written before the next is joined.
     """
     keyed = groups.select(group_name(F.col("name")).alias("g"), group_name(F.col("parent")).alias("p"), "reserved_name", reserved_root(F.col("parent")).alias("top"))
     keyed = staged(keyed.withColumn("p", F.when(~F.col("top") & (F.col("p") != ""), F.col("p"))), "groups")
-    up = checked(keyed.select(F.col("g").alias("_g"), F.col("p").alias("_p"), F.col("reserved_name").alias("_r")))
+    if small(keyed, SENT_GROUPS):
+        return _walked(keyed, most)
+    up = keyed.select(F.col("g").alias("_g"), F.col("p").alias("_p"), F.col("reserved_name").alias("_r"))
     level = keyed.select(F.col("g").alias("name"), F.col("g").alias("ancestor"), F.lit(0).cast("long").alias("depth"), "reserved_name", F.col("p").alias("next"))
     found = level
     for d in range(1, most + 1):
@@ -82,6 +90,33 @@ def ancestry(groups: DataFrame, most: int = 32) -> DataFrame:
     return found.drop("next").unionByName(endless)
 
 
+def _walked(keyed: DataFrame, most: int) -> DataFrame:
+    """``ancestry`` of a table that each task can hold."""
+    above: dict[str, list[tuple]] = {}
+    for x in keyed.select("g", "p", "reserved_name").collect():
+        above.setdefault(x["g"], []).append((x["p"], x["reserved_name"]))
+    shared = keyed.sparkSession.sparkContext.broadcast(above)
+
+    def walk(g, p, r):
+        yield g, g, 0, r
+        level = [p]
+        for depth in range(1, most + 1):
+            found = [(x, *up) for x in level if x is not None for up in shared.value.get(x, [(None, None)])]
+            for x, _, reserved in found:
+                yield (g, x, depth, reserved) if x in shared.value else (g, None, depth, UNRESOLVED)
+            level = [up for _, up, _ in found]
+        yield from ((g, None, most + 1, CYCLE) for x in level if x is not None)
+
+    def run(batches):
+        for b in batches:
+            rows = [x for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) for x in walk(*row)]
+            for a in range(0, len(rows), 10_000):
+                columns = zip(*rows[a : a + 10_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["name", "ancestor", "depth", "reserved_name"])
+
+    return keyed.select("g", "p", "reserved_name").mapInArrow(run, "name string, ancestor string, depth long, reserved_name string")
+
+
 def group_status(groups: DataFrame, reserved: tuple[str, ...] = PARTY_GROUPS) -> DataFrame:
     """``(name, status)``: party if the walk up meets a reserved group first, else UNRESOLVED or CYCLE if it meets that, else other."""
     event = F.when(F.col("reserved_name").isin(*reserved), "party").when(F.col("ancestor").isNull(), F.col("reserved_name"))
