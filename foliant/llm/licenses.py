@@ -1,10 +1,11 @@
 """Licence scan by Dice coefficient over word bigrams, in DataFrame operations only.
 
 Text is normalised (lower case, everything but letters and digits as one
-space). Units are every line, the text as a whole, and, for each template, the
-windows of as many words as the template has, one every eighth of that (and the
-last one), wherever lines break; so wrapped, commented and embedded notices are
-found. A unit's set of distinct word bigrams is compared with the template's.
+space). Units are every line, the text as a whole, and, for each template, all
+windows of as many words as the template has, wherever they begin and lines
+break; so wrapped, commented and embedded notices are found. Only windows that hold enough of the
+template's bigrams, repeats counted, are compared; their starts follow from the places
+of those bigrams, so no window that matches is left out. A unit's set of distinct word bigrams is compared with the template's.
 Size bounds prune templates: with a Dice coefficient of t or more, the sizes a
 and b obey t / (2 - t) <= a / b <= (2 - t) / t, and at least t / (2 - t) of the
 template's bigrams are shared. So a text without any of the words that stand for
@@ -104,8 +105,6 @@ TEMPLATES = (
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     ),
 )
-#: A template's windows begin so many times in its length.
-STEPS = 8
 
 
 def normal_words(text: str) -> list[str]:
@@ -149,11 +148,19 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFram
     of_unit = lambda b: enough(F.array(*[scored(name, g, b) for name, _, g in grams]))
 
     def windows(name, n, g, b, own):
-        """The template's matches among windows of its length over the bigrams ``b``; ``own`` has them without repeats."""
-        last = F.greatest(F.size(b) + 1 - n, F.lit(0))
-        starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(max(1, n // STEPS))), F.array(last)))
-        found = F.transform(starts, lambda at: let(F.array_distinct(F.slice(b, at + 1, F.lit(n - 1))), lambda d: scored(name, g, d)))
-        many = F.size(F.array_intersect(own, listed(g))) >= math.ceil(low * len(g) - 1e-9)
+        """The template's matches among all windows of its length over the bigrams ``b``; ``own`` has them without repeats."""
+        need, last = math.ceil(low * len(g) - 1e-9), F.greatest(F.size(b) + 1 - n, F.lit(0))
+
+        def starts(p):
+            """Starts of the windows with ``need`` of the template's bigrams or more, from their places: for each place the starts after
+            the place before it, up to it, from which a window reaches the ``need``-th place from there."""
+            reach = lambda j: F.greatest(F.get(p, j + need - 1) - (n - 2), F.coalesce(F.get(p, j - 1) + 1, F.lit(0)), F.lit(0))
+            until = lambda j: F.least(F.get(p, j), last)
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.size(p) - need), lambda j: F.when(reach(j) <= until(j), F.sequence(reach(j), until(j))).otherwise(F.array().cast("array<int>"))))
+
+        places = F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda i: F.array_contains(listed(g), F.get(b, i)))
+        found = let(places, lambda p: F.transform(starts(p), lambda at: let(F.array_distinct(F.slice(b, at + 1, F.lit(n - 1))), lambda d: scored(name, g, d))))
+        many = F.size(F.array_intersect(own, listed(g))) >= need
         return F.when(many, enough(found)).otherwise(no_match)
 
     def of_text(b):
@@ -189,7 +196,7 @@ m as (select g.k, g.r, licence, 2.0::double * len(list_intersect(b, grams)) / (l
 ww as (select r, list_filter(string_split(whole, ' '), lambda x: x <> '') as w from parts),
 wb as (select r, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] as b from ww where len(w) > 1),
 pick as (select r, tid, licence, n, grams, b, greatest(len(b) + 1 - n, 0) as final from wb, t where 3 * len(list_intersect(list_distinct(b), grams)) >= 2 * len(grams)),
-st as (select *, unnest(list_distinct(list_concat(range(0, final + 1, greatest(1, n // {STEPS})), [final]))) as pos from pick),
+st as (select *, unnest(range(0, final + 1)) as pos from pick),
 wd as (select r, licence, grams, list_distinct(b[pos + 1 : pos + n - 1]) as own from st),
 wm as (select r, licence, 2.0::double * len(list_intersect(own, grams)) / (len(own) + len(grams)) as dice from wd),
 h as (select r, count(distinct k) as n_units, sum(win) as n_windows, string_agg(distinct licence, ',' order by licence) as licences, max(dice) as best

@@ -285,6 +285,33 @@ def test_wrapped_and_commented_licences_are_found_inside_files(spark, documents)
     assert all(found[i]["licences"] == "" for i in range(len(names), len(texts)))
 
 
+@pytest.mark.parametrize("share", [0.02, 0.05, 0.08, 0.1])
+def test_no_window_above_the_threshold_is_missed(spark, documents, share):
+    """Notices in one line of other words, some of theirs replaced: named wherever a window of the template's length matches, and counted as a plain scan does."""
+    rnd = random.Random(int(share * 100))
+    templates = [(n, t) for n, t in licenses.TEMPLATES if 18 <= len(licenses.normal_words(t)) <= 120]
+    texts, wanted = [], []
+    for name, text in [rnd.choice(templates) for _ in range(60)]:
+        own = [rnd.choice(("changed", "other", "software")) if rnd.random() < share else w for w in licenses.normal_words(text)]
+        words = passage(rnd, rnd.randint(0, 60)).split() + own + passage(rnd, rnd.randint(0, 60)).split()
+        texts.append(" ".join(words))
+        matches, grams = 0, set(licenses.template_bigrams(text))
+        n = len(own)
+        for at in range(max(1, len(words) - n + 1)):
+            d = {f"{a} {b}" for a, b in zip(words[at : at + n], words[at + 1 : at + n], strict=False)}
+            matches += 2 * len(d & grams) >= 0.8 * (len(d) + len(grams)) - 1e-12 and len(d) <= 1.5 * len(grams) and 1.5 * len(d) >= len(grams)
+        wanted.append((name, matches))
+    found = {r["doc_id"]: r for r in licenses.scan(documents(texts), templates).collect()}
+    assert sum(m > 0 for _, m in wanted) > 20
+    for i, (name, matches) in enumerate(wanted):
+        assert (name in found[i]["licences"].split(",")) or not matches, (i, name, matches)
+    # Alone, a template has just as many windows as the plain scan counts.
+    name, text = templates[0]
+    own = [(i, t, m) for i, (t, (n, m)) in enumerate(zip(texts, wanted, strict=True)) if n == name and [x for x, _ in templates].count(name) == 1]
+    for (_, _, m), r in zip(own, licenses.scan(documents([t for _, t, _ in own]), [(name, text)]).orderBy("doc_id").collect(), strict=True):
+        assert r["n_windows"] == m
+
+
 def test_archives_are_zip_files(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "a" * 150), (2, "v", "a" * 150), (3, "w", "b")], "page_id long, url string, html string").coalesce(1)
     archive = warc.write_archives(warc.plan(pages).coalesce(1), f"file://{tmp_path}/z").first()["archive"]
