@@ -28,14 +28,18 @@ def statement_lines(bills: DataFrame, title: str) -> DataFrame:
     last = lambda i, k: sums.select("party", (F.col("_n") + 2 + i).cast("long").alias("n"), csv_line((F.lit(f"Total {k}"), True), (F.lit(None), False), (F.lit(None), False), plain(k)).alias("line"))
     first = sums.select("party", F.lit(1).cast("long").alias("n"), F.concat(F.lit(BOM), csv_line((F.lit(title), True), text("party"))).alias("line"))
     head = sums.select("party", F.lit(2).cast("long").alias("n"), F.lit("Reference,Bill date,Due date,Amount,Days overdue,Direction").alias("line"))
-    # Parties whose names give the same file are told apart by their order.
-    names = sums.select("party", F.when(slug(F.col("party")) == "", "party").otherwise(slug(F.col("party"))).alias("_slug"))
-    k = F.row_number().over(Window.partitionBy("_slug").orderBy("party"))
-    names = names.select(F.col("party").alias("_party"), F.when(k == 1, F.col("_slug")).otherwise(F.concat_ws("-", "_slug", k.cast("string"))).alias("file"))
+    names = statement_names(sums.select("party")).withColumnRenamed("party", "_party")
     lines = first.unionByName(head).unionByName(rows).unionByName(last(1, "receivable")).unionByName(last(2, "payable"))
     return lines.join(names, F.col("party") == F.col("_party")).select("party", "file", "n", "line")
 
 
+def statement_names(parties: DataFrame) -> DataFrame:
+    """``(party, file)`` of distinct parties: those whose names give the same file are told apart by their order."""
+    names = parties.select("party", F.when(slug(F.col("party")) == "", "party").otherwise(slug(F.col("party"))).alias("_slug"))
+    k = F.row_number().over(Window.partitionBy("_slug").orderBy("party"))
+    return names.select("party", F.when(k == 1, F.col("_slug")).otherwise(F.concat_ws("-", "_slug", k.cast("string"))).alias("file"))
+
+
 def write_statements(lines: DataFrame, folder: str) -> None:
     """A folder ``file=<name>`` with one text file for each party, its lines in order; parties are dealt by their own key."""
     lines.repartition("file").sortWithinPartitions("file", "n").select("file", "line").write.partitionBy("file").text(folder)

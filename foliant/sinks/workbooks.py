@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, exact
-from .reports import statement_lines
+from ..sources.shared import staged
+from .reports import statement_names
 
 #: Rows that a sheet can have.
 MOST_ROWS = 1_048_576
@@ -53,20 +54,21 @@ def statement_cells(bills: DataFrame, title: str) -> DataFrame:
     """
     w = Window.partitionBy("party").orderBy(F.desc_nulls_last("age"), "due_date", "reference", "kind")
     cell = lambda r, c, kind, v: F.struct(r.cast("long").alias("r"), F.lit(c).alias("c"), F.lit(kind).alias("kind"), (v if isinstance(v, Column) else F.lit(v)).cast("string").alias("value"))
-    spread = lambda rows, cells: rows.select("party", F.explode(F.array(*cells)).alias("x")).select("party", "x.*")
     ageing = F.coalesce(F.concat(dates.bucket(F.col("age")), F.lit(" days")), F.lit("Not yet due"))
     r = F.col("r")
     age = F.when(F.col("age").isNull(), cell(r, 5, "text", "Not due")).otherwise(cell(r, 5, "count", F.col("age")))
     own = [cell(r, 0, "text", F.col("reference")), cell(r, 1, "date", F.col("bill_date")), cell(r, 2, "date", F.col("due_date")), cell(r, 3, "text", F.col("kind")), cell(r, 4, "amount", F.col("amount")), age, cell(r, 6, "text", ageing)]
-    listed = spread(bills.withColumn("r", F.row_number().over(w) + 2), own)
     names = [f"{k} {b}" for k in ("receivable", "payable") for b in BUCKETS]
-    sums = [F.coalesce(F.sum(F.when(F.concat_ws(" ", "kind", ageing) == n, F.col("amount"))), F.lit(0)).cast(exact.WIDE).alias(n) for n in names]
-    per = bills.groupBy("party").agg(F.count("*").alias("n"), *sums, F.sum("amount").cast(exact.WIDE).alias("total"))
+    all_ = Window.partitionBy("party")
+    sums = {n: F.coalesce(F.sum(F.when(F.concat_ws(" ", "kind", ageing) == n, F.col("amount"))).over(all_), F.lit(0)).cast(exact.WIDE) for n in names}
+    rows = bills.withColumns({"r": F.row_number().over(w) + 2, "n": F.count("*").over(all_), "total": F.sum("amount").over(all_).cast(exact.WIDE), **sums})
     after = lambda i: F.col("n") + i
     around = [cell(F.lit(1), 0, "bold", title), cell(F.lit(1), 1, "bold", F.col("party")), *(cell(F.lit(2), i, "bold", h) for i, h in enumerate(HEAD))]
     around += [x for i, n in enumerate(names) for x in (cell(after(3 + i), 0, "text", n), cell(after(3 + i), 4, "amount", F.col(f"`{n}`")))]
     around += [cell(after(13), 0, "bold", "Total bill magnitudes (not net)"), cell(after(13), 4, "amount", F.col("total"))]
-    return listed.unionByName(spread(per, around))
+    # What stands around a party's bills comes with the first of them.
+    cells = F.when(r == 3, F.concat(F.array(*own), F.array(*around))).otherwise(F.array(*own))
+    return rows.select("party", F.explode(cells).alias("x")).select("party", "x.*")
 
 
 def failures(cells: DataFrame) -> DataFrame:
@@ -154,9 +156,11 @@ def write_workbooks(bills: DataFrame, folder: str, title: str = "Statement") ->
 
     Files are named as the CSV statements are, below a folder of the attempt that wrote them. Null parties are no party's.
     """
-    cells = statement_cells(bills.filter("party is not null"), title)
+    known = bills.filter("party is not null")
+    # Written once: what can't be written is told before anything is, and a union of two groupings isn't dealt out twice.
+    cells = staged(statement_cells(known, title), "statement-cells")
     bad = failures(cells)
-    files = statement_lines(bills.filter("party is not null"), title).filter("n = 1").select("party", "file")
+    files = statement_names(known.select("party").distinct())
     good = cells.join(bad.select(F.col("party").alias("_b")), F.col("party") == F.col("_b"), "left_anti").join(files.withColumnRenamed("party", "_p"), F.col("party") == F.col("_p"))
 
     def run(batches):
