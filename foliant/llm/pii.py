@@ -373,7 +373,7 @@ def redact(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model or train())
-    at, n_at = column_at(docs, "text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    at, n_at = column_at(docs, "text"), column_at(docs, "n_chars") if "n_chars" in {c.lower() for c in docs.columns} else None
 
     def run(batches):
         for b in batches:

@@ -442,6 +442,11 @@ def test_redaction_replaces_spans():
     assert re.fullmatch(r"write to \[EMAIL\] or \[PHONE\] now", pii.redact_text(text, found))
 
 
+def test_redaction_counts_characters_whatever_the_case_of_their_column(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@c-d.org now", 20), (2, None, 7)], "doc_id long, text string, N_CHARS long")
+    assert [tuple(r) for r in pii.redact(docs).orderBy("doc_id").collect()] == [(1, "mail [EMAIL] now", 16), (2, None, 7)]
+
+
 def test_spans_of_one_text_are_found_in_time_by_their_number():
     import time
 
