@@ -30,9 +30,9 @@ class Limits:
 STRING = r'"(?:[^"\\]++|\\.)*+"'
 
 
-def shape(json: Column) -> tuple[Column, Column, Column]:
-    """Depth of a text's containers, how many values it has (a scalar, object or array each), and whether it is one container and nothing else."""
-    bare = F.regexp_replace(json, STRING, '""')
+def shape(rows: DataFrame, json: Column) -> DataFrame:
+    """The rows with ``depth`` of a text's containers, how many ``values`` it has (a scalar, object or array each), and whether it stands ``alone``: is one container and nothing else."""
+    bare = F.col("_bare")
     brackets = F.regexp_replace(bare, r"[^\[\]{}]+", "")
     begin = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"), F.lit(0).alias("roots"))
 
@@ -40,10 +40,11 @@ def shape(json: Column) -> tuple[Column, Column, Column]:
         now = a["now"] + F.when(c.isin("[", "{"), 1).when(c == "", 0).otherwise(-1)
         return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"), (a["roots"] + F.when((now == 0) & (c != ""), 1).otherwise(0)).alias("roots"))
 
-    read = F.aggregate(F.split(brackets, ""), begin, step)
-    alone = (read["roots"] == 1) & bare.rlike(r"(?s)^\s*[\[{].*[\]}]\s*$")
+    # A column for each step, as Spark would walk the text again for each use.
+    rows = rows.withColumn("_bare", F.regexp_replace(json, STRING, '""')).withColumn("_read", F.aggregate(F.split(brackets, ""), begin, step))
+    alone = (F.col("_read.roots") == 1) & bare.rlike(r"(?s)^\s*[\[{].*[\]}]\s*$")
     full = F.regexp_count(bare, F.lit(r"[\[{](?=\s*+[^\s\]}])"))
-    return read["most"], 1 + F.regexp_count(bare, F.lit(",")) + full, alone
+    return rows.withColumns({"depth": F.col("_read.most"), "values": 1 + F.regexp_count(bare, F.lit(",")) + full, "alone": alone}).drop("_bare", "_read")
 
 
 def get(v: Column, path: str, kind: str) -> Column:
@@ -51,8 +52,8 @@ def get(v: Column, path: str, kind: str) -> Column:
 
 
 def fields(v: Column) -> Column:
-    """An object's fields; null if it is none."""
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), get(v, "$", "map<string,variant>"))
+    """An object's fields; null if it is none, as nothing else casts to them. (A schema would be that of all below.)"""
+    return get(v, "$", "map<string,variant>")
 
 
 def text(v: Column) -> Column:
@@ -66,7 +67,8 @@ def only(m: Column, *names: str) -> Column:
 
 
 def items(v: Column) -> Column:
-    return F.when(F.schema_of_variant(v).startswith("ARRAY"), get(v, "$", "array<variant>"))
+    """An array's items; null if it is none."""
+    return get(v, "$", "array<variant>")
 
 
 def at(m: Column, name: str) -> Column:
@@ -81,6 +83,13 @@ def cell(m: Column, name: str, kind: str) -> tuple[Column, Column]:
     return text(at(inner, "value")), v.isNull() | F.coalesce(good, F.lit(False))
 
 
+def known_cell(m: Column, name: str, kind: str) -> tuple[Column, Column]:
+    """``cell`` where a column of the same name holds the cell's fields."""
+    inner = F.col(name)
+    good = only(inner, "type", "value") & text(at(inner, "type")).eqNullSafe(F.lit(kind)) & text(at(inner, "value")).isNotNull()
+    return text(at(inner, "value")), at(m, name).isNull() | F.coalesce(good, F.lit(False))
+
+
 def decimal(value: Column, empty: bool = True) -> Column:
     """Whether a cell's text is an exact decimal, absent or, if allowed, empty."""
     return value.isNull() | value.rlike(exact.LEXEME) | (F.lit(empty) & (value == ""))
@@ -90,10 +99,10 @@ def envelopes(captures: DataFrame, key: str, json: str, limits: Limits) -> DataF
     """``(key, reason, metadata, records)``: the object ``{status, data: {metadata, collection}}`` of each capture."""
     size = F.octet_length(json)
     fits = size <= limits.bytes
-    guarded = captures.select(key, json, fits.alias("fits"), F.when(fits, F.try_parse_json(F.when(fits, F.col(json)))).alias("v"), F.from_json(F.when(fits, F.col(json)), "_bad string", {"columnNameOfCorruptRecord": "_bad"})["_bad"].isNotNull().alias("bad"))
-    depth, values, alone = shape(F.when(F.col("v").isNotNull(), F.col(json)))
-    root = fields(F.col("v"))
-    rows = guarded.select(key, json, "fits", "v", "bad", depth.alias("depth"), values.alias("values"), alone.alias("alone"), root.alias("root"))
+    guarded = captures.select(key, json, fits.alias("fits"), F.when(fits, F.try_parse_json(F.when(fits, F.col(json)))).alias("v"))
+    # Only a text that gives no Variant is read again, to tell broken ones from those with a repeated field.
+    bad = F.from_json(F.when(F.col("fits") & F.col("v").isNull(), F.col(json)), "_bad string", {"columnNameOfCorruptRecord": "_bad"})["_bad"].isNotNull()
+    rows = shape(guarded.withColumns({"bad": bad, "root": fields(F.col("v"))}), F.when(F.col("v").isNotNull(), F.col(json)))
     rows = rows.withColumn("data", fields(at(F.col("root"), "data"))).withColumn("records", items(at(F.col("data"), "collection"))).withColumn("metadata", fields(at(F.col("data"), "metadata")))
     status = at(F.col("root"), "status")
     reason = (
@@ -130,7 +139,8 @@ def ledgers(captures: DataFrame, key: str, json: str = "json", limits: Limits =
     kind = at(m, "is_mst_dep_type")
     wrong = ~(only(m, "is_mst_dep_type", "mst_dep_type") & (F.schema_of_variant(kind) == "BOOLEAN") & get(kind, "$", "boolean") & (text(at(m, "mst_dep_type")) == "8"))
     rows = _records(envelopes(captures, key, json, limits), key, F.coalesce(wrong, F.lit(True)))
-    r, own = F.col("m"), fields(at(F.col("m"), "metadata"))
+    rows = rows.withColumn("own", fields(at(F.col("m"), "metadata")))
+    r, own = F.col("m"), F.col("own")
     cells = {n: cell(r, n, "String") for n in ("parent", "ledgerphone", "ledgercontact")} | {n: cell(r, n, "Amount") for n in ("closingbalance", "onaccountvalue", "tbalopening", "closingonacctvalue", "ledopeningbalance")}
     named = items(at(r, "languagename"))
     entries = F.transform(named, lambda v: items(at(fields(v), "name")))
@@ -140,6 +150,7 @@ def ledgers(captures: DataFrame, key: str, json: str = "json", limits: Limits =
     for name, (value, good) in cells.items():
         typed = typed & good & (decimal(value) if name not in ("parent", "ledgerphone", "ledgercontact") else F.lit(True))
     reason = F.coalesce("reason", F.when(~F.coalesce(profile, F.lit(False)), "profile_mismatch").when(~F.coalesce(typed, F.lit(False)), "typed_value_mismatch"))
+    rows, reason = rows.withColumn("reason", reason), F.col("reason")
     languages = F.aggregate(F.coalesce(entries, F.array().cast("array<array<variant>>")), F.lit(0).cast("long"), lambda a, x: a + F.size(x) - 1)
     good = lambda c: F.when(reason.isNull(), c)
     return rows.select(key, "ordinal", good(text(at(own, "name"))).alias("name"), *(good(cells[n][0]).alias(a) for n, a in (("parent", "parent"), ("closingbalance", "closing"), ("ledopeningbalance", "opening"))), good(languages).alias("languages"), reason.alias("reason"))
@@ -153,25 +164,32 @@ def vouchers(captures: DataFrame, key: str, json: str = "json", limits: Limits =
     kind = at(m, "is_cmp_dep_type")
     wrong = ~(only(m, "is_cmp_dep_type", "cmp_locus", "cmp_dep_type") & (F.schema_of_variant(kind) == "BOOLEAN") & get(kind, "$", "boolean") & number("cmp_locus", 4) & number("cmp_dep_type", 64))
     rows = _records(envelopes(captures, key, json, limits), key, F.coalesce(wrong, F.lit(True)))
-    r, own = F.col("m"), fields(at(F.col("m"), "metadata"))
-    day, day_good = cell(r, "date", "Date")
-    amount, amount_good = cell(r, "amount", "Amount")
-    listed = lambda of, name: F.coalesce(items(at(of, name)), F.array().cast("array<variant>"))
+    # Columns of their own, step by step: what later steps use several times is worked out once a record.
     all_lists = ("allledgerentries", "ledgerentries", "allinventoryentries")
+    rows = rows.select(key, "ordinal", "reason", "m", fields(at(F.col("m"), "metadata")).alias("own"), *(items(at(F.col("m"), n)).alias(n) for n in all_lists), *(fields(at(F.col("m"), n)).alias(n) for n in ("date", "amount")))
+    r, own = F.col("m"), F.col("own")
+    day, day_good = known_cell(r, "date", "Date")
+    amount, amount_good = known_cell(r, "amount", "Amount")
+    listed = lambda of, name: F.coalesce(items(at(of, name)), F.array().cast("array<variant>"))
     lists_good = F.lit(True)
     for name in all_lists:
-        lists_good = lists_good & (at(r, name).isNull() | items(at(r, name)).isNotNull())
+        lists_good = lists_good & (at(r, name).isNull() | F.col(name).isNotNull())
+    own_list = lambda name: F.coalesce(F.col(name), F.array().cast("array<variant>"))
     entry_good = lambda v: cell(fields(v), "amount", "Amount")[1] & at(fields(v), "amount").isNotNull() & decimal(cell(fields(v), "amount", "Amount")[0], False)
-    nested_good = F.forall(F.concat(*[listed(r, n) for n in all_lists[:2]]), lambda v: F.coalesce(entry_good(v), F.lit(False)))
-    nested = lambda outer, inner: F.aggregate(listed(r, outer), F.lit(0).cast("long"), lambda a, v: a + F.size(listed(fields(v), inner)))
+    nested_good = F.forall(F.concat(*map(own_list, all_lists[:2])), lambda v: F.coalesce(entry_good(v), F.lit(False)))
+    nested = lambda outer, inner: F.aggregate(own_list(outer), F.lit(0).cast("long"), lambda a, v: a + F.size(listed(fields(v), inner)))
     strings = text(at(r, "guid")).isNotNull() & text(at(r, "vouchertypename")).isNotNull() & text(at(own, "remoteid")).isNotNull()
     profile = only(r, *VOUCHER_FIELDS) & only(own, "type", "remoteid", "vchkey", "vchtype", "objview") & (text(at(own, "type")) == "Voucher") & strings & lists_good
-    typed = day_good & dates.parse_compact(day).isNotNull() & amount_good & decimal(amount) & nested_good
-    reason = F.coalesce("reason", F.when(~F.coalesce(profile, F.lit(False)), "profile_mismatch").when(~F.coalesce(typed, F.lit(False)), "typed_value_mismatch"))
+    rows = rows.withColumns({"profile": profile, "day": day, "sum": amount})
+    rows = rows.withColumn("vdate", dates.parse_compact(F.col("day")))
+    day, amount = F.col("vdate"), F.col("sum")
+    typed = day_good & day.isNotNull() & amount_good & decimal(amount) & nested_good
+    reason = F.coalesce("reason", F.when(~F.coalesce("profile", F.lit(False)), "profile_mismatch").when(~F.coalesce(typed, F.lit(False)), "typed_value_mismatch"))
+    rows, reason = rows.withColumn("reason", reason), F.col("reason")
     count = lambda c: F.size(c).cast("long")
     out = {
-        "guid": text(at(r, "guid")), "remote_id": text(at(own, "remoteid")), "vdate": dates.parse_compact(day), "kind": text(at(r, "vouchertypename")), "amount": amount,
-        "entries": count(listed(r, "allledgerentries")), "invoice_entries": count(listed(r, "ledgerentries")), "items": count(listed(r, "allinventoryentries")),
+        "guid": text(at(r, "guid")), "remote_id": text(at(own, "remoteid")), "vdate": day, "kind": text(at(r, "vouchertypename")), "amount": amount,
+        "entries": count(own_list("allledgerentries")), "invoice_entries": count(own_list("ledgerentries")), "items": count(own_list("allinventoryentries")),
         "batches": nested("allinventoryentries", "batchallocations"), "accounts": nested("allinventoryentries", "accountingallocations"), "bills": nested("ledgerentries", "billallocations"),
     }
     return rows.select(key, "ordinal", *(F.when(reason.isNull(), c).alias(n) for n, c in out.items()), reason.alias("reason"))
