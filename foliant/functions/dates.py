@@ -18,9 +18,9 @@ def parse_display(text: Column, books_from: Column, latest: Column) -> Column:
     """``D-MMM-YY``: the century in which the day is not before the books begin nor after ``latest``; null unless exactly one is."""
     parts = F.split(text, "-")
     month = F.lpad(F.element_at(F.map_from_arrays(F.array(*[F.lit(m) for m in "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()]), F.array(*[F.lit(str(i)) for i in range(1, 13)])), F.upper(F.get(parts, 1))), 2, "0")
-    made = F.transform(F.array(F.lit("19"), F.lit("20")), lambda c: F.try_to_date(F.concat(c, F.get(parts, 2), month, F.lpad(F.get(parts, 0), 2, "0")), "yyyyMMdd"))
-    fitting = F.filter(made, lambda d: (d >= books_from) & (d <= latest))
-    return F.when(text.rlike(r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{2}$") & (F.size(fitting) == 1), F.get(fitting, 0))
+    old, new = (F.try_to_date(F.concat(F.lit(c), F.get(parts, 2), month, F.lpad(F.get(parts, 0), 2, "0")), "yyyyMMdd") for c in ("19", "20"))
+    fits = lambda d: F.coalesce((d >= books_from) & (d <= latest), F.lit(False))
+    return F.when(text.rlike(r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{2}$"), F.when(fits(old), F.when(~fits(new), old)).when(fits(new), new))
 
 
 def overdue_days(due: Column, as_of: Column) -> Column:

@@ -35,8 +35,8 @@ def bills(captures: DataFrame, books_from: Column, as_of: Column, xml: str = "xm
     whole = F.trim(F.col(xml)).rlike(r"(?is)^(<\?xml[^>]*\?>\s*)?<ENVELOPE>.*</ENVELOPE>$")
     failed = F.when(~whole, "bills_xml_malformed").when(F.col(xml).rlike("(?i)<STATUS[ >]"), "source_reported_failure")
     pieces = F.slice(F.split(text, "(?i)<BILLFIXED>"), 2, 1 << 30)
-    listed = F.when(failed.isNotNull(), F.array(F.lit(""))).otherwise(pieces)
-    rows = captures.select(*kept, failed.alias("failed"), F.explode(listed).alias("p"))
+    listed = F.when(F.col("failed").isNotNull(), F.array(F.lit(""))).otherwise(pieces)
+    rows = captures.select(*kept, xml, failed.alias("failed")).select(*kept, "failed", F.explode(listed).alias("p"))
     names = {"party": "BILLPARTY", "reference": "BILLREF", "bill": "BILLDATE", "closing": "BILLCL", "due": "BILLDUE", "overdue": "BILLOVERDUE"}
     rows = rows.select(*kept, "failed", *[inside(F.col("p"), tag).alias(n) for n, tag in names.items()])
     code = F.col("failed")
@@ -46,15 +46,19 @@ def bills(captures: DataFrame, books_from: Column, as_of: Column, xml: str = "xm
         code = F.coalesce(code, F.when(F.size(n) == 0, missing).when(F.size(n) > 1, f"{where}duplicate_{tag.lower()}"))
     one = {n: F.trim(unescaped(F.get(n, 0))) for n in names}
     rows = rows.select(*kept, code.alias("code"), *[one[n].alias(n) for n in names])
-    bill, due = (dates.parse_display(F.col(n), books_from, limit) for n, limit in (("bill", as_of), ("due", F.add_months(books_from, 1199))))
-    closing = exact.parse(F.col("closing"), exact.MONEY)
-    days = F.when(F.col("overdue").rlike("^[0-9]{1,9}$"), F.col("overdue")).try_cast("long")
+    # Columns of their own: what is used several times is worked out once a row.
+    rows = rows.withColumns({
+        **{f"{n}_day": dates.parse_display(F.col(n), books_from, limit) for n, limit in (("bill", as_of), ("due", F.add_months(books_from, 1199)))},
+        "money": exact.parse(F.col("closing"), exact.MONEY), "days": F.when(F.col("overdue").rlike("^[0-9]{1,9}$"), F.col("overdue")).try_cast("long"),
+    })
+    bill, due, closing, days = (F.col(c) for c in ("bill_day", "due_day", "money", "days"))
     code = F.coalesce(
         F.col("code"), F.when(F.col("party") == "", "bills_fixed_empty_billparty"), F.when(bill.isNull() | due.isNull(), "bills_date_invalid"),
         F.when(closing.isNull(), "bills_amount_invalid"), F.when((F.col("overdue") != "") & days.isNull(), "bills_overdue_invalid"),
     )
-    good = lambda c: F.when(code.isNull(), c)
-    return rows.select(*kept, good(F.col("party")).alias("party"), good(F.col("reference")).alias("reference"), good(bill).alias("bill_date"), good(due).alias("due_date"), good(closing).alias("closing"), good(days).alias("overdue"), code.alias("reason"))
+    rows = rows.withColumn("reason", code)
+    good = lambda c: F.when(F.col("reason").isNull(), c)
+    return rows.select(*kept, good(F.col("party")).alias("party"), good(F.col("reference")).alias("reference"), good(bill).alias("bill_date"), good(due).alias("due_date"), good(closing).alias("closing"), good(days).alias("overdue"), "reason")
 
 
 def _collection(captures: DataFrame, xml: str, element: str, fields: str, kept: tuple[str, ...]) -> DataFrame:
