@@ -145,8 +145,8 @@ def statement_files(v):
     """A CSV file for each party, written and read back whole."""
     rows = bills.open_bill_rows(v.bill, v.as_of)
     folder = shared.folder(v.spark, "statements")
-    reports.write_statements(reports.statement_lines(rows, "Statement"), folder)
-    back = v.spark.read.schema("value string, file string").text(folder, wholetext=True)
+    written = shared.staged(reports.write_statements(reports.statement_lines(rows, "Statement"), folder), "statements-written")
+    back = reports.read_statements(written)
     text = F.regexp_replace("value", "\n$", "")
     return back.select("file", F.size(F.split(text, "\n")).cast("long").alias("lines"), F.sha2(text, 256).alias("digest"))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +44,46 @@ def statement_names(parties: DataFrame) -> DataFrame:
     return names.select("party", F.when(k == 1, F.col("_slug")).otherwise(F.concat_ws("-", "_slug", k.cast("string"))).alias("file"))
 
 
-def write_statements(lines: DataFrame, folder: str) -> None:
-    """A folder ``file=<name>`` with one text file for each party, its lines in order; parties are dealt by their own key."""
-    lines.repartition("file").sortWithinPartitions("file", "n").select("file", "line").write.partitionBy("file").text(folder)
+def write_statements(lines: DataFrame, folder: str) -> DataFrame:
+    """``(file, path)`` of one text file for each party, its lines in order; parties are dealt by their own key. Writes when it is read; stage it.
+
+    Tasks write the files below a folder of their attempt and tell where they are, so no driver renames or lists them,
+    and a task that runs again disturbs no file that is read.
+    """
+
+    def run(batches):
+        store, path = fs.FileSystem.from_uri(folder)
+        attempt = uuid.uuid4().hex
+        now, out = None, None
+        for b in batches:
+            done = []
+            for file, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if file != now:
+                    if out is not None:
+                        out.close()
+                    else:
+                        store.create_dir(f"{path}/{attempt}", recursive=True)
+                    now, out = file, store.open_output_stream(f"{path}/{attempt}/{file}.csv")
+                    done.append(file)
+                out.write(f"{line}\n".encode())
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()), pa.array([f"{folder}/{attempt}/{f}.csv" for f in done], pa.string())], names=["file", "path"])
+        if out is not None:
+            out.close()
+
+    return lines.repartition("file").sortWithinPartitions("file", "n").select("file", "line").mapInArrow(run, "file string, path string")
+
+
+def read_statements(paths: DataFrame) -> DataFrame:
+    """``(file, value)``: the whole text of each file ``(file, path)``."""
+
+    def run(batches):
+        for b in batches:
+            for file, uri in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                store, path = fs.FileSystem.from_uri(uri)
+                with store.open_input_file(path) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([f.read().decode()])], names=["file", "value"])
+
+    return paths.select("file", "path").mapInArrow(run, "file string, value string")
 
 
 def manifest(bills: DataFrame, lines: DataFrame) -> DataFrame:
