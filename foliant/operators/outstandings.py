@@ -71,7 +71,7 @@ def ancestry(groups: DataFrame, most: int = 32) -> DataFrame:
     A parent that no group has, and a walk of more than ``most`` steps (a
     cycle), yield a row with a null ancestor, whose reserved_name tells which:
     ``UNRESOLVED`` or ``CYCLE``. A small table of groups (the usual case, checked) is
-    sent to the tasks, which walk it; of a larger one each level is written before the next is joined.
+    sent to the tasks, which walk it; of a larger one each level is written before the next is joined, by merging: none is sent.
     """
     keyed = groups.select(group_name(F.col("name")).alias("g"), group_name(F.col("parent")).alias("p"), "reserved_name", reserved_root(F.col("parent")).alias("top"))
     keyed = staged(keyed.withColumn("p", F.when(~F.col("top") & (F.col("p") != ""), F.col("p"))), "groups")
@@ -82,7 +82,7 @@ def ancestry(groups: DataFrame, most: int = 32) -> DataFrame:
     found = level
     for d in range(1, most + 1):
         label = F.when(F.col("_g").isNull(), UNRESOLVED).otherwise(F.col("_r"))
-        level = staged(level.filter("next is not null").join(up, F.col("next") == F.col("_g"), "left").select("name", F.col("_g").alias("ancestor"), F.lit(d).cast("long").alias("depth"), label.alias("reserved_name"), F.col("_p").alias("next")), "ancestors")
+        level = staged(level.filter("next is not null").join(up.hint("merge"), F.col("next") == F.col("_g"), "left").select("name", F.col("_g").alias("ancestor"), F.lit(d).cast("long").alias("depth"), label.alias("reserved_name"), F.col("_p").alias("next")), "ancestors")
         found = found.unionByName(level)
         if level.filter("next is not null").isEmpty():
             return found.drop("next")
