@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..operators import reads as op
 from ..operators import windows
+from ..sources import shared
 from .registry import query
 
 
@@ -15,9 +16,12 @@ from .registry import query
 def entry_ordinals(v):
     """Entries numbered within their voucher, and the voucher's declared count against them."""
     k = F.col("l_orderkey")
-    w = Window.partitionBy("l_orderkey")
-    rows = v.table("lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w.orderBy("l_linenumber", "l_partkey")).alias("ord"))
-    per = rows.groupBy(k.alias("voucher")).agg(F.count("*").cast("long").alias("entries"), (F.count_distinct("l_linenumber") == F.count("*")).alias("unique_positions"), F.max("ord").cast("long").alias("last_ordinal"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    lines = shared.dealt(v.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey")
+    place = F.col("l_linenumber")
+    again = place.isNull() | F.coalesce(F.lag("l_linenumber").over(w) == place, F.lit(False))
+    rows = lines.select("l_orderkey", F.row_number().over(w).alias("ord"), again.alias("again"))
+    per = rows.groupBy(k.alias("voucher")).agg(F.count("*").cast("long").alias("entries"), (~F.bool_or("again")).alias("unique_positions"), F.max("ord").cast("long").alias("last_ordinal"))
     declared = (F.col("entries") + F.when(F.col("voucher") % 29 == 0, 1).otherwise(0)).cast("long")
     return per.withColumn("declared", declared).withColumn("state", F.when(F.col("entries") == F.col("declared"), "ok").otherwise("entry_count_mismatch"))
 

@@ -26,6 +26,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a partition that ``dealt`` makes, about.
+PART_ROWS = 500_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """``df`` in partitions by its keys, as many as its rows (counted, unless given) ask for: what a task holds doesn't grow with the table."""
+    n = df.count() if rows is None else rows
+    return df.repartition(max(n // PART_ROWS + 1, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def small(df: DataFrame, rows: int = 100_000) -> bool:
     """Whether ``df`` has at most so many rows; counts no further."""
     return df.limit(rows + 1).count() <= rows
