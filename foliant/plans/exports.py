@@ -79,10 +79,12 @@ n as (select *, row_number() over (partition by file order by spot) as ordinal f
 select file, ordinal, reference, spot + 2 * (ordinal - 1) as repaired_at, spot as original_at, true as same from n""")
 def repaired_offsets(v):
     """Where each illegal reference stood before and stands after the repair; the bytes there are the reference and its marker."""
+    # A capture is rendered and repaired once, not for each of its references.
     rows = _captures(v).filter((F.col("file") % 10 < 9))
+    rows = shared.staged(rows.withColumn("fixed", captures.repair(F.col("xml"))), "captures")
     found = elements.marker_offsets(rows, "file").withColumnRenamed("file", "_f")
     joined = found.join(rows, F.col("_f") == F.col("file"))
     raw = lambda text, at, like: F.substring(text.cast("binary"), at + 1, F.octet_length(like)).cast("string") == like
     marker = captures.repair(F.col("reference"))
-    same = raw(F.col("xml"), F.col("original_at").cast("int"), F.col("reference")) & raw(captures.repair(F.col("xml")), F.col("repaired_at").cast("int"), marker)
+    same = raw(F.col("xml"), F.col("original_at").cast("int"), F.col("reference")) & raw(F.col("fixed"), F.col("repaired_at").cast("int"), marker)
     return joined.select("file", "ordinal", "reference", "repaired_at", "original_at", same.alias("same"))
