@@ -29,9 +29,9 @@ def _row():
 
 def _captures(v):
     """``(file, xml)``: a capture for each run of orders; some have a wrong count, schema or status, an element, attribute or text that isn't allowed, or are cut."""
-    rows = v.table("orders").withColumn("k", F.col("o_orderkey"))
     file = F.call_function("div", F.col("k"), F.lit(SIZE))
-    per = rows.groupBy(file.alias("file")).agg(F.array_sort(F.collect_list(F.struct("k", _row().alias("row")))).alias("l"))
+    rows = shared.dealt(v.table("orders").withColumn("k", F.col("o_orderkey")).withColumn("file", file), "file")
+    per = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("k", _row().alias("row")))).alias("l"))
     f = F.when(F.col("file") % 10 == 9, F.call_function("div", F.col("file"), F.lit(10)) % 8).otherwise(-1)
     n = F.size("l")
     twice = F.when(f == 4, F.get("l", 0)["row"]).otherwise("")

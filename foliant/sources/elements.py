@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .captures import ILLEGAL, MOST_BYTES
+from .shared import dealt
 
 #: Elements below one another, and elements of a capture, at most.
 MOST_DEPTH, MOST_ELEMENTS = 64, 1_000_000
@@ -230,7 +231,8 @@ def scoped_exports(rows: DataFrame, key: str, schema: str, kind: str, prefix: Co
         F.count_if(is_row).cast("long").alias("records"), F.count_if(is_row & known).cast("long").alias("identified"),
         F.count_if(is_row & F.coalesce(own, F.lit(False))).cast("long").alias("matching"),
     )
-    twice = identities(rows.filter(is_row), key, kind).groupBy(F.col(key).alias("_k")).agg(F.count("*").cast("long").alias("duplicates"))
+    # Dealt by capture: a task holds the identities of some captures, however many there are.
+    twice = identities(dealt(rows.filter(is_row), key), key, kind).groupBy(F.col(key).alias("_k")).agg(F.count("*").cast("long").alias("duplicates"))
     per = per.join(twice, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn("duplicates", F.coalesce("duplicates", F.lit(0)))
     reason = (
         F.when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("status").isNull(), "status_missing").when(F.col("status") != "1", "source_reported_failure")
