@@ -24,9 +24,12 @@ def states(attempts: DataFrame, threshold: int = THRESHOLD, cooldown_us: int = C
 
     def run(key, chunks, state):
         failures, last = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(chunks)).sort_values(["at_us", "attempt_id"], kind="stable")
+        parts = list(chunks)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        if len(rows) > 1:  # most endpoints have one attempt in a micro-batch, for which a sort would be most of the work
+            rows = rows.sort_values(["at_us", "attempt_id"], kind="stable")
         phases, counts = [], []
-        for at, outcome in zip(rows["at_us"], rows["outcome"], strict=True):
+        for at, outcome in zip(rows["at_us"].array, rows["outcome"].array, strict=True):
             tripped = failures >= threshold
             if tripped and at < last + cooldown_us:
                 phases.append("open")
