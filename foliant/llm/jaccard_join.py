@@ -16,6 +16,8 @@ blocks, so that no pair of blocks is left out), which counts intersections by
 products of 0/1 matrices in stripes of rows, so memory doesn't follow the square
 of the sets, and hands on a spanning forest of the links, never the pairs. Before signatures are shuffled, each batch keeps one member a signature
 and turns the others into edges to it, so a common signature doesn't gather in one task.
+Near copies share hundreds of signatures, which lie in as many buckets as there are, and each of these would tell of them. So the least few
+signatures of each set are joined first; sets that share one stand for one set, by its label, when all signatures are dealt.
 
 Null and word-less texts have an empty set and link with nothing. A row with a
 null id takes part and gets its group's smallest id, null if there is none. Ties
@@ -43,6 +45,8 @@ from .common import fresh, maybe_broadcast, mix, skew_join, small_batches, stage
 N, PERCENT = 4, 85
 #: Text that one bucket of signatures stands for, signatures a task holds before it hands them on, elements and sets of a block of a family, columns and cells of a matrix.
 BUCKET_CHARS, HELD, GROUP_ELEMENTS, GROUP_SETS, COLUMNS, CELLS = 4_000_000, 400_000, 400_000, 16_384, 4096, 1 << 21
+#: Least signatures of a set that are joined before all are.
+FEW = 16
 #: Elements that a signature should cover on average.
 LEAST_COVER = 3.5
 #: An element is common if several sets of so many batches have it; of these, the most frequent are set aside in
@@ -184,6 +188,22 @@ def star(sig: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.unique(np.stack([centre[other], sid[other]]), axis=1)
 
 
+def forest(edges: np.ndarray) -> np.ndarray:
+    """A spanning forest of the edges (two rows): from each node but the least of its component to that."""
+    nodes, at = np.unique(edges, return_inverse=True)
+    a, b = at.reshape(2, -1)
+    label, before = np.arange(len(nodes)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        # The labels' own labels as well, so that long chains take few rounds.
+        for x in (a, b, before[a], before[b]):
+            np.minimum.at(label, x, least)
+        label = label[label]
+    moved = label != np.arange(len(nodes))
+    return np.stack([nodes[label[moved]], nodes[moved]])
+
+
 def _base(batches, n):
     """A row for each document; and, with ``seen`` set, for each element that several distinct sets of a batch have."""
     for b in batches:
@@ -204,9 +224,21 @@ def _base(batches, n):
         )
 
 
+def _few(batches, n, percent, common):
+    """The FEW least signatures of each distinct set of a batch."""
+    for b in batches:
+        distinct = {digest(s): s for s in shingle_sets(b.column(1).to_pylist(), n)}
+        sids = np.fromiter(distinct, np.int64, len(distinct))
+        sig, of = signatures(list(distinct.values()), percent, common.value)
+        order = np.lexsort((sig, of))
+        sig, of = sig[order], of[order]
+        least = np.arange(len(of)) - np.searchsorted(of, of) < FEW
+        yield pa.RecordBatch.from_arrays([pa.array(sig[least].view(np.int64)), pa.array(sids[of[least]])], names=["sig", "sid"])
+
+
 def _blobs(batches, n, percent, buckets, common):
-    """Signature members by bucket, one a signature; the others that the task held at the time as edges to it."""
-    held, size, turn = [], 0, 0
+    """Signature members by bucket, one a signature; the others that the task held at the time as edges to it. A set with a label goes by that, and has an edge to it."""
+    held, labelled, size, turn = [], [np.zeros((2, 0), np.int64)], 0, 0
 
     def flush():
         sig, sid = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
@@ -214,6 +246,8 @@ def _blobs(batches, n, percent, buckets, common):
         order = np.argsort(sig, kind="stable")
         sig, sid = sig[order], sid[order]
         first, edges = star(sig, sid)
+        edges = forest(np.concatenate([edges, *labelled], axis=1))
+        del labelled[1:]
         sig, sid = sig[first], sid[first]
         bucket = (sig >> np.uint64(33)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
@@ -225,10 +259,16 @@ def _blobs(batches, n, percent, buckets, common):
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "known", "members"])
 
     for b in batches:
-        distinct = {digest(s): s for s in shingle_sets(b.column(1).to_pylist(), n)}
+        distinct, label = {}, {}
+        for s, known in zip(shingle_sets(b.column(1).to_pylist(), n), b.column(3).to_pylist(), strict=True):
+            sid = digest(s)
+            distinct[sid] = s
+            if known is not None:
+                label[sid] = known
         sids = np.fromiter(distinct, np.int64, len(distinct))
         sig, of = signatures(list(distinct.values()), percent, common.value)
-        held.append((sig, sids[of]))
+        labelled.append(np.array(list(label.items()), np.int64).reshape(-1, 2).T)
+        held.append((sig, np.array([label.get(i, i) for i in distinct], np.int64)[of]))
         size += len(sig)
         if size >= HELD:
             yield flush()
@@ -238,7 +278,7 @@ def _blobs(batches, n, percent, buckets, common):
 
 
 def _edges(batches):
-    """The distinct edges of each bucket (rows come sorted by bucket): those known, and the star of each signature."""
+    """A spanning forest of each bucket's edges (rows come sorted by bucket): those known, and the star of each signature."""
     bucket, held, known = None, [], []
 
     def close():
@@ -246,7 +286,7 @@ def _edges(batches):
         held.clear()
         order = np.argsort(sig, kind="stable")
         _, edges = star(sig[order], sid[order])
-        edges = np.unique(np.concatenate([*known, edges], axis=1), axis=1)
+        edges = forest(np.concatenate([*known, edges], axis=1))
         known.clear()
         for a in range(0, edges.shape[1], 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(edges[0, a : a + 100_000]), pa.array(edges[1, a : a + 100_000])], names=["a", "b"])
@@ -384,7 +424,17 @@ def _rooted(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
 
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(chars / BUCKET_CHARS))
-    blobs = docs.mapInArrow(lambda it: _blobs(it, n, percent, buckets, common), "bucket int, known boolean, members binary")
+    few = stage(spark, docs.mapInArrow(lambda it: _few(it, n, percent, common), "sig long, sid long").distinct(), "few")
+    lowest = few.groupBy("sig").agg(F.min("sid").alias("least"), F.count("*").alias("_n")).filter("_n > 1")
+    near = skew_join(few, lowest, "sig", "_n", few.count()).groupBy("sid").agg(F.min("least").alias("label")).filter("label <> sid")
+    near = stage(spark, near, "near")
+    further = maybe_broadcast(near.join(near.select(F.col("label").alias("sid")).distinct(), "sid", "left_semi").select(F.col("sid").alias("_sid"), F.col("label").alias("_label")))
+    near = near.join(further, F.col("label") == F.col("_sid"), "left").select("sid", F.coalesce("_label", "label").alias("label"))
+    # By hash: a label of another text would merge two families, which compares more sets and links no others.
+    label = base.select("sid", "hash").distinct().join(near, "sid").groupBy("hash").agg(F.min("label").alias("label"))
+    label = stage(spark, label, "labels")
+    blobs = docs.join(maybe_broadcast(label, 500_000), "hash", "left").select("doc_id", "text", "hash", "label")
+    blobs = blobs.mapInArrow(lambda it: _blobs(it, n, percent, buckets, common), "bucket int, known boolean, members binary")
     edges = blobs.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(_edges, "a long, b long")
     labels = components(_linked(spark, docs, base, components(edges), n, percent))
     # A row for each distinct set; then for each class; both go back where they came from, common ones by broadcast.

@@ -167,6 +167,35 @@ def test_similar_sets_share_a_signature(n, percent):
                 assert own[i] & own[j]
 
 
+def test_jaccard_candidates_do_not_grow_with_the_buckets(spark, documents, monkeypatch):
+    rnd = random.Random(31)
+    texts = []
+    for _ in range(20):
+        words = passage(rnd, 200).split()
+        texts += [" ".join(words[:at] + ["changed"] + words[at + 1 :]) for at in (20, 100, 180)]
+    monkeypatch.setattr(jaccard_join, "BUCKET_CHARS", 1000)
+    seen = []
+    components = jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda links: (seen.append(links.count()), components(links))[1])
+    found = jaccard_join.classes(documents(texts).repartition(30), 5, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: i - i % 3 for i in range(60)}
+    # Each bucket told of each pair again: thousands.
+    assert len(seen) == 2 and seen[0] <= 4 * len(texts)
+
+
+def test_forest_spans_each_component_once():
+    rnd = random.Random(32)
+    for n in (0, 1, 5, 300):
+        pairs = [(rnd.randint(-60, 60), rnd.randint(-60, 60)) for _ in range(n)] + [(1000 + i, 1001 + i) for i in range(n)]
+        found = jaccard_join.forest(np.array(pairs, np.int64).reshape(-1, 2).T)
+        nodes = {x for p in pairs for x in p}
+        least = {x: x for x in nodes}
+        for _ in nodes:
+            for a, b in pairs:
+                least[a] = least[b] = min(least[a], least[b])
+        assert sorted(zip(*found.tolist(), strict=True)) == sorted((r, x) for x, r in least.items() if r != x)
+
+
 @pytest.mark.parametrize("elements", [2_000_000, 500])
 def test_jaccard_classes_of_near_copies(spark, documents, monkeypatch, elements):
     monkeypatch.setattr(jaccard_join, "GROUP_ELEMENTS", elements)  # few: families are dealt into pairs of blocks
