@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import codecs
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -13,6 +13,8 @@ from ..functions import exact, ident
 
 #: Largest capture in bytes.
 MOST_BYTES = 32 * 1024 * 1024
+#: Captures, and their bytes, that one Arrow batch hands to Python: what a worker holds doesn't grow with the table.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 # Byte order marks.
 MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
@@ -31,21 +33,29 @@ LEDGER = "struct<_NAME: string, PARENT: string, ISBILLWISEON: string, CLOSINGBAL
 ENVELOPE = f"BODY struct<DATA: struct<COLLECTION: struct<LEDGER: array<{LEDGER}>>>>, _corrupt_record string"
 
 
-@F.pandas_udf(StructType().add("text", StringType()).add("encoding", StringType()).add("reason", StringType()))
-def _decoded(raw: pd.Series, declared: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(StructType().add("text", StringType()).add("encoding", StringType()).add("reason", StringType()))
+def _decoded(raw: pa.Array, declared: pa.Array) -> pa.Array:
     def one(data, charset):
         mark, found = next(((m, e) for m, e in MARKS if data.startswith(m)), (b"", None))
         if charset and found and charset != found:
             return None, found, "conflicting_charset"
         encoding = found or charset or "utf-8"
         try:
-            return data[len(mark) :].decode(encoding), encoding, None
+            return str(memoryview(data)[len(mark) :], encoding), encoding, None
         except UnicodeDecodeError:
             return None, encoding, "malformed"
         except LookupError:
             return None, encoding, "unknown_charset"
 
-    return pd.DataFrame([(None, None, None) if d is None else one(bytes(d), c) for d, c in zip(raw, declared)], columns=["text", "encoding", "reason"])
+    rows = [(None, None, None) if not d.is_valid else one(d.as_py(), c.as_py()) for d, c in zip(raw, declared, strict=True)]
+    return pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)] or [pa.array([], pa.string())] * 3, ["text", "encoding", "reason"])
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows and bytes of an Arrow batch; the settings stay with the session, as its later jobs read them."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def decode(captures: DataFrame, raw: str = "raw", declared: Column | None = None, most: int = MOST_BYTES) -> DataFrame:
@@ -54,6 +64,7 @@ def decode(captures: DataFrame, raw: str = "raw", declared: Column | None = None
     text is null where reason says why: missing, too_large, malformed,
     conflicting_charset or unknown_charset. Too large captures never reach Python.
     """
+    small_batches(captures.sparkSession)
     size = F.octet_length(raw)
     charset = F.lower(declared) if declared is not None else F.lit(None).cast("string")
     head = F.hex(F.substring(raw, 1, 3))

@@ -2,6 +2,7 @@
 
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from foliant.sources import captures
@@ -24,6 +25,24 @@ def test_decoding_by_mark_charset_and_limit(spark):
     assert found == {c[0]: c[3] for c in cases}
 
 
+def test_decoding_hands_python_small_batches(spark, monkeypatch):
+    def probe(raw: pa.Array, declared: pa.Array) -> pa.Array:
+        size = pa.array([f"{len(raw)} {raw.nbytes}"] * len(raw))
+        return pa.StructArray.from_arrays([size, size, size], ["text", "encoding", "reason"])
+
+    monkeypatch.setattr(captures, "_decoded", F.arrow_udf(probe, "struct<text: string, encoding: string, reason: string>"))
+    names = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before = [spark.conf.get(n) for n in names]
+    for n, default in zip(names, ("10000", "64m"), strict=True):
+        spark.conf.set(n, default)
+    wide = F.concat(F.unhex(F.lit("FFFE")), F.encode(F.repeat(F.lit("x"), 20_000), "UTF-16LE"))
+    found = captures.decode(spark.range(0, 3000, 1, 1).select("id", wide.alias("raw"))).select("text").distinct().collect()
+    for n, value in zip(names, before, strict=True):
+        spark.conf.set(n, value)
+    for rows, size in (map(int, r["text"].split()) for r in found):
+        assert rows <= 512 and size < 8 << 20
+
+
 def test_repair_keeps_different_references_apart(spark):
     cases = {
         "&#1;&#4;": "�#1;�#4;",
