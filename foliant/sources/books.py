@@ -68,7 +68,9 @@ def _collection(captures: DataFrame, xml: str, element: str, fields: str, kept:
     schema = f"HEADER struct<STATUS: string>, BODY struct<DATA: struct<COLLECTION: struct<{element}: array<{row}>>>>, _corrupt_record string"
     options = {"rowTag": "ENVELOPE", "columnNameOfCorruptRecord": "_corrupt_record", "ignoreSurroundingSpaces": "false"}
     text = F.col(xml)
-    parsed = captures.select(*kept, text.isNull().alias("none"), text.rlike("(?i)<COLLECTION[\\s/>]").alias("has"), F.from_xml(repair(text), schema, options).alias("x"))
+    # What is exploded is worked out once; what is selected would be again in each filter that is pushed below it.
+    once = F.struct(text.isNull().alias("none"), text.rlike("(?i)<COLLECTION[\\s/>]").alias("has"), F.from_xml(repair(text), schema, options).alias("x"))
+    parsed = captures.select(*kept, F.explode(F.array(once)).alias("p")).select(*kept, "p.*")
     listed = F.col(f"x.BODY.DATA.COLLECTION.{element}")
     failed = (
         F.when(F.col("none"), "missing").when(F.col("x").isNull() | F.col("x._corrupt_record").isNotNull(), "malformed_xml").when(F.trim("x.HEADER.STATUS") != "1", "source_reported_failure")

@@ -38,6 +38,14 @@ def test_strict_vouchers_walk_a_text_once(spark):
     assert text.count("schemaOfVariant") <= 40 and text.count("split(") == 1
 
 
+@pytest.mark.parametrize("name", ["voucher_entries", "witness_rows", "group_rows"])
+def test_collections_are_parsed_once(spark, name):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "2000")
+    text = plan(QUERIES[name](spark, SMALL))
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert text.count("from_xml") == 1
+
+
 def test_captures_are_repaired_once_not_for_each_reference(spark):
     text = plan(QUERIES["repaired_offsets"](spark, SMALL))
     assert not re.search(r"regexp_replace\(xml", text) and not re.search(r"regexp_replace\(concat", text)
