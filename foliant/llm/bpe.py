@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gather, small_batches
+from .common import gather, small_batches, tidy
 
 #: The pattern by which byte-level BPE splits text before merging (fixed value).
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Characters handled at once, distinct pre-tokens (and characters of these) remembered by a worker.
+#: Characters handled at once, distinct chunks of text (and characters of these) remembered by a task.
 SEGMENT_CHARS, TABLE_WORDS, TABLE_CHARS = 1_000_000, 250_000, 5_000_000
 #: Characters from which a word is merged by itself.
 LONG_WORD = 200
@@ -270,6 +270,8 @@ class Codec:
             counts.append(len(got))
             pieces += got
         ids, lengths = self.of_piece(pieces)
+        # Most chunks are a piece with or without a mark, so both tables would hold nearly the same words.
+        self.of_piece.forget()
         bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         return ids, np.diff(bounds)
 
@@ -356,6 +358,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
 
+    @tidy()
     def run(batches):
         bpe = codec(vocabulary)
         for b in batches:
@@ -370,6 +373,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             if decoded:
                 columns.append(pa.array([spell(bpe, flat[a:z]) for a, z in zip(offsets[:-1], offsets[1:], strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, out, *([decoded] if decoded else [])])
+        bpe.of_chunk.forget()
 
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(run, f"`{id_col}` {kind}, `{out}` array<int>" + (f", `{decoded}` string" if decoded else ""))
@@ -381,6 +385,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out: str =
         raise ValueError(f"the rows have a column {out} already")
     small_batches(encoded.sparkSession)
 
+    @tidy()
     def run(batches):
         bpe = codec(vocabulary)
         for b in batches:

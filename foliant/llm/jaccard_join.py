@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, maybe_broadcast, mix, skew_join, small_batches, stage
+from .common import fresh, maybe_broadcast, mix, skew_join, small_batches, stage, tidy
 
 #: Words a shingle has, and the least similarity in percent.
 N, PERCENT = 4, 85
@@ -69,12 +69,12 @@ DIGESTS = WordDigests()
 
 def shingle_sets(texts: list[str | None], n: int = N) -> list[np.ndarray]:
     """Each text's sorted distinct shingles as 64-bit digests."""
-    tokens = [t.encode().lower().split() if t else [] for t in texts]
-    counts = np.array([len(t) for t in tokens], np.int64)
-    flat = np.fromiter((DIGESTS[w] for t in tokens for w in t), np.uint64, int(counts.sum()))
-    out, at = [], 0
-    for c in counts.tolist():
-        w, at = flat[at : at + c], at + c
+    out = []
+    for t in texts:
+        # Text by text, so that the words of one are held as strings, not those of a batch.
+        words = t.encode().lower().split() if t else []
+        c = len(words)
+        w = np.fromiter(map(DIGESTS.__getitem__, words), np.uint64, c)
         k = min(n, c)
         h = np.full(c - k + 1 if c else 0, k, np.uint64)
         for i in range(k):
@@ -204,6 +204,7 @@ def forest(edges: np.ndarray) -> np.ndarray:
     return np.stack([nodes[label[moved]], nodes[moved]])
 
 
+@tidy(DIGESTS)
 def _base(batches, n):
     """A row for each document; and, with ``seen`` set, for each element that several distinct sets of a batch have."""
     for b in batches:
@@ -224,6 +225,7 @@ def _base(batches, n):
         )
 
 
+@tidy(DIGESTS)
 def _few(batches, n, percent, common):
     """The FEW least signatures of each distinct set of a batch."""
     for b in batches:
@@ -236,6 +238,7 @@ def _few(batches, n, percent, common):
         yield pa.RecordBatch.from_arrays([pa.array(sig[least].view(np.int64)), pa.array(sids[of[least]])], names=["sig", "sid"])
 
 
+@tidy(DIGESTS)
 def _blobs(batches, n, percent, buckets, common):
     """Signature members by bucket, one a signature; the others that the task held at the time as edges to it. A set with a label goes by that, and has an edge to it."""
     held, labelled, size, turn = [], [np.zeros((2, 0), np.int64)], 0, 0
@@ -277,6 +280,7 @@ def _blobs(batches, n, percent, buckets, common):
         yield flush()
 
 
+@tidy()
 def _edges(batches):
     """A spanning forest of each bucket's edges (rows come sorted by bucket): those known, and the star of each signature."""
     bucket, held, known = None, [], []
@@ -301,6 +305,7 @@ def _edges(batches):
         yield from close()
 
 
+@tidy(DIGESTS)
 def _sets(batches, n):
     for b in batches:
         sets = shingle_sets(b.column(1).to_pylist(), n)
@@ -355,6 +360,7 @@ def common_counts(row: np.ndarray, column: np.ndarray, top: int, end: int, n: in
     return common
 
 
+@tidy()
 def _links(batches, percent):
     """Links within each group of rows (sorted by group): its sets are held together, no others."""
     group, sids, sets = None, [], []

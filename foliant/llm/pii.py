@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_at, small_batches
+from .common import column_at, small_batches, tidy
 
 #: Kinds in their order: the base ones first.
 KINDS = ("email", "ip", "card", "phone", "secret", "iban")
@@ -351,6 +351,7 @@ def spans(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model or train())
 
+    @tidy()
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(find(b.column(1).to_pylist(), shared.value), pa.list_(SPAN))], names=["doc_id", "spans"])
@@ -375,6 +376,7 @@ def redact(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     shared = spark.sparkContext.broadcast(model or train())
     at, n_at = column_at(docs, "text"), column_at(docs, "n_chars") if "n_chars" in {c.lower() for c in docs.columns} else None
 
+    @tidy()
     def run(batches):
         for b in batches:
             texts = b.column(at).to_pylist()

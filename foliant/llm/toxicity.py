@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_at, let, maybe_broadcast, mix, small_batches, stage
+from .common import column_at, let, maybe_broadcast, mix, small_batches, stage, tidy
 
 # Plain insults that seed the lexicon.
 SEED_TERMS = (
@@ -341,6 +341,7 @@ def learn(rows: DataFrame) -> Model:
 
     shared = spark.sparkContext.broadcast(lexicon)
 
+    @tidy()
     def run(batches):
         for b in batches:
             texts = b.column(0).to_pylist()
@@ -375,6 +376,7 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = column_at(docs, "text")
 
+    @tidy()
     def run(batches):
         m = shared.value
         for b in batches:
