@@ -33,8 +33,8 @@ sums are exact sums of these.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +50,8 @@ from .common import mix, small_batches, stage
 SIDE, HIDDEN = 2, 16
 #: Tokens in a step, learning rate, tokens of a shard, shards whose networks are averaged at most (beyond, shards are larger).
 STEP, RATE, SHARD_TOKENS, MOST_SHARDS = 16_384, 0.05, 1_000_000, 4096
-#: Distinct words that a task counts or remembers before it lets go of them.
-COUNTED, MEMO = 200_000, 250_000
+#: Distinct words that a task counts before it lets go of them; words whose byte pairs are counted at once.
+COUNTED, PAIRED = 200_000, 50_000
 #: Weight of the network against the counts; tokens a task hands on at once, occurrences in them that make a context frequent.
 PRIOR, FLUSH_TOKENS, FLUSH_DOCS, FREQUENT = 1.0, 1_000_000, 60_000, 32
 #: Tokens a bucket of contexts stands for; bytes of text that a bucket of words stands for, and word buckets at most (beyond, they are larger).
@@ -62,21 +62,18 @@ SEED, FIXED, FIXED_NET = 11, float(1 << 16), float(1 << 20)
 BEGIN, END = np.uint64(0x5BF03635), np.uint64(0x1F83D9AB)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
-
-
-def word_table(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words of a column of texts, the number of each token's word, and how many tokens each text has; Python touches only the distinct ones."""
+def word_table(texts: pa.Array) -> tuple[list[bytes], bytes, np.ndarray, np.ndarray]:
+    """The distinct words of a column of texts, these joined by line feeds, the number of each token's word, and how many tokens each text has."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     coded = split.flatten().dictionary_encode()
     index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     # No word holds a line feed.
-    words = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar("\n", pa.large_string()))[0].as_py().encode().split(b"\n") if len(coded.dictionary) else []
+    line = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar("\n", pa.large_string()))[0].as_buffer().to_pybytes()
+    words = line.split(b"\n") if len(coded.dictionary) else []
     real = index != words.index(b"") if b"" in words else np.ones(len(index), bool)  # what stands beside spaces at an end
     before = np.concatenate([[0], np.cumsum(real)])
     offsets = split.offsets.to_numpy()
-    return words, index[real], before[offsets[1:]] - before[offsets[:-1]]
+    return words, line, index[real], before[offsets[1:]] - before[offsets[:-1]]
 
 
 def side_for(total: int) -> int:
@@ -88,55 +85,61 @@ def side_for(total: int) -> int:
 
 
 def _counted(batches, buckets):
-    """The task's words with their counts, packed by bucket of the word, and its byte pairs."""
-    seen: Counter = Counter()
-    pairs, turn = np.zeros(1 << 16, np.int64), TaskContext.get().partitionId()
+    """The task's words with their counts, packed by bucket of the word. Python touches a batch's distinct words only."""
+    seen: dict[bytes, int] = {}
 
     def flush():
         words = list(seen)
-        bucket = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.int64, len(words)) % buckets
+        bucket = np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words)) % buckets
         order = np.argsort(bucket, kind="stable")
         counts = np.fromiter(seen.values(), np.int64, len(words))[order]
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = [(i, b"\n".join([words[k] for k in order[a:z]]), whole(counts[a:z])) for i, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
+        ordered = [words[k] for k in order.tolist()]
+        rows = [(i, b"\n".join(ordered[a:z]), whole(counts[a:z])) for i, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
         seen.clear()
-        return rows
-
-    def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "words", "counts"])
 
     for b in batches:
-        for t in b.column(0).to_pylist():
-            if own := tokens(t):
-                seen.update(own)
-                chars = joined(own)[0].astype(np.int64)
-                pairs += np.bincount(chars[:-1] << 8 | chars[1:], minlength=1 << 16)
+        words, _, index, _ = word_table(b.column(0))
+        for w, n in zip(words, np.bincount(index, minlength=len(words)).tolist(), strict=True):
+            if n:
+                seen[w] = seen.get(w, 0) + n
         if len(seen) > COUNTED:
-            yield batch(flush())
-    # Byte pairs go to one of a few buckets, so few sums of them come back.
-    yield batch([*flush(), (turn % min(buckets, 16), None, pairs.tobytes())])
+            yield flush()
+    yield flush()
+
+
+def byte_pairs(words: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """How often each byte follows each, as a line feed stands before and after every word."""
+    pairs = np.zeros(1 << 16, np.int64)
+    for a in range(0, len(words), PAIRED):
+        steps, starts = chain(b"\n".join(words[a : a + PAIRED]))
+        pairs += np.bincount(steps, np.repeat(counts[a : a + PAIRED], np.diff(starts, append=len(steps))), 1 << 16).astype(np.int64)
+    return pairs
 
 
 def _merged(batches, most):
-    """Of each bucket (rows come sorted by bucket) the commonest words with their counts; then the sum of the byte pairs."""
-    bucket, seen, pairs = None, Counter(), np.zeros(1 << 16, np.int64)
+    """Of each bucket (rows come sorted by bucket) the commonest words with their counts; then the byte pairs of all words."""
+    bucket, seen, pairs = None, {}, np.zeros(1 << 16, np.int64)
 
     def close():
-        best = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most]
+        nonlocal pairs
+        words, n = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
         seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.binary()), pa.array([n for _, n in best], pa.int64())], names=["word", "n"])
+        pairs += byte_pairs(words, n)
+        # Words rarer than the last that is handed on needn't be sorted.
+        least = np.partition(n, len(n) - most)[len(n) - most] if len(n) > most else 0
+        best = sorted(((words[i], int(n[i])) for i in np.flatnonzero(n >= least)), key=lambda x: (-x[1], x[0]))[:most]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.binary()), pa.array([k for _, k in best], pa.int64())], names=["word", "n"])
 
     for b in batches:
         for i, words, counts in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
             if i != bucket and seen:
                 yield close()
             bucket = i
-            if words is None:
-                pairs += np.frombuffer(counts, np.int64)
-                continue
             split = words.split(b"\n")
             for w, n in zip(split, np.frombuffer(counts, np.int32 if len(counts) == 4 * len(split) else np.int64).tolist(), strict=True):
-                seen[w] += n
+                seen[w] = seen.get(w, 0) + n
     if seen:
         yield close()
     at = np.flatnonzero(pairs)
@@ -144,7 +147,7 @@ def _merged(batches, most):
 
 
 def learn_lexicon(docs: DataFrame) -> tuple[Lexicon, int]:
-    """The lexicon and the number of tokens, from one pass over the corpus: words and byte pairs counted by task, then by bucket.
+    """The lexicon and the number of tokens, from one pass over the corpus: words counted by task, then by bucket, and there the byte pairs of each.
 
     A bucket hands on as many of its commonest words as any vocabulary of a corpus with so many characters would know.
     """
@@ -167,10 +170,10 @@ def learn_lexicon(docs: DataFrame) -> tuple[Lexicon, int]:
     return Lexicon(words, side, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)), total
 
 
-def joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The words' bytes in a row, a line feed before, between and after (no word holds one); and each word's length with the one before it."""
-    chars = np.frombuffer(b"\n" + b"\n".join(words) + b"\n" if words else b"", np.uint8)
-    return chars, np.array([len(w) + 1 for w in words], np.int64)
+def chain(line: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of words joined by line feeds each two bytes that follow one another, from the line feed before the first to that after the last; and where each word's begin."""
+    chars = np.frombuffer(b"\n" + line + b"\n", np.uint8)
+    return chars[:-1].astype(np.int64) << 8 | chars[1:], np.flatnonzero(chars[:-1] == 10)
 
 
 @dataclass
@@ -188,41 +191,22 @@ class Lexicon:
         self.rest = np.array([i for i in range(self.side**2) if i not in used], np.int64)
 
 
-class Encoder:
-    """Words to token ids, spelling terms and hashes, remembered in flat arrays up to MEMO words."""
-
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon = lexicon
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids, self.term, self.hash = np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.uint64)
-
-    def learn(self, new: list[bytes]) -> None:
-        lx = self.lexicon
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in new), np.uint64, len(new))
-        ids = np.fromiter((lx.ids.get(w, -1) for w in new), np.int64, len(new))
-        term = np.zeros(len(new), np.float32)
-        rare = np.flatnonzero(ids < 0)
-        if len(rare):
-            ids[rare] = lx.rest[(h[rare] % np.uint64(len(lx.rest))).astype(np.int64)]
-            chars, lengths = joined([new[i] for i in rare])
-            steps = lx.spelled[chars[:-1], chars[1:]]
-            # A word's own steps: from the line feed before it to that after it.
-            term[rare] = np.add.reduceat(steps, np.cumsum(lengths) - lengths) + np.float32(np.log(len(lx.rest)))
-        self.place.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
-        self.ids, self.term, self.hash = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.term, term]), np.concatenate([self.hash, h])
-
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The place of each token's word in ``ids``, ``term`` and ``hash``, and how many tokens each text has."""
-        if len(self.place) > MEMO:
-            self.forget()
-        words, index, lengths = word_table(texts)
-        new = [w for w in words if w and w not in self.place]
-        if new:
-            self.learn(new)
-        return np.fromiter((self.place[w] if w else -1 for w in words), np.int64, len(words))[index], lengths
+def encode(lexicon: Lexicon, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' token ids and hashes, and which of them the lexicon doesn't know."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    ids = np.fromiter(map(lexicon.ids.get, words, repeat(-1)), np.int64, len(words))
+    rare = ids < 0
+    ids[rare] = lexicon.rest[(h[rare] % np.uint64(len(lexicon.rest))).astype(np.int64)]
+    return ids, h, rare
+
+
+def spelling(lexicon: Lexicon, line: bytes, rare: np.ndarray) -> np.ndarray:
+    """The spelling terms of words joined by line feeds; those that the lexicon knows have none."""
+    if not len(rare):
+        return np.zeros(0, np.float32)
+    steps, starts = chain(line)
+    term = np.add.reduceat(lexicon.spelled.ravel().take(steps), starts) + np.float32(np.log(len(lexicon.rest)))
+    return np.where(rare, term, np.float32(0))
 
 
 # The network -------------------------------------------------------------------
@@ -257,88 +241,101 @@ def unflat(values: np.ndarray, side: int) -> dict[str, np.ndarray]:
 def windows(ids: np.ndarray, lengths: np.ndarray, beyond: int) -> np.ndarray:
     """The neighbours of each token (places x tokens); beyond a document's ends stands one id of its own."""
     end = np.cumsum(lengths)
-    doc_end, doc_start = np.repeat(end, lengths), np.repeat(end - lengths, lengths)
-    at = np.arange(len(ids))
     out = np.full((2 * SIDE, len(ids)), beyond, np.int64)
     for p, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        ok = (at + d >= doc_start) & (at + d < doc_end)
-        out[p, ok] = ids[at[ok] + d]
+        if d < 0:
+            out[p, -d:] = ids[:d]
+        else:
+            out[p, :-d] = ids[d:]
+        for k in range(abs(d)):
+            out[p, ((end - lengths + k) if d < 0 else (end - 1 - k))[lengths > k]] = beyond
     return out
 
 
 def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of exp(z), each but for a factor, and their sums. One shift for all rows does as long as none of them vanishes."""
-    e = np.exp(z - z.max())
-    total = e.sum(axis=1)
+    """Columns of exp(z), each but for a factor, and their sums. One shift for all columns does as long as none of them vanishes."""
+    e = z - z.max()
+    np.exp(e, out=e)
+    total = e.sum(axis=0)
     if total.min() < 1e-30:
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        total = e.sum(axis=1)
+        e = np.exp(z - z.max(axis=0))
+        total = e.sum(axis=0)
     return e, total
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
     e, total = exponentials(z)
-    e /= total[:, None]
+    e /= total
     return e
 
 
-def log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each row's log softmax the value at one place."""
+def at_rows(z: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of each column the value in one row."""
+    return z.ravel().take(rows * z.shape[1] + np.arange(z.shape[1]))
+
+
+def log_softmax_at(z: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of each column's log softmax the value in one row."""
     e, total = exponentials(z)
-    chosen = e[np.arange(len(z)), at]
+    chosen = at_rows(e, rows)
     if chosen.min() < 1e-30:
-        z = z - z.max(axis=1, keepdims=True)
-        return z[np.arange(len(z)), at] - np.log(np.exp(z).sum(axis=1))
+        z = z - z.max(axis=0)
+        return at_rows(z, rows) - np.log(np.exp(z).sum(axis=0))
     return np.log(chosen / total)
 
 
-def hidden(net: dict, near: np.ndarray) -> np.ndarray:
-    h = net["near"][0][near[0]]
-    for p in range(1, len(near)):
-        h += net["near"][p][near[p]]
-    h += net["bias"]
-    return np.tanh(h, out=h)
+def by_class(ids: np.ndarray, side: int):
+    """An order of the tokens by class, their classes and members in that order, and each class that occurs with its slice."""
+    c = ids // side
+    order = np.argsort(c.astype(np.uint16), kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=side))]).tolist()
+    ids = ids[order]
+    c = ids // side
+    return order, c, ids - c * side, [(k, slice(ends[k], ends[k + 1])) for k in range(side) if ends[k + 1] > ends[k]]
 
 
-def by_class(c: np.ndarray, side: int):
-    """Each class that occurs with its rows."""
-    order = np.argsort(c, kind="stable")
-    ends = np.searchsorted(c[order], np.arange(side + 1))
-    for k in range(side):
-        if ends[k + 1] > ends[k]:
-            yield k, order[ends[k] : ends[k + 1]]
+def layers(net: dict, near: np.ndarray, slices: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hidden layer of tokens in their classes' order and what goes into both softmaxes, a column each token."""
+    h = net["near"][0].take(near[0], axis=0)
+    for p in range(1, len(near)):
+        h += net["near"][p].take(near[p], axis=0)
+    h += net["bias"]
+    h = np.ascontiguousarray(h.T)
+    np.tanh(h, out=h)
+    members = np.empty((len(net["class_bias"]), h.shape[1]), np.float32)
+    for k, own in slices:
+        members[:, own] = net["members"][k].T @ h[:, own]
+        members[:, own] += net["member_bias"][k][:, None]
+    return h, net["classes"].T @ h + net["class_bias"][:, None], members
 
 
 def log_probs(net: dict, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
-    side = len(net["class_bias"])
-    h = hidden(net, near)
-    c, m = np.divmod(ids, side)
-    out = log_softmax_at(h @ net["classes"] + net["class_bias"], c)
-    for k, rows in by_class(c, side):
-        out[rows] += log_softmax_at(h[rows] @ net["members"][k] + net["member_bias"][k], m[rows])
+    order, c, m, slices = by_class(ids, len(net["class_bias"]))
+    _, classes, members = layers(net, near.take(order, axis=1), slices)
+    out = np.empty(len(ids), np.float32)
+    out[order] = log_softmax_at(classes, c) + log_softmax_at(members, m)
     return out
 
 
 def step(net: dict, seen: dict, ids: np.ndarray, near: np.ndarray) -> None:
     """One Adagrad step on the mean log loss."""
     n, side = len(ids), len(net["class_bias"])
-    h = hidden(net, near)
-    dc = softmax(h @ net["classes"] + net["class_bias"])
-    c, m = np.divmod(ids, side)
-    dc[np.arange(n), c] -= 1
-    dc /= n
+    order, c, m, slices = by_class(ids, side)
+    near = near.take(order, axis=1)
+    h, dc, dm = layers(net, near, slices)
+    dc, dm = softmax(dc), softmax(dm)
+    for d, rows in ((dc, c), (dm, m)):
+        d[rows, np.arange(n)] -= 1
+        d /= n
     grad = {k: np.zeros_like(v) for k, v in net.items()}
-    grad["classes"], grad["class_bias"] = h.T @ dc, dc.sum(axis=0)
-    dh = dc @ net["classes"].T
-    for k, rows in by_class(c, side):
-        dm = softmax(h[rows] @ net["members"][k] + net["member_bias"][k])
-        dm[np.arange(len(rows)), m[rows]] -= 1
-        dm /= n
-        grad["members"][k], grad["member_bias"][k] = h[rows].T @ dm, dm.sum(axis=0)
-        dh[rows] += dm @ net["members"][k].T
+    grad["classes"], grad["class_bias"] = h @ dc.T, dc.sum(axis=1)
+    dh = net["classes"] @ dc
+    for k, own in slices:
+        grad["members"][k], grad["member_bias"][k] = h[:, own] @ dm[:, own].T, dm[:, own].sum(axis=1)
+        dh[:, own] += net["members"][k] @ dm[:, own]
     dh *= 1 - h * h
-    grad["bias"] = dh.sum(axis=0)
-    columns = np.ascontiguousarray(dh.T, np.float64)
+    grad["bias"] = dh.sum(axis=1)
+    columns = dh.astype(np.float64)
     for p in range(len(near)):
         for j in range(HIDDEN):
             grad["near"][p, :, j] = np.bincount(near[p], columns[j], net["near"].shape[1])
@@ -353,12 +350,11 @@ def id_type(side: int):
 
 def _encoded(batches, lexicon):
     """A row for each document: its hash, which deals and orders it, and its token ids."""
-    encoder = Encoder(lexicon.value)
     small = id_type(lexicon.value.side)
     for b in batches:
         texts = b.column(1).to_pylist()
-        places, lengths = encoder(b.column(1))
-        ids, at, out = encoder.ids[places].astype(small), 0, []
+        words, _, index, lengths = word_table(b.column(1))
+        ids, at, out = encode(lexicon.value, words)[0].astype(small)[index], 0, []
         for doc_id, text, n in zip(b.column(0).to_pylist(), texts, lengths.tolist(), strict=True):
             if n:
                 out.append((xxhash.xxh3_64_intdigest((text or "").encode(), seed=0 if doc_id is None else doc_id & 0x7FFFFFFFFFFFFFFF) - (1 << 63), ids[at : at + n].tobytes()))
@@ -482,7 +478,7 @@ def parts(rows: list[tuple]) -> pa.RecordBatch:
 def _spread(batches, shared, buckets, flush_tokens):
     """Scores by the network, packed by context bucket. A flush's uid is the same whenever its task runs again."""
     lexicon, values = shared.value
-    encoder, net, turn = Encoder(lexicon), unflat(values, lexicon.side), 0
+    net, turn = unflat(values, lexicon.side), 0
     held: list = []
 
     def flush():
@@ -517,12 +513,13 @@ def _spread(batches, shared, buckets, flush_tokens):
 
     size = docs = 0
     for b in batches:
-        places, lengths = encoder(b.column(1))
-        ids = encoder.ids[places].astype(np.int64)
+        words, line, index, lengths = word_table(b.column(1))
+        ids, hashes, rare = encode(lexicon, words)
+        term, ids, hashes = spelling(lexicon, line, rare)[index], ids[index], hashes[index]
         near = windows(ids, lengths, lexicon.side**2)
         lp = np.concatenate([np.zeros(0, np.float32), *(log_probs(net, ids[a : a + STEP], near[:, a : a + STEP]) for a in range(0, len(ids), STEP))])
         doc_id = b.column(0)
-        held.append((np.array([np.iinfo(np.int64).min if x is None else x for x in doc_id.to_pylist()], np.int64), encoder.hash[places], packed(lp + encoder.term[places]), lengths))
+        held.append((np.array([np.iinfo(np.int64).min if x is None else x for x in doc_id.to_pylist()], np.int64), hashes, packed(lp + term), lengths))
         size, docs = size + len(ids), docs + len(lengths)
         if size >= flush_tokens or docs >= FLUSH_DOCS:
             yield flush()
