@@ -33,6 +33,7 @@ sums are exact sums of these.
 
 from __future__ import annotations
 
+from bisect import bisect
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -54,6 +55,8 @@ STEP, RATE, SHARD_TOKENS, MOST_SHARDS = 16_384, 0.05, 1_000_000, 4096
 COUNTED, PAIRED = 200_000, 50_000
 #: Weight of the network against the counts; tokens a task hands on at once, occurrences in them that make a context frequent.
 PRIOR, FLUSH_TOKENS, FLUSH_DOCS, FREQUENT = 1.0, 1_000_000, 60_000, 32
+#: Tokens, and parts, of a bucket whose corrections are summed at once.
+SUMMED_TOKENS, SUMMED_PARTS = 250_000, 60_000
 #: Tokens a bucket of contexts stands for; bytes of text that a bucket of words stands for, and word buckets at most (beyond, they are larger).
 BUCKET_TOKENS, WORD_BUCKET_BYTES, MOST_BUCKETS = 2_000_000, 8 << 20, 20_000
 #: Parts of one that scores and weights are kept in.
@@ -528,47 +531,61 @@ def _spread(batches, shared, buckets, flush_tokens):
         yield flush()
 
 
+def document_sums(held: list[tuple], triples: np.ndarray, contexts: np.ndarray) -> list[tuple]:
+    """Of parts of tokens, all at once, the sums of corrections by document."""
+    more = np.flatnonzero(contexts > 1)
+    doc, values = (np.frombuffer(b"".join(x), t)[more] for x, t in (([r[3] for r in held], np.uint16), ([r[4] for r in held], np.float16)))
+    part = np.repeat(np.arange(len(held), dtype=np.uint16), [len(r[4]) // 2 for r in held])[more]
+    delta = corrections(triples[more], contexts[more], values)
+    order = np.argsort(doc, kind="stable")
+    order = order[np.argsort(part[order], kind="stable")]
+    doc, part = doc[order], part[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]))[: len(doc)])
+    doc, part, sums = doc[first], part[first], np.add.reduceat(delta[order], first) if len(first) else delta
+    bounds = np.searchsorted(part, np.arange(len(held) + 1)).tolist()
+    return [(uid, bucket, SUMS, b"", doc[a:z].tobytes(), whole(sums[a:z])) for (uid, bucket, *_), a, z in zip(held, bounds[:-1], bounds[1:], strict=True) if z > a]
+
+
 def _settled(batches):
     """Each bucket's counts (parts come sorted by bucket), as sums of corrections by document and as totals of frequent keys.
     Other parts are handed on."""
-    bucket, held = None, []
+    bucket, tokens, often = None, [], []
 
     def close():
-        keys = [keys_in(k) for _, _, k, _, _ in held]
-        counts = np.concatenate([np.frombuffer(v, np.int64) if kind == COUNTS else np.ones(len(k), np.int64) for (_, kind, _, _, v), k in zip(held, keys, strict=True)])
+        keys = [keys_in(r[2]) for r in tokens + often]
+        ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+        size, ends = ends[len(tokens)], ends.tolist()
+        counts = np.concatenate([np.ones(size, np.int64), *(np.frombuffer(r[4], np.int64) for r in often)])
         key = np.concatenate(keys)
         order = np.argsort(key, kind="stable")
         run, outer = runs(key[order]), runs(key[order] >> np.uint64(16))
         triples, contexts = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
         triples[order] = np.bincount(run, counts[order])[run].astype(np.int64)
         contexts[order] = np.bincount(outer, counts[order])[outer].astype(np.int64)
-        ends, out = np.concatenate([[0], np.cumsum([len(k) for k in keys])]), []
-        del key, order, run, outer
-        for i, (uid, kind, _, docs, values) in enumerate(held):
-            own = slice(ends[i], ends[i + 1])
-            if kind == COUNTS:
-                out.append((uid, bucket, TOTALS, b"", b"", np.stack([triples[own], contexts[own]]).tobytes()))
-                continue
-            more = np.flatnonzero(contexts[own] > 1)
-            if len(more):
-                doc = np.frombuffer(docs, np.uint16)[more]
-                delta = corrections(triples[own][more], contexts[own][more], np.frombuffer(values, np.float16)[more])
-                at, first = np.unique(np.sort(doc), return_index=True)
-                by_doc = np.argsort(doc, kind="stable")
-                out.append((uid, bucket, SUMS, b"", at.tobytes(), whole(np.add.reduceat(delta[by_doc], first))))
+        del keys, counts, key, order, run, outer
+        out, i = [], 0
+        while i < len(tokens):
+            # Where buckets are many, a part is small; what is done for each would outweigh its tokens.
+            z = max(i + 1, min(bisect(ends, ends[i] + SUMMED_TOKENS) - 1, i + SUMMED_PARTS, len(tokens)))
+            own = slice(ends[i], ends[z])
+            out += document_sums(tokens[i:z], triples[own], contexts[own])
+            i = z
+        for (uid, *_), a, z in zip(often, ends[len(tokens) : -1], ends[len(tokens) + 1 :], strict=True):
+            out.append((uid, bucket, TOTALS, b"", b"", np.stack([triples[a:z], contexts[a:z]]).tobytes()))
+        tokens.clear()
+        often.clear()
         return parts(out)
 
     for b in batches:
         for uid, i, kind, keys, docs, values in zip(*(b.column(n).to_pylist() for n in NAMES), strict=True):
-            if i != bucket and held:
+            if i != bucket and (tokens or often):
                 yield close()
-                held = []
             bucket = i
             if kind in (DOCS, HELD):
                 yield parts([(uid, i, kind, keys, docs, values)])
             else:
-                held.append((uid, kind, keys, docs, values))
-    if held:
+                (tokens if kind == TOKENS else often).append((uid, i, keys, docs, values))
+    if tokens or often:
         yield close()
 
 

@@ -134,3 +134,27 @@ def test_scores_far_apart_are_finite():
     z = np.array([[0, -300, -90], [-200, -310, 0]], np.float32)
     found = lm.log_softmax_at(z, np.array([1, 0, 0]))
     assert np.allclose(found, [-200, -4.54e-5, -90], rtol=1e-3) and np.allclose(lm.softmax(z).sum(axis=0), 1)
+
+
+@pytest.mark.parametrize(("size", "tokens", "most"), [(5000, 250_000, 60_000), (7, 250_000, 60_000), (7, 30, 3), (1, 1, 1)])
+def test_corrections_are_summed_alike_however_a_bucket_is_dealt(monkeypatch, size, tokens, most):
+    monkeypatch.setattr(lm, "SUMMED_TOKENS", tokens)
+    monkeypatch.setattr(lm, "SUMMED_PARTS", most)
+    rnd = np.random.default_rng(7)
+    n = 2000
+    key = rnd.integers(0, 300, n).astype(np.uint64) << np.uint64(16) | rnd.integers(0, 3, n).astype(np.uint64)
+    doc, lp = rnd.integers(0, 40, n).astype(np.uint16), lm.packed(rnd.uniform(-9, -1, n).astype(np.float32))
+    own, outer = Counter(key.tolist()), Counter((key >> np.uint64(16)).tolist())
+    wanted = Counter()
+    for k, d, x in zip(key.tolist(), doc.tolist(), lp, strict=True):
+        if outer[k >> 16] > 1:
+            wanted[d] += int(lm.corrections(np.array([own[k]]), np.array([outer[k >> 16]]), np.array([x]))[0])
+    rows = [(a % 3, 5, lm.TOKENS, lm.keys_out(key[a : a + size]), doc[a : a + size].tobytes(), lp[a : a + size].tobytes()) for a in range(0, n, size)]
+    found = Counter()
+    for b in lm._settled(iter([lm.parts(rows)])):
+        for _, bucket, kind, _, docs, values in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            at = np.frombuffer(docs, np.uint16)
+            assert bucket == 5 and kind == lm.SUMS and len(set(at.tolist())) == len(at)
+            for d, v in zip(at.tolist(), np.frombuffer(values, np.int32 if len(values) == 4 * len(at) else np.int64).tolist(), strict=True):
+                found[d] += v
+    assert {k: v for k, v in found.items() if v} == {k: v for k, v in wanted.items() if v}
